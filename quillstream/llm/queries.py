@@ -12,6 +12,7 @@ from .ngram_join import ngram_components
 from .packing import pack
 from .quality import quality
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 
@@ -47,7 +48,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = (op1_token_counts, op2_ngram_join, op3_quality_rules, op4_language_id, op5_packing, op6_substring_dedup, op7_decontamination)
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=200)
+
+
+QUERIES = (op1_token_counts, op2_ngram_join, op3_quality_rules, op4_language_id, op5_packing, op6_substring_dedup, op7_decontamination, op8_suffix_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
