@@ -181,3 +181,25 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20
             total += n
         if at < len(col):
             yield batch.slice(at)
+
+
+class SharedFiles:
+    """Files in the shared folder, written and read from tasks through Arrow's file systems.
+
+    A file is written under a name that holds the task attempt, so a retried or
+    speculative task never touches another's; only names that a finished attempt
+    returned are ever read.
+    """
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.folder = folder
+        self.system, self.path = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
+
+    def create(self, name: str):
+        self.system.create_dir(self.path, recursive=True)
+        return self.system.open_output_stream(f"{self.path}/{name}", compression=None)
+
+    def open(self, name: str):
+        return self.system.open_input_file(f"{self.path}/{name}")

@@ -14,6 +14,8 @@ from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .token_output import write_shards
+from .warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), length=200)
 
 
-QUERIES = (op1_token_counts, op2_ngram_join, op3_quality_rules, op4_language_id, op5_packing, op6_substring_dedup, op7_decontamination, op8_suffix_dedup)
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_shards(_table(spark, sf_dir, "documents"), length=2048, per_shard=4096)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"), least=1000)
+
+
+QUERIES = (op1_token_counts, op2_ngram_join, op3_quality_rules, op4_language_id, op5_packing, op6_substring_dedup, op7_decontamination, op8_suffix_dedup, op9_token_output, op10_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
