@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
@@ -53,6 +54,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to which rows are dropped by a broadcast of them; beyond, by a shuffle.
+BROADCAST_IDS = 400_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids`` (doc_id); rows without doc_id stay."""
+    ids = materialise(ids.select("doc_id").filter("doc_id is not null").distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in Arrow batches of at most ``rows`` rows, which bounds a worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORD_MULT, by_bytes, mix, small_batches, text_views
+from .common import _WORD_MULT, by_bytes, mix, small_batches, text_views, without_ids
 from .substring_dedup import letter_words
 
 #: Fixed masks: 9 words count within each span of 13.
@@ -128,5 +128,4 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80
 
 def without_leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that hold no test item. Rows without doc_id stay."""
-    bad = leaks(docs, items, window, percent).select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, leaks(docs, items, window, percent))

@@ -40,7 +40,6 @@ LANDMARKS, TRAIN = 64, 400
 LONGEST = 20_000
 RIDGE = 0.3
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 LETTER = r"\p{L}"
 
 
@@ -107,25 +106,33 @@ def training_sample(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
     return fit.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).select("lang", "text", "_n")
 
 
-def identify(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score (0 to 1)."""
+def identified(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
+    """Every row and column of ``docs`` (doc_id, text, lang and others) with held_out, lang_pred and score (0 to 1)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang")
+    added = ["held_out", "lang_pred", "score"]
+    docs = docs.drop(*added).withColumn("doc_id", F.col("doc_id").cast("long"))
     sample = sorted((r["lang"], r["_n"], r["text"]) for r in training_sample(docs, per_language).collect())
     model = spark.sparkContext.broadcast(KernelRidge.fit([t for *_, t in sample], [x for x, *_ in sample]) if sample else None)
+    names, at = docs.columns, docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
-            texts = normalised(batch.column(2))
+            texts = normalised(batch.column(at))
             able = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False) & (model.value is not None)
-            names, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            langs, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             for part in np.array_split(np.flatnonzero(able), -(-int(able.sum()) // 256) or 1):
                 if len(part):
                     raw = model.value.scores([texts[int(i)].as_py() for i in part])
-                    names[part] = np.array(model.value.classes, object)[raw.argmax(1)]
+                    langs[part] = np.array(model.value.classes, object)[raw.argmax(1)]
                     score[part] = np.clip((raw.max(1).astype(np.float64) + 1) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names.tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs.tolist(), pa.string()), pa.array(score)], [*names, *added])
+
+    rows = docs.withColumn("held_out", F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    return rows.mapInArrow(predict, ", ".join([*fields, "held_out boolean", "lang_pred string", "score double"]))
 
-    rows = docs.selectExpr("doc_id", "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false) held_out", "text")
-    return rows.mapInArrow(predict, SCHEMA)
+
+def identify(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score (0 to 1)."""
+    return identified(docs.select("doc_id", "text", "lang"), per_language).select("doc_id", "held_out", "lang_pred", "score")
