@@ -1,13 +1,61 @@
-"""The corpus pipeline: five stages over ``documents``, each reread from Parquet by the next."""
+"""The corpus pipeline: five stages over ``documents``, each reread from Parquet by the next.
+
+Language ID, one document of each near-duplicate group, substring dedup,
+benchmark decontamination, packing. Every stage but the last returns the columns
+of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstream.llm.common import materialise
+from quillstream.llm.decontaminate import without_leaks
+from quillstream.llm.langid import identified
+from quillstream.llm.ngram_join import one_of_each
+from quillstream.llm.packing import pack
+from quillstream.llm.substring_dedup import substring_dedup
+
+#: Below this score no language claims a text.
+LEAST_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those that no learned language claims."""
+    return identified(docs).filter(f"lang_pred != 'und' and score >= {LEAST_SCORE}").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    return one_of_each(docs, k=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated units from the texts, and documents of which nothing is left."""
+    cut = substring_dedup(docs).filter("n_removed = 0 or n_removed < n_bytes")
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of power-of-two lengths up to 2,048."""
+    return pack(docs, most=2048, end_id=1)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("packing", packing),
+]
 
+#: SQL cannot express the stages; tests hold run() against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -101,9 +101,11 @@ class KernelRidge:
 def training_sample(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
     """(text, lang) of at most ``per_language`` training rows a language, the first by a hash of the text."""
     fit = docs.filter("lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 != 2")
-    fit = fit.filter(F.col("text").rlike(LETTER) & (F.length("text") <= LONGEST)).select("lang", "text", F.xxhash64("text").alias("_h"))
-    first = Window.partitionBy("lang").orderBy("_h", "text")
-    return fit.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).select("lang", "text", "_n")
+    fit = fit.filter(F.col("text").rlike(LETTER) & (F.length("text") <= LONGEST)).select("lang", F.xxhash64("text").alias("_h"), "text")
+    # ranks move hashes only; the drawn rows, a bounded number, find their texts by a broadcast
+    first = Window.partitionBy("lang").orderBy("_h")
+    drawn = fit.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
+    return fit.join(F.broadcast(drawn), ["lang", "_h"]).groupBy("lang", "_n").agg(F.min("text").alias("text"))
 
 
 def identified(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:

@@ -1,12 +1,15 @@
 """Exact Jaccard self-join on word shingles by T-occurrence search, as classes of linked documents.
 
 Documents with equal shingle sets form one class and are searched once. Shingles
-are ordered by how common they are (a fixed-size count sketch over all
-documents), then by hash; two sets that reach the threshold share one of their
-first n - ceil(t*n) + 1 shingles, so only these short lists are laid out. Pairs
-that meet there are searched with DivideSkip: the inverted lists of a block of
-candidates are split into short ones, heap-merged, and the longest ones, probed
-by binary search for the candidates that still can reach the required overlap.
+are ordered by an upper bound of how many documents hold them, the least count
+in two fixed-size sketches over all documents (of the shingle and of each of its
+words), then by hash. Two sets that reach the threshold share one of their first
+n - ceil(t*n) + 1 shingles, so only these short lists are laid out. Pairs that meet
+there pass an exact filter first: as many parities of hashed shingles as the set
+has members, of which no more can differ than shingles do. The others are
+searched with DivideSkip: the inverted lists of a block of candidates are split
+into short ones, heap-merged, and the longest ones, probed by binary search for
+the candidates that still can reach the required overlap.
 
 Only components are wanted, so pairs that links already connect need no test. Two
 rounds link the members of each list to one of them; a last round tests every
@@ -35,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, mix, shingle_hashes, small_batches, text_views, word_hashes
+from .common import by_bytes, materialise, mix, shingle_hashes, small_batches, text_views, without_ids, word_hashes
 from .components import connected_components
 
-#: Counters of the sketch of shingle frequencies: 2**BITS, and in one row of it 2**ROW.
+#: Counters of each sketch of frequencies: 2**BITS, and in one row of it 2**ROW.
 BITS, ROW = 22, 14
 #: Candidates searched together.
 BLOCK = 256
@@ -66,32 +69,51 @@ def _class(shingles: np.ndarray) -> int:
     return int((mix(shingles + np.uint64(len(shingles))).sum(keepdims=True) | np.uint64(1)).view(np.int64)[0])
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Bitmap of a set: bit i is the parity of how many members hash to i; as many bits as members, a power of two."""
+    bits = 1 << max(6, (len(shingles) - 1).bit_length())
+    at = (mix(shingles) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets; the longer bitmap is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: a document's class and size, and a task's part of the frequency sketch."""
+    """Rows of two kinds: a document's class, size and bitmap, and a task's part of the sketches (shingles, then words)."""
+    names = ["doc_id", "cls", "n", "parities", "row", "task", "counts"]
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << BITS, np.uint32)
+        sketch = np.zeros(2 << BITS, np.uint32)
         for batch in by_bytes(batches, "text"):
-            sets = [shingle_set(v, k) for v in text_views(batch.column(1))]
-            seen = np.concatenate([s >> np.uint64(64 - BITS) for s in sets] or [np.empty(0, np.uint64)])
-            at, n = np.unique(seen.astype(np.int64), return_counts=True)
-            sketch[at] += n.astype(np.uint32)
+            words = [word_hashes(v) for v in text_views(batch.column(1))]
+            sets = [np.unique(shingle_hashes(w, k)) for w in words]
+            for base, found in ((0, sets), (1 << BITS, words)):
+                at, n = np.unique(_cells(np.concatenate(found)), return_counts=True)
+                sketch[base + at] += n.astype(np.uint32)
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["doc_id", "cls", "n", "row", "task", "counts"],
-            )
+            columns = [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         task = TaskContext.get().partitionId()
         rows = [i for i, r in enumerate(sketch.reshape(-1, 1 << ROW)) if r.any()]
         none = pa.nulls(len(rows), pa.int64())
         packed = [zlib.compress(sketch[i << ROW : (i + 1) << ROW].tobytes(), 1) for i in rows]
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "cls", "n", "row", "task", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(summarise, "doc_id long, cls long, n long, row int, task int, counts binary")
+    return docs.mapInArrow(summarise, "doc_id long, cls long, n long, parities binary, row int, task int, counts binary")
 
 
 def _tiers(rows: DataFrame) -> np.ndarray:
-    """A rank of commonness for each of the 2**BITS counters (bounded: one byte each)."""
+    """The binary logarithm of each counter of the two sketches (bounded: one byte each)."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << ROW, np.uint32)
@@ -102,45 +124,76 @@ def _tiers(rows: DataFrame) -> np.ndarray:
     shape = "row int, task int, counts binary"
     some = rows.filter("row is not null").select("row", F.expr("pmod(task, 64) task"), "counts")
     total = some.groupBy("row", "task").applyInArrow(add, shape).groupBy("row").applyInArrow(add, shape)
-    counts = np.zeros(1 << BITS, np.uint32)
+    tiers = np.zeros(2 << BITS, np.uint8)
     for row in total.toLocalIterator():
-        counts[row["row"] << ROW : (row["row"] + 1) << ROW] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
-    usual = float(np.median(counts))
-    above = counts.astype(np.float64) - usual
-    return np.where(above < 8 + 6 * math.sqrt(usual), 0, np.log2(np.maximum(above, 1)).astype(np.int64) + 1).astype(np.uint8)
+        counts = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+        tiers[row["row"] << ROW : (row["row"] + 1) << ROW] = np.log2(np.maximum(counts, 1))
+    return tiers
+
+
+def prefix(words: np.ndarray, k: int, percent: int, tiers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all shingles of a text, those of its prefix)."""
+    shingles, first = np.unique(shingle_hashes(words, k), return_index=True)
+    rare = tiers[(1 << BITS) + _cells(words)]
+    n = max(1, len(words) - k + 1)
+    least = rare[:n].copy()
+    for i in range(1, min(k, len(words))):
+        least = np.minimum(least, rare[i : i + n])
+    order = np.argsort(np.minimum(tiers[_cells(shingles)], least[first]), kind="stable")
+    return shingles, shingles[order[: prefix_length(len(shingles), percent)]]
 
 
 def _postings(docs: DataFrame, k: int, percent: int, tiers) -> DataFrame:
     """(token, cls, n): the shingles of each class's prefix; a task lays out a class once, as far as it remembers."""
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, done = tiers.value, set()
+        done: set[int] = set()
         for batch in by_bytes(batches, "text"):
             tokens, cls, size = [], [], []
             for view in text_views(batch.column(1)):
-                s = shingle_set(view, k)
-                if not len(s) or (c := _class(s)) in done:
+                words = word_hashes(view)
+                if not len(words):
+                    continue
+                shingles, own = prefix(words, k, percent, tiers.value)
+                if (c := _class(shingles)) in done:
                     continue
                 if len(done) < 200_000:
                     done.add(c)
-                p = prefix_length(len(s), percent)
-                order = np.argsort(common[(s >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")[:p]
-                tokens.append(s[order])
-                cls.append(np.full(p, c))
-                size.append(np.full(p, len(s)))
+                tokens.append(own)
+                cls.append(np.full(len(own), c))
+                size.append(np.full(len(own), len(shingles)))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size))], ["token", "cls", "n"])
 
     return docs.mapInArrow(lay, "token long, cls long, n long")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles) of the given classes, from one document each."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             sets = [shingle_set(v, k) for v in text_views(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
-    return docs.mapInArrow(make, "cls long, shingles binary")
+    ids = materialise(members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "candidates")
+    few = ids.count() <= BROADCAST_ROWS
+    return materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(make, "cls long, shingles binary"), "sets")
+
+
+def _near(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out."""
+    own = members.groupBy("cls").agg(F.first("n").alias("n"), F.first("parities").alias("p"))
+    both = pairs.join(own.toDF("a", "n", "p"), "a").join(own.toDF("b", "m", "q"), "b")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            most = n + m - 2 * least_overlap(n, m, percent)
+            low = np.fromiter((differing(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(5), strict=True)), np.int64, len(n))
+            yield batch.filter(pa.array(low <= most)).select(["a", "b"])
+
+    return both.select("a", "b", "n", "p", "m", "q").mapInArrow(test, "a long, b long")
 
 
 def divide_skip(query: np.ndarray, block: list[np.ndarray], percent: int) -> list[int]:
@@ -238,17 +291,13 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     small_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     summary = materialise(_summaries(docs, k), "summaries")
-    members = summary.filter("row is null").select("doc_id", "cls", "n")
+    members = summary.filter("row is null").select("doc_id", "cls", "n", "parities")
     tiers = spark.sparkContext.broadcast(_tiers(summary))
 
-    laid = _postings(docs, k, percent, tiers).repartition("token").dropDuplicates(["token", "cls"])
+    laid = _postings(docs.filter("doc_id is not null"), k, percent, tiers).repartition("token").dropDuplicates(["token", "cls"])
     lists = materialise(laid.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).filter("_n > 1").drop("_n"), "lists")
 
-    wanted = members.join(lists.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    ids = materialise(wanted.select("doc_id").filter("doc_id is not null"), "candidates")
-    few = ids.count() <= BROADCAST_ROWS
-    sets = materialise(_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k).dropDuplicates(["cls"]), "sets")
-
+    known = members.filter("doc_id is not null and n > 0")
     near = f"100 * least(n, m) >= {int(percent)} * greatest(n, m)"
     links, labels = None, None
     for i in range(rounds + 1):
@@ -258,13 +307,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
             met = now.join(lead, "token").selectExpr("cls", "n", "comp", "l.cls other", "l.n m", "l.comp root").filter("comp != root")
         else:
             met = now.join(now.selectExpr("token", "cls other", "n m", "comp root"), "token").filter("cls < other and comp != root")
-        pairs = materialise(met.filter(near).selectExpr("least(cls, other) a", "greatest(cls, other) b").distinct(), "pairs")
+        pairs = materialise(_near(met.filter(near).selectExpr("least(cls, other) a", "greatest(cls, other) b").distinct(), known, percent), "pairs")
+        sets = _sets(docs, known, pairs.selectExpr("a cls").union(pairs.selectExpr("b cls")).distinct(), k)
         found = materialise(_links(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
-        if found.isEmpty() and labels is not None:
-            continue
-        labels = connected_components(links)
-        labels = materialise(labels, "labels")
+        if labels is None or not found.isEmpty():
+            labels = materialise(connected_components(links), "labels")
 
     classes = members.groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = classes.join(labels.toDF("cls", "root"), "cls", "left").selectExpr("cls", "first", "coalesce(root, cls) root")
@@ -275,3 +323,13 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+    """The rows of ``docs`` without those linked to one of a smaller doc_id; of rows of one doc_id, one stays."""
+    groups = ngram_components(docs, k, percent, rounds)
+    kept = without_ids(docs, groups.filter("doc_id != component_id"))
+    again = materialise(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    return without_ids(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
