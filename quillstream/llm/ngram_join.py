@@ -12,9 +12,13 @@ into short ones, heap-merged, and the longest ones, probed by binary search for
 the candidates that still can reach the required overlap.
 
 Only components are wanted, so pairs that links already connect need no test. Two
-rounds link the members of each list to one of them; a last round tests every
-remaining pair of different components, which makes the result exact. All steps
-are joins on shingle or class; no list is ever gathered whole.
+rounds link the members of each list to one of them: first that with the fewest
+rarer shingles before the list's, which in a group of near copies is the one most
+like all others, then any. A last round tests every remaining pair of different
+components, which makes the result exact. A pair meets in a list only if what
+follows the list's shingle in both orders is enough for the required overlap (it
+is, in the list of the first shingle they share). All steps are joins on shingle
+or class; no list is ever gathered whole.
 
 Identity of words, shingles and sets is that of 64-bit hashes.
 
@@ -144,12 +148,12 @@ def prefix(words: np.ndarray, k: int, percent: int, tiers: np.ndarray) -> tuple[
 
 
 def _postings(docs: DataFrame, k: int, percent: int, tiers) -> DataFrame:
-    """(token, cls, n): the shingles of each class's prefix; a task lays out a class once, as far as it remembers."""
+    """(token, cls, n, at): the shingles of each class's prefix by place; a task lays out a class once, as far as it remembers."""
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in by_bytes(batches, "text"):
-            tokens, cls, size = [], [], []
+            tokens, cls, size, at = [], [], [], []
             for view in text_views(batch.column(1)):
                 words = word_hashes(view)
                 if not len(words):
@@ -162,10 +166,11 @@ def _postings(docs: DataFrame, k: int, percent: int, tiers) -> DataFrame:
                 tokens.append(own)
                 cls.append(np.full(len(own), c))
                 size.append(np.full(len(own), len(shingles)))
+                at.append(np.arange(len(own), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size))], ["token", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size)), pa.array(np.concatenate(at))], ["token", "cls", "n", "at"])
 
-    return docs.mapInArrow(lay, "token long, cls long, n long")
+    return docs.mapInArrow(lay, "token long, cls long, n long, at int")
 
 
 def _sets(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -276,7 +281,7 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The lists with each member's component, without those that lie in one component."""
     if labels is None:
         return lists.withColumn("comp", F.col("cls"))
-    named = lists.join(labels.toDF("cls", "root"), "cls", "left").selectExpr("token", "cls", "n", "coalesce(root, cls) comp")
+    named = lists.join(labels.toDF("cls", "root"), "cls", "left").selectExpr("token", "cls", "n", "at", "coalesce(root, cls) comp")
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
     return named.join(mixed, "token")
 
@@ -298,16 +303,19 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     lists = materialise(laid.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).filter("_n > 1").drop("_n"), "lists")
 
     known = members.filter("doc_id is not null and n > 0")
-    near = f"100 * least(n, m) >= {int(percent)} * greatest(n, m)"
+    # both have enough left from the shared shingle on; other, m, o and root are of the second
+    enough = f"least(n - at, m - o) * {100 + int(percent)} >= {int(percent)} * (n + m) and comp != root"
     links, labels = None, None
     for i in range(rounds + 1):
         now = _labelled(lists, labels)
+        first = F.struct("at", F.xxhash64("cls"), "cls", "n", "comp") if i != 1 else F.struct(F.xxhash64("comp"), "at", "cls", "n", "comp")
+        lead = now.groupBy("token").agg(F.min(first).alias("l")).selectExpr("token t", "l.cls other", "l.n m", "l.at o", "l.comp root")
         if i < rounds:
-            lead = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(i)), "cls", "n", "comp")).alias("l"))
-            met = now.join(lead, "token").selectExpr("cls", "n", "comp", "l.cls other", "l.n m", "l.comp root").filter("comp != root")
-        else:
-            met = now.join(now.selectExpr("token", "cls other", "n m", "comp root"), "token").filter("cls < other and comp != root")
-        pairs = materialise(_near(met.filter(near).selectExpr("least(cls, other) a", "greatest(cls, other) b").distinct(), known, percent), "pairs")
+            met = now.join(lead, F.expr(f"token = t and {enough}"))
+        else:  # members of the lead's component are not tried with each other
+            apart = now.join(lead.selectExpr("t", "root"), F.expr("token = t and comp != root")).selectExpr("token t", "cls other", "n m", "at o", "comp root")
+            met = now.join(apart, F.expr(f"token = t and {enough}"))
+        pairs = materialise(_near(met.selectExpr("least(cls, other) a", "greatest(cls, other) b").distinct(), known, percent), "pairs")
         sets = _sets(docs, known, pairs.selectExpr("a cls").union(pairs.selectExpr("b cls")).distinct(), k)
         found = materialise(_links(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
