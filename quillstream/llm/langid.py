@@ -59,6 +59,14 @@ def normalised(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\pL]+", " "))
 
 
+def presence(columns: list[np.ndarray]) -> np.ndarray:
+    """A row of length 1 for each text, alike in all its columns."""
+    out = np.zeros((len(columns), DIMS), np.float32)
+    for row, own in zip(out, columns, strict=True):
+        row[own] = 1 / np.sqrt(max(1, len(own)))
+    return out
+
+
 class KernelRidge:
     """Weights of the hashed columns for each language, with the classes' names."""
 
@@ -68,34 +76,27 @@ class KernelRidge:
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelRidge:
         classes = sorted(set(langs))
-        presence = np.zeros((len(texts), DIMS), np.float32)
-        for row, text in zip(presence, normalised(pa.array(texts, pa.string())).to_pylist(), strict=True):
-            row[ngram_columns(text)] = 1
-        presence /= np.sqrt(presence.sum(1, keepdims=True))
+        columns = [ngram_columns(t).astype(np.int32) for t in normalised(pa.array(texts, pa.string())).to_pylist()]
         nth = {c: 0 for c in classes}
         chosen = []
         for i, c in enumerate(langs):
             if nth[c] < landmarks:
                 chosen.append(i)
             nth[c] += 1
-        marks = presence[chosen]
+        marks = presence([columns[i] for i in chosen])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         sound = values > 1e-6 * values.max()
         whiten = vectors[:, sound] / np.sqrt(values[sound])
-        features = (presence @ marks.T).astype(np.float64) @ whiten
+        blocks = [presence(columns[i : i + 64]) @ marks.T for i in range(0, len(columns), 64)]  # a full matrix would fill the driver
+        features = np.concatenate(blocks).astype(np.float64) @ whiten
         target = np.array([[1.0 if c == x else -1.0 for c in classes] for x in langs])
         share = np.array([1 / (len(classes) * langs.count(x)) for x in langs])[:, None]  # languages weigh alike
         weights = np.linalg.solve(features.T @ (features * share) + ridge / len(texts) * np.eye(features.shape[1]), features.T @ (target * share))
-        return cls(classes, (marks.T @ (whiten @ weights)).astype(np.float32))
+        return cls(classes, marks.T @ (whiten @ weights).astype(np.float32))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """One row a normalised text, one column a language: about 1 for its language and -1 for others."""
-        columns = [ngram_columns(t) for t in texts]
-        presence = np.zeros((len(texts), DIMS), np.float32)
-        for row, own in zip(presence, columns, strict=True):
-            row[own] = 1
-        norm = np.sqrt(np.array([[max(1, len(c))] for c in columns], np.float32))
-        return (presence @ self.weights) / norm
+        return presence([ngram_columns(t) for t in texts]) @ self.weights
 
 
 def training_sample(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
@@ -114,8 +115,9 @@ def identified(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
     small_batches(spark)
     added = ["held_out", "lang_pred", "score"]
     docs = docs.drop(*added).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sample = sorted((r["lang"], r["_n"], r["text"]) for r in training_sample(docs, per_language).collect())
+    sample = sorted((r["lang"], r["_n"], r["text"]) for r in training_sample(docs, per_language).toLocalIterator())
     model = spark.sparkContext.broadcast(KernelRidge.fit([t for *_, t in sample], [x for x, *_ in sample]) if sample else None)
+    del sample
     names, at = docs.columns, docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
