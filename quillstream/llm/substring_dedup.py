@@ -1,15 +1,26 @@
-"""Substring dedup by hashing units of lines.
+"""Substring dedup by hashing units of lines, lines, paragraphs and long windows.
 
 A unit is a line, or each sentence of a line that holds several; it reaches up to
-the next one, so the units of a text concatenate to the text. Normalised, a unit
-is its words (runs of letters and digits, A-Z lower-cased; all else parts words),
-named by a 128-bit hash. Units of at least ``least_words`` words are grouped over
-all documents: the earliest occurrence (by doc_id, then place) stays, all others
-are removed, and their byte offsets in the original text are kept. Shorter units
-go only where they lie between two removed ones whose kept occurrences lie in one
-document at the same distance, so that a repeated passage goes as a whole.
-
-Counts are pre-aggregated before the shuffle and joined back, so a unit that
+the next one, so the units of a text concatenate to the text. Normalised, a text
+is its words (runs of letters and digits, A-Z lower-cased; all else parts words).
+A passage, named by the 128-bit hash of its words, is one of
+
+- the shortest run of units from each unit on, and up to each unit, that reaches
+  the least size, so that every repeated run of units of that size goes as a whole;
+- each line and each paragraph (lines between blank ones) of at least that size;
+- each window of WINDOW words inside one unit, wherever the passage was pasted.
+
+The least size is ``least_words`` words; in scripts without spaces a Chinese or
+Japanese character is worth half a word, a Thai, Lao, Khmer or Burmese one a
+quarter. Passages are grouped over all documents: the earliest occurrence (by
+doc_id, then first word) stays, and the bytes of all others are removed, with what
+lies between two removed passages without a word. A word that goes stands in the
+same passage at an earlier place, so every passage stays somewhere.
+
+A repeated stretch that is neither whole units nor WINDOW words inside one unit
+keeps its broken ends; of scripts without spaces, whole units only.
+
+Counts are pre-aggregated before the shuffle and joined back, so a passage that
 fills a third of the corpus never meets in one group.
 
 Nulls count as empty. Rows of one doc_id count as one document: each loses what
@@ -28,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, SPACE, by_bytes, materialise, mix, small_batches, text_views
+from .common import _LOWER, SPACE, by_bytes, mix, small_batches, text_views
 from .common import _BASE, _BASE_INV, _powers, _Tables, prefix_hash
 
 _OTHER = 0xD6E8FEB86659FD93 | 1
@@ -37,21 +48,26 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
+#: Words of the windows laid over units of that many words or more.
+WINDOW = 50
 
 
-def letter_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of each run of letters and digits, A-Z lower-cased."""
+def letter_words(data: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte) of each run of letters and digits, A-Z lower-cased, parted at ``cuts`` too."""
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = _LETTER[data]
     edge = np.diff(inside)
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if cuts is not None and len(cuts):
+        inner = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]  # cuts between two letters
+        first, last = np.sort(np.append(first, inner)), np.sort(np.append(last, inner))
     p = prefix_hash(_LOWER[data])
     _, down = _Tables.upto(len(data))
     return mix((p[last] - p[first]) * down[first] + (last - first).astype(np.uint64)), first, last
 
 
 def unit_starts(data: np.ndarray) -> np.ndarray:
-    """First byte of each unit: 0, behind each line end, and behind the white space after an end of sentence."""
+    """First byte of each unit: 0, behind each line end, behind the white space after an end of sentence, and behind a full-width one."""
     if not len(data):
         return np.empty(0, np.int64)
     blank = SPACE[data]
@@ -66,59 +82,93 @@ def unit_starts(data: np.ndarray) -> np.ndarray:
         nxt = np.searchsorted(full, run)
         nxt = full[nxt[nxt < len(full)]]
         new[nxt] = True
+    if len(data) > 3:  # full-width . ! ?
+        x, y, z = data[:-3], data[1:-2], data[2:-1]
+        wide = (x == 0xE3) & (y == 0x80) & (z == 0x82) | (x == 0xEF) & (y == 0xBC) & ((z == 0x81) | (z == 0x9F))
+        new[3:] |= wide & ~blank[3:]
     return np.flatnonzero(new)
 
 
-def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, words, hash, other hash) of each unit of one text."""
+def quarter_words(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Size of each word in quarters of a word: 4, or what its characters without spaces are worth."""
+    worth = np.zeros(len(data) + 1, np.int64)
+    if len(data) and data.max() >= 0xE0:
+        nxt = np.append(data[1:], 0)
+        quarter = (data == 0xE0) & (nxt >= 0xB8) & (nxt <= 0xBB) | (data == 0xE1) & ((nxt >= 0x80) & (nxt <= 0x82) | (nxt >= 0x9E) & (nxt <= 0x9F))
+        np.cumsum(2 * ((data >= 0xE3) & (data <= 0xE9)) + quarter, out=worth[1:])
+    return np.maximum(4, worth[last] - worth[first])
+
+
+def passages(data: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+    """(hash, other hash, byte of the first word, bytes before it that go along, bytes from it on) of each passage of one text."""
     start = unit_starts(data)
-    length = np.diff(np.append(start, len(data)))
-    words, first, _ = letter_words(data)
+    words, first, last = letter_words(data, start)
+    stop = np.append(start, len(data))[1:]
     at = np.searchsorted(first, np.append(start, len(data)))
-    n = np.diff(at)
+    full = at[1:] > at[:-1]
+    start, stop, a, b = start[full], stop[full], at[:-1][full], at[1:][full]
+    size = np.concatenate([np.zeros(1, np.int64), np.cumsum(quarter_words(data, first, last))])
+    least = 4 * least_words
+    ahead = np.searchsorted(size[b], size[a] + least)
+    back = np.searchsorted(size[a], size[b] - least, "right") - 1
+    runs = [(a[ahead < len(b)], b[ahead[ahead < len(b)]]), (a[back[back >= 0]], b[back >= 0])]
+    ends = np.flatnonzero(data == 0x0A)
+    solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
+    empty = ends[np.diff(solid[ends], prepend=0) == 0]
+    for breaks in (ends, empty):
+        new = np.flatnonzero(np.diff(np.searchsorted(breaks, start), prepend=-1))
+        p, q = a[new], b[np.append(new[1:], len(start)) - 1] if len(new) else b[:0]
+        own = size[q] - size[p] >= least
+        runs.append((p[own], q[own]))
+    runs += [(p := np.arange(x, y - WINDOW + 1), p + WINDOW) for x, y in zip(a, b, strict=True) if y - x >= WINDOW]
+    code = np.unique(np.concatenate([p * (len(words) + 1) + q for p, q in runs]))
+    p, q = np.divmod(code, len(words) + 1)
+    before, end = np.zeros(len(words), np.int64), last.copy()
+    before[a], end[b - 1] = first[a] - start, stop
     out = []
     for base, inverse in ((_BASE, _BASE_INV), (_OTHER, _OTHER_INV)):
         up, down = _powers(base, len(words) + 1), _powers(inverse, len(words) + 1)
-        p = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1])])
-        out.append(mix((p[at[1:]] - p[at[:-1]]) * down[at[:-1]] + n.astype(np.uint64)).view(np.int64))
-    return start, length, n, out[0], out[1]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1])])
+        out.append(mix((sums[q] - sums[p]) * down[p] + (q - p).astype(np.uint64)).view(np.int64))
+    return out[0], out[1], first[p], before[p].astype(np.int32), end[q - 1] - first[p]
+
+
+ROWS = "h long, g long, start long, before int, length long"
 
 
-def _long_units(docs: DataFrame, least_words: int) -> DataFrame:
+def _passage_rows(docs: DataFrame, least_words: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             ids, parts = [], []
             for i, view in enumerate(text_views(batch.column(1))):
-                start, length, n, h, g = units(view)
-                own = n >= least_words
-                ids.append(np.full(int(own.sum()), i))
-                parts.append((h[own], g[own], start[own], length[own]))
+                parts.append(passages(view, least_words))
+                ids.append(np.full(len(parts[-1][0]), i))
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), *(pa.array(x) for x in columns)], ["doc_id", "h", "g", "start", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), *(pa.array(x) for x in columns)], ["doc_id", "h", "g", "start", "before", "length"])
 
-    return docs.filter("doc_id is not null").mapInArrow(make, "doc_id long, h long, g long, start long, length long")
+    return docs.filter("doc_id is not null").mapInArrow(make, f"doc_id long, {ROWS}")
 
 
-def removed_units(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """Per removed unit: doc_id, start, length (bytes of the original), kept_doc, kept_start."""
-    rows = materialise(_long_units(docs, least_words), "units")
+def removed_passages(docs: DataFrame, least_words: int = 8) -> DataFrame:
+    """Per removed passage: doc_id, start, end (bytes of the original)."""
+    rows = _passage_rows(docs, least_words)  # hashed twice: kept on disk, they would take as much as the texts
     first = rows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = rows.join(first, ["h", "g"]).filter("doc_id != kept.doc_id or start != kept.start")
-    return again.select("doc_id", "start", "length", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.start").alias("kept_start"))
+    return again.selectExpr("doc_id", "start - before start", "start + length end")
 
 
-def spans_to_cut(view: np.ndarray, starts: list[int], docs: list[int], places: list[int]) -> list[tuple[int, int]]:
-    """Maximal removed runs [start, end) of a text, from its removed long units (sorted by start)."""
-    start = unit_starts(view)
-    end = np.append(start, len(view))[1:]
-    where = np.searchsorted(start, starts)
-    gone = np.zeros(len(start), bool)
-    gone[where] = True
-    for i in range(len(starts) - 1):
-        if docs[i] == docs[i + 1] and places[i + 1] - places[i] == starts[i + 1] - starts[i]:
-            gone[where[i] : where[i + 1]] = True
-    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-    return [(int(start[a]), int(end[b - 1])) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+def spans_to_cut(view: np.ndarray, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Maximal removed runs [start, end) of a text, from its removed passages (sorted by start); what parts them without a word goes too."""
+    word = np.concatenate([[0], np.cumsum(_LETTER[view])])
+    out: list[tuple[int, int]] = []
+    for a, b in zip(starts, ends, strict=True):
+        if out and word[a] <= word[out[-1][1]]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    if len(out) == 1 and word[out[0][0]] == 0 and word[out[0][1]] == word[-1]:
+        return [(0, len(view))]
+    return out
 
 
 def substring_dedup(docs: DataFrame, least_words: int = 8) -> DataFrame:
@@ -126,8 +176,8 @@ def substring_dedup(docs: DataFrame, least_words: int = 8) -> DataFrame:
     small_batches(docs.sparkSession)
     added = {"n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"}
     docs = docs.drop(*added).withColumn("doc_id", F.col("doc_id").cast("long"))
-    cut = removed_units(docs.select("doc_id", "text"), least_words)
-    per_doc = cut.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "kept_doc", "kept_start"))).alias("_cut"))
+    cut = removed_passages(docs.select("doc_id", "text"), least_words)
+    per_doc = cut.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cut"))
     joined = docs.join(per_doc, "doc_id", "left").select(*docs.columns, "_cut")
     at = joined.columns.index("text")
     rest = [f for f in docs.schema.fields]
@@ -138,7 +188,7 @@ def substring_dedup(docs: DataFrame, least_words: int = 8) -> DataFrame:
         for batch in by_bytes(batches, "text"):
             texts, size, removed, spans, digest = [], [], [], [], []
             for view, known, marks in zip(text_views(batch.column(at)), batch.column(at).is_valid().to_pylist(), batch.column(len(rest)).to_pylist(), strict=True):
-                runs = spans_to_cut(view, *([m[k] for m in marks] for k in ("start", "kept_doc", "kept_start"))) if marks else []
+                runs = spans_to_cut(view, *([m[k] for m in marks] for k in ("start", "end"))) if marks else []
                 kept, last = [], 0
                 for a, b in runs:
                     kept.append(view[last:a].tobytes())
