@@ -58,7 +58,7 @@ def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(key, context hash, place, far, near) of a text's anchors: its windows start from place - far to place - near."""
     w, out = length - K + 1, []
-    for at in range(0, len(data) - length + 1, CHUNK - length):
+    for at in range(0, len(data) - length + 1, CHUNK - length + 1):
         piece = data[at : at + CHUNK]
         if len(piece) < length:
             break
