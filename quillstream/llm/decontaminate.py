@@ -1,17 +1,17 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seed hashing, with every match that the threshold allows.
 
 Both sides are sequences of words (runs of letters and digits, A-Z lower-cased).
-A mask of 1s and 0s, laid over every window of its span, hashes only the words
-under a 1: a substituted word under a 0 changes nothing, and four masks with
-different gaps leave few substitutions that hide from all of them. The hashes of
+From ``window`` words of an item (or the whole item, if shorter), ``percent`` of
+them equal, the document holds a leak. So many equal words, parted by so few
+others, hold a run of at least ``seed_words`` equal ones, wherever the others lie:
+all runs of that length are the seeds, shorter for shorter items. The hashes of
 the test items are broadcast, in blocks of a checked size, and joined with those
-of the training texts. Around each hit both sequences are laid on each other and
-the window of the item that matches best is counted: from ``window`` words (or
-the whole item, if shorter), ``percent`` of them equal, the document holds a leak.
+of the training texts; around each hit every window that holds it is counted.
 
-Items shorter than the span are hashed whole. Nulls and texts without a word
-match nothing. Repeated rows give repeated results; an empty table on either side
-gives an empty result. Other columns are not read.
+Of an item's windows in a document the one with the most equal words is given,
+the earliest of several. Nulls and texts without a word match nothing. Repeated
+rows give repeated results; an empty table on either side gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,71 +26,83 @@ from pyspark.sql import functions as F
 from .common import _WORD_MULT, by_bytes, mix, small_batches, text_views, without_ids
 from .substring_dedup import letter_words
 
-#: Fixed masks: 9 words count within each span of 13.
-MASKS = ("1110110100111", "1101101110011", "1011100111011", "1111000110111")
-SPAN = 13
 #: Characters of test items broadcast together.
 BLOCK_CHARS = 4_000_000
 
 
-def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
-    n = len(words) - len(mask) + 1
+#: Hits verified together.
+BLOCK_HITS = 1 << 14
+
+
+def seed_words(n: int, percent: int) -> int:
+    """Least length of the longest run of equal words, when ``percent`` of ``n`` words are equal."""
+    equal = -(-percent * n // 100)
+    return max(1, -(-equal // (n - equal + 1)))
+
+
+def seed_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(hash(len(mask)) + 1))
-    for i, bit in enumerate(mask):
-        if bit == "1":
-            out = out + words[i : i + n] * _WORD_MULT[i]
+    out = np.full(n, np.uint64(k))
+    for i in range(k):
+        out = out + words[i : i + n] * _WORD_MULT[i % len(_WORD_MULT)]
     return mix(out)
 
 
 class Seeds:
-    """All seeds of a block of test items, by mask."""
+    """All seeds of a block of test items, by window and length."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], window: int = 20, percent: int = 80):
+        self.percent = percent
         self.ids = [i for i, _ in items]
-        self.words = [letter_words(v)[0] for v in text_views(pa.array([t for _, t in items], pa.string()))]
-        short = sorted({len(w) for w in self.words if 0 < len(w) < SPAN})
+        words = [letter_words(v)[0] for v in text_views(pa.array([t for _, t in items], pa.string()))]
+        self.words = np.concatenate([*words, np.empty(0, np.uint64)])
+        self.end = np.cumsum([len(w) for w in words], dtype=np.int64)
+        self.start = self.end - np.array([len(w) for w in words], np.int64)
         self.tables = []
-        for mask in (*MASKS, *("1" * n for n in short)):
-            own = [i for i, w in enumerate(self.words) if (len(w) >= SPAN if len(mask) == SPAN else len(w) == len(mask))]
-            seeds = [seed_hashes(self.words[i], mask) for i in own]
-            if not sum(map(len, seeds)):
-                continue
+        for n in sorted({min(window, len(w)) for w in words if len(w)}):
+            k = seed_words(n, percent)
+            own = [i for i, w in enumerate(words) if min(window, len(w)) == n]
+            seeds = [seed_hashes(words[i], k) for i in own]
             h = np.concatenate(seeds)
-            item = np.repeat(own, [len(s) for s in seeds])
-            place = np.concatenate([np.arange(len(s)) for s in seeds])
+            item = np.repeat(own, [len(x) for x in seeds])
+            place = np.concatenate([np.arange(len(x)) for x in seeds])
             order = np.argsort(h, kind="stable")
             maybe = np.zeros(1 << 20, bool)
             maybe[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((mask, h[order], item[order], place[order], maybe))
+            self.tables.append((n, k, h[order], item[order], place[order], maybe))
 
-    def leaks(self, words: np.ndarray, window: int, percent: int) -> list[tuple[int, int, int, int, int]]:
+    def leaks(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, first word in the text, first word in the item, words, equal words): each item's best window."""
-        diagonals: dict[tuple[int, int], set[int]] = {}
-        for mask, keys, item, place, maybe in self.tables:
-            h = seed_hashes(words, mask)
-            for at in np.flatnonzero(maybe[(h >> np.uint64(44)).astype(np.int64)]):
-                lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-                for k in range(lo, hi):
-                    diagonals.setdefault((int(item[k]), int(at) - int(place[k])), set()).add(int(place[k]))
         best: dict[int, tuple] = {}
-        for (i, shift), hits in diagonals.items():
-            own = self.words[i]
-            first, last = max(0, -shift), min(len(own), len(words) - shift)
-            n = min(window, len(own))
-            if last - first < n:
-                continue
-            equal = np.concatenate([[0], np.cumsum(own[first:last] == words[first + shift : last + shift])])
-            sums = equal[n:] - equal[:-n]
-            near = [x for hit in hits for x in (max(0, hit - n + 1 - first), min(len(sums), hit - first + 1))]
-            lo, hi = min(near), max(near)
-            if lo >= hi:
-                continue
-            at = lo + int(sums[lo:hi].argmax())
-            if 100 * sums[at] >= percent * n and (i not in best or sums[at] > best[i][4]):
-                best[i] = (self.ids[i], first + at + shift, first + at, n, int(sums[at]))
-        return list(best.values())
+        hashes: dict[int, np.ndarray] = {}
+        for n, k, keys, item, place, maybe in self.tables:
+            if k not in hashes:
+                hashes[k] = seed_hashes(words, k)
+            at = np.flatnonzero(maybe[(hashes[k] >> np.uint64(44)).astype(np.int64)])
+            lo = np.searchsorted(keys, hashes[k][at], "left")
+            upto = np.cumsum(np.searchsorted(keys, hashes[k][at], "right") - lo)
+            for first in range(0, int(upto[-1]) if len(upto) else 0, BLOCK_HITS):
+                hit = np.arange(first, min(first + BLOCK_HITS, int(upto[-1])))
+                of = np.searchsorted(upto, hit, "right")
+                row = lo[of] + hit - np.where(of > 0, upto[of - 1], 0)
+                self._verify(words, n, k, at[of], item[row], place[row], best)
+        return [(self.ids[i], at, own, n, equal) for i, (equal, at, own, n) in ((i, (-a, b, c, d)) for i, (a, b, c, d) in best.items())]
+
+    def _verify(self, words: np.ndarray, n: int, k: int, at: np.ndarray, item: np.ndarray, place: np.ndarray, best: dict[int, tuple]) -> None:
+        """Keeps the best window of each item among those that hold a hit (item's words from place on are the text's from at on)."""
+        step = np.arange(k - n, n)  # words of these windows, from the hit on
+        mine, other = (self.start[item] + place)[:, None] + step, at[:, None] + step
+        sound = (mine >= self.start[item][:, None]) & (mine < self.end[item][:, None]) & (other >= 0) & (other < len(words))
+        same = sound & (self.words[np.where(sound, mine, 0)] == words[np.where(sound, other, 0)])
+        count, reach = (np.pad(np.cumsum(x, axis=1), ((0, 0), (1, 0))) for x in (same, sound))
+        equal = np.where(reach[:, n:] - reach[:, :-n] == n, count[:, n:] - count[:, :-n], -1)
+        top = equal.argmax(1)
+        for r in np.flatnonzero(100 * equal.max(1) >= self.percent * n):
+            i, d = int(item[r]), int(step[top[r]])
+            found = (-int(equal[r, top[r]]), int(at[r]) + d, int(place[r]) + d, n)
+            best[i] = min(best.get(i, found), found)
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80) -> DataFrame:
@@ -109,11 +121,11 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80
 
     def found(block: int) -> DataFrame:
         rows = items.filter(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {block}")).collect()
-        seeds = spark.sparkContext.broadcast(Seeds([(r["item_id"], r["text"]) for r in rows]))
+        seeds = spark.sparkContext.broadcast(Seeds([(r["item_id"], r["text"]) for r in rows], window, percent))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, "text"):
-                hits = [(i, *hit) for i, view in enumerate(text_views(batch.column(1))) for hit in seeds.value.leaks(letter_words(view)[0], window, percent)]
+                hits = [(i, *hit) for i, view in enumerate(text_views(batch.column(1))) for hit in seeds.value.leaks(letter_words(view)[0])]
                 if hits:
                     row, *rest = zip(*hits, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in rest)], names)
