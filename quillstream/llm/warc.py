@@ -10,7 +10,10 @@ The reader takes each file from its start and checks every record: gzip checks,
 version line, header lines, content length, closing lines and payload digest.
 Where a check fails, it looks from the next byte on for the next gzip member or
 version line whose record passes, goes on there, and reports the bytes in between
-as a quarantined gap with the reason of the first failure.
+as a quarantined gap with the reason of the first failure. Inside a gzip member of
+several records it does the same with the unpacked bytes, and reports such a gap by
+its place there. Of a member that breaks off, those records stay whose digests
+hold. Headers and records may be of any length; one record is held at a time.
 
 A null html is an empty payload, a null url leaves the target out. Pages without
 page_id are responses of their own. Repeated rows of the largest page_id are all
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, by_bytes, materialise, scratch_path, small_batches
+from .common import SharedFiles, by_bytes, materialise, scratch_path
 
 #: Digests up to which the shared ones are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 300_000
@@ -65,7 +68,6 @@ def gzip_member(raw: bytes, level: int = 3) -> bytes:
 
 def write_warc(pages: DataFrame, folder: str, least: int = 1000, roll: int = 64 << 20) -> DataFrame:
     """Writes pages (page_id, url, html) as archives in ``folder``; returns the files (name, bytes, records)."""
-    small_batches(pages.sparkSession, 500)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
@@ -104,15 +106,66 @@ class Broken(ValueError):
     """A record that fails a check."""
 
 
-def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
-    """(headers, block, end) of the record that starts at ``at``; Broken if it fails a check."""
-    if not re.match(rb"WARC/1\.\d\r\n", raw[at : at + 10]):
+#: Bytes read at a time.
+READ = 1 << 16
+_START = re.compile(rb"WARC/1\.\d\r\n")
+
+
+class _Bytes:
+    """Bytes of an archive or of a gzip member, read piece by piece and forgotten behind ``at``."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.base, self.at = pieces, bytearray(), 0, 0
+
+    def more(self) -> bool:
+        piece = next(self.pieces, b"")
+        if self.at - self.base > 1 << 20:
+            del self.held[: self.at - self.base]
+            self.base = self.at
+        self.held += piece
+        return bool(piece)
+
+    def upto(self, end: int) -> bool:
+        """Are the bytes up to place ``end`` there?"""
+        while self.base + len(self.held) < end:
+            if not self.more():
+                return False
+        return True
+
+    def find(self, what: bytes, start: int) -> int:
+        """The first place of ``what`` from ``start`` on, or -1."""
+        while (found := self.held.find(what, start - self.base)) < 0:
+            start = max(start, self.base + len(self.held) - len(what) + 1)
+            if not self.more():
+                return -1
+        return self.base + found
+
+    def get(self, start: int, end: int) -> bytes:
+        return bytes(self.held[start - self.base : end - self.base])
+
+    def next_version(self) -> bool:
+        """Goes to the next version line behind the present place; False at the end."""
+        self.at += 1
+        while not (found := _START.search(self.held, self.at - self.base)):
+            self.at = max(self.at, self.base + len(self.held) - 9)
+            if not self.more():
+                self.at = self.base + len(self.held)
+                return False
+        self.at = self.base + found.start()
+        return True
+
+
+def parse(data: _Bytes, sure: bool = False) -> tuple[dict, bytes]:
+    """(headers, block) of the record at ``data.at``, which moves behind it; Broken if it fails a check, or, if ``sure``, has no digest to check."""
+    at = data.at
+    data.upto(at + 10)
+    if not _START.match(data.get(at, at + 10)):
         raise Broken("version line")
-    close = raw.find(b"\r\n\r\n", at)
+    close = data.find(b"\r\n\r\n", at)
     if close < 0:
         raise Broken("header end")
     headers = {}
-    for line in raw[at:close].split(b"\r\n")[1:]:
+    for line in data.get(at, close).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise Broken("header line")
@@ -121,49 +174,49 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     if not length.isdigit():
         raise Broken("content length")
     start, end = close + 4, close + 4 + int(length)
-    if raw[end : end + 4] != b"\r\n\r\n":
+    if not data.upto(end + 4) or data.get(end, end + 4) != b"\r\n\r\n":
         raise Broken("record end")
-    block = raw[start:end]
+    block = data.get(start, end)
     told = headers.get("warc-payload-digest", b"")
     if told.startswith(b"sha1:") and headers.get("warc-type") == b"response":
         payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", b"").startswith(b"application/http") else block
         if base64.b32encode(hashlib.sha1(payload).digest()) != told[5:]:
             raise Broken("payload digest")
-    return headers, block, end + 4
-
-
-#: Bytes read from a file at a time.
-READ = 1 << 20
-
-
-def _member(source, at: int, size: int) -> tuple[bytes, int]:
-    """(unpacked bytes, end) of the gzip member at ``at``."""
-    unpack, out = zlib.decompressobj(31), []
-    source.seek(at)
-    while not unpack.eof:
-        raw = source.read(READ)
-        if not raw:
-            raise Broken("gzip member cut off")
-        try:
-            out.append(unpack.decompress(raw))
-        except zlib.error as e:
-            raise Broken("gzip " + str(e).rpartition(": ")[2]) from None
-    return b"".join(out), source.tell() - len(unpack.unused_data)
-
-
-def _plain(source, at: int, size: int) -> tuple[bytes, int]:
-    """(bytes, end) of the uncompressed record at ``at``."""
-    source.seek(at)
-    raw = source.read(min(READ, size - at))
-    close = raw.find(b"\r\n\r\n")
-    length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", raw[: close + 2])
-    if close < 0 or not length:
-        raise Broken("header end" if close < 0 else "content length")
-    end = at + close + 4 + int(length[1]) + 4
-    if end > size:
-        raise Broken("record cut off")
-    source.seek(at)
-    return source.read(end - at), end
+    elif sure:
+        raise Broken("no digest")
+    data.at = end + 4
+    return headers, block
+
+
+class _Member:
+    """The unpacked pieces of the gzip member at ``at``; afterwards its end, or what it broke at."""
+
+    def __init__(self, source, at: int):
+        self.source, self.at, self.end, self.reason = source, at, None, None
+
+    def __iter__(self) -> Iterator[bytes]:
+        unpack, place = zlib.decompressobj(31), self.at
+        while not unpack.eof:
+            self.source.seek(place)
+            raw = self.source.read(READ)
+            if not raw:
+                self.reason = "gzip member cut off"
+                return
+            place += len(raw)
+            before = unpack.copy()
+            try:
+                out = unpack.decompress(raw)
+            except zlib.error as e:
+                self.reason = "gzip " + str(e).rpartition(": ")[2]
+                for i in range(len(raw)):  # what comes before the break
+                    try:
+                        if out := before.decompress(raw[i : i + 1]):
+                            yield out
+                    except zlib.error:
+                        return
+            if out:
+                yield out
+        self.end = place - len(unpack.unused_data)
 
 
 def _next_start(source, at: int, size: int) -> int:
@@ -178,39 +231,88 @@ def _next_start(source, at: int, size: int) -> int:
     return size
 
 
-def salvage(source, size: int) -> Iterator[tuple[int, int, dict | None, bytes, str | None]]:
-    """(offset, bytes, headers, block, None) of each sound record of an open file, (offset, bytes, None, b"", reason) of each gap."""
-    at, bad, reason = 0, None, ""
-    while at < size:
-        found = []
+def _in_member(source, at: int) -> Iterator[tuple]:
+    """Of the gzip member at ``at``, as ``salvage``; at last (end, or None; reason)."""
+    member = _Member(source, at)
+    data, bad, reason, held, n = _Bytes(iter(member)), None, None, None, 0
+    while data.upto(data.at + 1):
+        place = data.at
         try:
-            source.seek(at)
-            if source.read(3) == b"\x1f\x8b\x08":
-                raw, end = _member(source, at, size)
-            else:
-                raw, end = _plain(source, at, size)
-            place = 0
-            while place < len(raw):
-                headers, block, place = parse(raw, place)
-                found.append((headers, block))
-            if not found:
-                raise Broken("empty member")
+            headers, block = parse(data, member.reason is not None)
         except Broken as e:
-            bad, reason = (at, str(e)) if bad is None else (bad, reason)
-            at = _next_start(source, at + 1, size)
+            bad, reason = (place, str(e)) if bad is None else (bad, reason)
+            data.next_version()
             continue
         if bad is not None:
-            yield bad, at - bad, None, b"", reason
+            yield at, None, bad, place - bad, None, b"", reason
             bad = None
-        for headers, block in found:
-            yield at, end - at, headers, block, None
-        at = end
+        if held:
+            yield held
+        held, n = (at, None, place, data.at - place, headers, block, None), n + 1
+    whole = None if member.end is None else member.end - at
+    if held:
+        yield held if n > 1 or bad is not None or whole is None else (at, whole, *held[2:])
+    if whole is not None and (bad is not None or not n):
+        yield (at, whole, None, None, None, b"", reason or "empty member") if not n else (at, None, bad, data.at - bad, None, b"", reason)
+    yield member.end, member.reason
+
+
+def salvage(source, size: int) -> Iterator[tuple]:
+    """Of an open file (offset, bytes, inner offset, inner bytes, headers, block, None) of each sound record, and without headers, with a reason, of each gap.
+
+    The inner places are those in the unpacked bytes of a gzip member, of which bytes is null where it holds more than the record.
+    """
+    at, bad, reason = 0, None, ""
+
+    def pieces(place: int) -> Iterator[bytes]:
+        while place < size:
+            source.seek(place)
+            raw = source.read(READ)
+            if not raw:
+                return
+            place += len(raw)
+            yield raw
+
+    while at < size:
+        source.seek(at)
+        packed = source.read(3) == b"\x1f\x8b\x08"
+        end, why = None, None
+        if packed:
+            rows = _in_member(source, at)
+            for row in rows:
+                if len(row) == 2:
+                    end, why = row
+                    break
+                if bad is not None:
+                    yield bad, at - bad, None, None, None, b"", reason
+                    bad = None
+                yield row
+        else:
+            data = _Bytes(pieces(at))
+            try:
+                while data.upto(data.at + 1) and not data.get(data.at, data.at + 3) == b"\x1f\x8b\x08":
+                    place = data.at
+                    headers, block = parse(data)
+                    if bad is not None:
+                        yield bad, at + place - bad, None, None, None, b"", reason
+                        bad = None
+                    yield at + place, data.at - place, None, None, headers, block, None
+            except Broken as e:
+                why = str(e)
+                at += data.at
+            else:
+                end = at + data.at
+        if end is None:
+            bad, reason = (at, why) if bad is None else (bad, reason)
+            at = _next_start(source, at + 1, size)
+        else:
+            at = end
     if bad is not None:
-        yield bad, size - bad, None, b"", reason
+        yield bad, size - bad, None, None, None, b"", reason
 
 
 RECORDS = (
-    "name string, offset long, bytes long, gap_reason string, record_type string, page_id long, refers_to long, url string, "
+    "name string, offset long, bytes long, inner_offset long, inner_bytes long, gap_reason string, record_type string, page_id long, refers_to long, url string, "
     "payload_bytes long, payload_digest string, payload binary"
 )
 
@@ -221,7 +323,7 @@ def read_warc(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame
     A revisit's payload_bytes and payload_digest are those of the full payload, which it does not hold.
     """
     columns = [x.split()[0] for x in RECORDS.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = SharedFiles(folder)
@@ -229,9 +331,9 @@ def read_warc(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame
             for name in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with shared.open(name) as source:
-                    for offset, size, headers, block, reason in salvage(source, source.size()):
+                    for offset, size, place, length, headers, block, reason in salvage(source, source.size()):
                         if headers is None:
-                            rows.append((name, offset, size, reason, *[None] * 7))
+                            rows.append((name, offset, size, place, length, reason, *[None] * 7))
                             continue
                         http, _, payload = block.partition(b"\r\n\r\n")
                         ids = [_NAME.match(headers.get(h, b"")) for h in ("warc-record-id", "warc-refers-to")]
@@ -239,7 +341,7 @@ def read_warc(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame
                         digest = headers.get("warc-payload-digest", b"")[5:]
                         url = headers.get("warc-target-uri")
                         rows.append((
-                            name, offset, size, None, headers.get("warc-type", b"").decode(), *(int(x[1]) if x else None for x in ids), url.decode() if url is not None else None,
+                            name, offset, size, place, length, None, headers.get("warc-type", b"").decode(), *(int(x[1]) if x else None for x in ids), url.decode() if url is not None else None,
                             int(told[1]) if told else len(payload), base64.b32decode(digest).hex() if len(digest) == 32 else None, payload if payloads else None,
                         ))
                         held += len(payload) if payloads else 100
