@@ -12,7 +12,10 @@ the same stride, so slot s lies in shard s // per_shard at byte
 one seek.
 
 The ids are written once, packed, before they are numbered, so that the numbers
-cannot change with a retried task; they are dealt to shards as packed blocks.
+cannot change with a retried task; they are dealt as packed blocks to range
+partitions of the slots. As slots are dense, their bounds are known without a
+sample: a partition takes a fixed number of shards in a row and writes them one
+after another, and there are at most MOST_PARTITIONS of them.
 
 Nulls count as empty texts (an end id alone). Repeated rows repeat in the stream.
 An empty table gives no shard and an empty result. Other columns are not read.
@@ -30,11 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, by_bytes, materialise, mix, scratch_path, small_batches
+from .common import SharedFiles, by_bytes, materialise, mix, scratch_path
 from .subword import byte_ids, vocabulary_path
 
 #: Sequences packed together in the first table, and bytes of ids dealt to shards together.
 BLOCK, HELD = 512, 24 << 20
+#: Partitions that write shards, at most.
+MOST_PARTITIONS = 20_000
 
 
 def feistel(index: np.ndarray, total: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -142,7 +147,6 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = 2048,
     ids are little-endian unsigned 16-bit.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
     folder = folder or scratch_path(spark, "shards")
     rows = materialise(_sequences(docs.selectExpr("cast(doc_id as long) doc_id", "text"), length, end_id, path), "sequences")
@@ -152,8 +156,9 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = 2048,
         total += n
     starts = F.broadcast(spark.createDataFrame(before, "part int, before long"))
     dealt = _dealt(rows.join(starts, "part").select("first", "before", "n", "used", "ids", "docs"), total, per_shard, length, key)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = dealt.repartition(max(parts, -(-total // per_shard)), "shard").sortWithinPartitions("shard")
+    shards = max(1, -(-total // per_shard))
+    run = -(-shards // MOST_PARTITIONS)  # shards in a row of each range partition
+    laid = dealt.repartitionById(-(-shards // run), F.expr(f"cast(shard div {run} as int)")).sortWithinPartitions("shard")
     stride = 2 * length
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
