@@ -1,12 +1,13 @@
-"""Benchmark decontamination by seed hashing, with every match that the threshold allows.
+"""Benchmark decontamination by spaced-seed hashing, with every match that the threshold allows.
 
 Both sides are sequences of words (runs of letters and digits, A-Z lower-cased).
 From ``window`` words of an item (or the whole item, if shorter), ``percent`` of
-them equal, the document holds a leak. So many equal words, parted by so few
-others, hold a run of at least ``seed_words`` equal ones, wherever the others lie:
-all runs of that length are the seeds, shorter for shorter items. The hashes of
-the test items are broadcast, in blocks of a checked size, and joined with those
-of the training texts; around each hit every window that holds it is counted.
+them equal, the document holds a leak. Fixed masks select some of a span's words
+and ignore the others; a family of masks is chosen by how many of the words may
+differ, such that each way to place these leaves one mask with equal words (the
+tests enumerate all). The hashes of the test items under the masks are broadcast,
+in blocks of a checked size, and joined with those of the training texts; around
+each hit every window that holds it is counted, substitutions included.
 
 Of an item's windows in a document the one with the most equal words is given,
 the earliest of several. Nulls and texts without a word match nothing. Repeated
@@ -17,13 +18,14 @@ Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORD_MULT, by_bytes, mix, small_batches, text_views, without_ids
+from .common import _WORD_MULT, by_bytes, mix, text_views
 from .substring_dedup import letter_words
 
 #: Characters of test items broadcast together.
@@ -33,20 +35,34 @@ BLOCK_CHARS = 4_000_000
 #: Hits verified together.
 BLOCK_HITS = 1 << 14
 
+#: Words that may differ: (least words of the window, masks as the places of the words that they select). With no more
+#: words different, one of the masks selects equal words somewhere in the window.
+MASKS = {
+    1: (5, ((0, 1, 2), (0, 1, 3))),
+    2: (10, ((0, 1, 2, 4), (0, 1, 2, 3))),
+    3: (15, ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4))),
+    4: (20, ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 4, 7, 16, 17, 19))),
+}
 
-def seed_words(n: int, percent: int) -> int:
-    """Least length of the longest run of equal words, when ``percent`` of ``n`` words are equal."""
+
+def masks(n: int, percent: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of a window of ``n`` words of which ``percent`` are equal; for other thresholds than the usual ones a run.
+
+    So many equal words, parted by so few others, hold a run of at least that length.
+    """
     equal = -(-percent * n // 100)
-    return max(1, -(-equal // (n - equal + 1)))
+    least, family = MASKS.get(n - equal, (n + 1, ()))
+    return family if n >= least else (tuple(range(max(1, -(-equal // (n - equal + 1))))),)
 
 
-def seed_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    n = len(words) - k + 1
+def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """A hash of the words that the mask selects, from each word on."""
+    n = len(words) - mask[-1]
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(k))
-    for i in range(k):
-        out = out + words[i : i + n] * _WORD_MULT[i % len(_WORD_MULT)]
+    out = np.full(n, np.uint64(len(mask)))
+    for i, place in enumerate(mask):
+        out = out + words[place : place + n] * _WORD_MULT[i % len(_WORD_MULT)]
     return mix(out)
 
 
@@ -62,32 +78,32 @@ class Seeds:
         self.start = self.end - np.array([len(w) for w in words], np.int64)
         self.tables = []
         for n in sorted({min(window, len(w)) for w in words if len(w)}):
-            k = seed_words(n, percent)
             own = [i for i, w in enumerate(words) if min(window, len(w)) == n]
-            seeds = [seed_hashes(words[i], k) for i in own]
-            h = np.concatenate(seeds)
-            item = np.repeat(own, [len(x) for x in seeds])
-            place = np.concatenate([np.arange(len(x)) for x in seeds])
-            order = np.argsort(h, kind="stable")
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((n, k, h[order], item[order], place[order], maybe))
+            for mask in masks(n, percent):
+                seeds = [seed_hashes(words[i], mask) for i in own]
+                h = np.concatenate(seeds)
+                item = np.repeat(own, [len(x) for x in seeds])
+                place = np.concatenate([np.arange(len(x)) for x in seeds])
+                order = np.argsort(h, kind="stable")
+                maybe = np.zeros(1 << 20, bool)
+                maybe[(h >> np.uint64(44)).astype(np.int64)] = True
+                self.tables.append((n, mask, h[order], item[order], place[order], maybe))
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, first word in the text, first word in the item, words, equal words): each item's best window."""
         best: dict[int, tuple] = {}
-        hashes: dict[int, np.ndarray] = {}
-        for n, k, keys, item, place, maybe in self.tables:
-            if k not in hashes:
-                hashes[k] = seed_hashes(words, k)
-            at = np.flatnonzero(maybe[(hashes[k] >> np.uint64(44)).astype(np.int64)])
-            lo = np.searchsorted(keys, hashes[k][at], "left")
-            upto = np.cumsum(np.searchsorted(keys, hashes[k][at], "right") - lo)
+        hashes: dict[tuple, np.ndarray] = {}
+        for n, mask, keys, item, place, maybe in self.tables:
+            if mask not in hashes:
+                hashes[mask] = seed_hashes(words, mask)
+            at = np.flatnonzero(maybe[(hashes[mask] >> np.uint64(44)).astype(np.int64)])
+            lo = np.searchsorted(keys, hashes[mask][at], "left")
+            upto = np.cumsum(np.searchsorted(keys, hashes[mask][at], "right") - lo)
             for first in range(0, int(upto[-1]) if len(upto) else 0, BLOCK_HITS):
                 hit = np.arange(first, min(first + BLOCK_HITS, int(upto[-1])))
                 of = np.searchsorted(upto, hit, "right")
                 row = lo[of] + hit - np.where(of > 0, upto[of - 1], 0)
-                self._verify(words, n, k, at[of], item[row], place[row], best)
+                self._verify(words, n, mask[-1] + 1, at[of], item[row], place[row], best)
         return [(self.ids[i], at, own, n, equal) for i, (equal, at, own, n) in ((i, (-a, b, c, d)) for i, (a, b, c, d) in best.items())]
 
     def _verify(self, words: np.ndarray, n: int, k: int, at: np.ndarray, item: np.ndarray, place: np.ndarray, best: dict[int, tuple]) -> None:
@@ -105,24 +121,27 @@ class Seeds:
             best[i] = min(best.get(i, found), found)
 
 
+def _blocks(items: DataFrame, window: int, percent: int) -> Iterator:
+    """Broadcasts of the Seeds of the items (item_id, text), in blocks of BLOCK_CHARS characters."""
+    spark = items.sparkSession
+    items = items.selectExpr("cast(item_id as long) item_id", "text").filter("text is not null")
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    for block in range(blocks):
+        rows = items.filter(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {block}")).collect()
+        yield spark.sparkContext.broadcast(Seeds([(r["item_id"], r["text"]) for r in rows], window, percent))
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80) -> DataFrame:
     """Per document and test item found in it: doc_id, item_id, word (in the text), item_word, n_words, n_equal.
 
     docs: doc_id, text; items: item_id, text. The items go to the executors in
     blocks of BLOCK_CHARS characters; every block costs a pass over the documents.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    items = items.selectExpr("cast(item_id as long) item_id", "text").filter("text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // BLOCK_CHARS))
     names = ["doc_id", "item_id", "word", "item_word", "n_words", "n_equal"]
 
-    def found(block: int) -> DataFrame:
-        rows = items.filter(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {block}")).collect()
-        seeds = spark.sparkContext.broadcast(Seeds([(r["item_id"], r["text"]) for r in rows], window, percent))
-
+    def found(seeds) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, "text"):
                 hits = [(i, *hit) for i, view in enumerate(text_views(batch.column(1))) for hit in seeds.value.leaks(letter_words(view)[0])]
@@ -132,12 +151,19 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80
 
         return docs.mapInArrow(search, ", ".join(f"{n} long" for n in names))
 
-    out = found(0)
-    for block in range(1, blocks):
-        out = out.union(found(block))
-    return out
+    return reduce(DataFrame.union, map(found, _blocks(items, window, percent)))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that hold no test item. Rows without doc_id stay."""
-    return without_ids(docs, leaks(docs, items, window, percent))
+    """The rows of ``docs`` whose text holds no test item: one filter a block of items, without a shuffle."""
+
+    def clean(seeds):
+        def test(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in texts:
+                yield pa.array([not seeds.value.leaks(letter_words(view)[0]) for view in text_views(column)], pa.bool_())
+
+        return F.arrow_udf(test, "boolean")
+
+    for seeds in _blocks(items, window, percent):
+        docs = docs.filter(clean(seeds)("text"))
+    return docs

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from quillstream.llm import queries as Q
-from quillstream.llm.decontaminate import Seeds, seed_words
+from quillstream.llm.decontaminate import Seeds, leaks, masks, without_leaks
 from quillstream.llm.substring_dedup import letter_words
 
 
@@ -19,11 +19,16 @@ def _hashed(words):
 
 
 @pytest.mark.parametrize("n", range(1, 21))
-def test_every_substitution_pattern_has_a_seed(n):
+def test_every_substitution_pattern_leaves_a_mask(n):
+    """All placements of the words that may differ: recall is 1 at the threshold itself."""
     allowed = n - -(-80 * n // 100)
     for gone in combinations(range(n), allowed):
-        cuts = [-1, *gone, n]
-        assert max(b - a - 1 for a, b in zip(cuts, cuts[1:])) >= seed_words(n, 80)
+        assert any(not {at + i for i in mask} & set(gone) for mask in masks(n, 80) for at in range(n - mask[-1]))
+
+
+def test_masks_are_spaced():
+    assert all(len(m) < m[-1] + 1 for m in masks(20, 80))
+    assert masks(30, 50) == (tuple(range(1)),) and masks(4, 80) == (tuple(range(4)),)
 
 
 @pytest.mark.parametrize("n", [5, 10, 13, 16, 17, 20])
@@ -71,3 +76,20 @@ def test_long_items_against_brute():
     docs = [(i, " ".join(f"v{rng.randrange(9)}" for _ in range(80)) + " " + rng.choice(items)[1]) for i in range(20)]
     seeds = Seeds(items)
     assert {(i, *hit) for i, t in docs for hit in seeds.leaks(_hashed(t.split()))} == _brute(docs, items)
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows and ids, a null id, empty tables, clashing columns."""
+    item = " ".join(f"w{i}" for i in range(20))
+    texts = [(1, None), (2, ""), (3, item), (3, item), (3, "other"), (None, item), (4, "x " * 200_000 + item + " y" * 100_000), (5, f"{item} {item}"), (6, "w1 w2 w3")]
+    docs = spark.createDataFrame([(i, t, 7, 8) for i, t in texts], "doc_id long, text string, item_id int, n_equal int")
+    items = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (None, item, 0)], "item_id long, text string, doc_id int")
+    got = [(r["doc_id"], r["item_id"], r["word"]) for r in leaks(docs, items).collect()]
+    want = [(3, 0), (3, 0), (None, 0), (4, 200_000), (5, 0)]
+    assert sorted(got, key=repr) == sorted([(i, j, at) for i, at in want for j in (1, None)], key=repr)
+    kept = without_leaks(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"]) == [(3, "other"), (6, "w1 w2 w3")] and kept.count() == 4
+    none = spark.createDataFrame([], docs.schema)
+    assert leaks(none, items).count() == without_leaks(none, items).count() == 0
+    assert leaks(docs, items.limit(0)).count() == 0 and without_leaks(docs, items.limit(0)).count() == len(texts)
