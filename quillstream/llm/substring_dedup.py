@@ -20,13 +20,17 @@ same passage at an earlier place, so every passage stays somewhere.
 A repeated stretch that is neither whole units nor WINDOW words inside one unit
 keeps its broken ends; of scripts without spaces, whole units only.
 
-Counts are pre-aggregated before the shuffle and joined back, so a passage that
-fills a third of the corpus never meets in one group.
-
-Nulls count as empty. Rows of one doc_id count as one document: each loses what
-any of them loses, and an exact repetition of a row removes nothing. Rows without
-doc_id come back whole and neither remove nor are kept for others. An empty table
-gives an empty result.
+First the hashes alone are counted (combined map-side); only those met twice are
+joined back to their places, in a join of two written sides whose hot keys Spark
+can split, and only what comes out of it is grouped for its earliest place, again
+as a minimum that combines map-side. So a passage that fills a third of the corpus
+never meets in one group.
+
+Nulls count as empty. Rows of one doc_id are told apart by their texts: of two
+that share a passage the earlier place keeps it, then that of the smaller hash of
+the text; an exact repetition of a row removes nothing. Rows without doc_id come
+back whole and neither remove nor are kept for others. An empty table gives an
+empty result. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,8 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, SPACE, by_bytes, mix, small_batches, text_views
-from .common import _BASE, _BASE_INV, _powers, _Tables, prefix_hash
+from .common import _BASE, _BASE_INV, _LOWER, _powers, _Tables, SPACE, by_bytes, discard, materialise, mix, named_rows, prefix_hash, text_views
 
 _OTHER = 0xD6E8FEB86659FD93 | 1
 _OTHER_INV = pow(_OTHER, -1, 2**64)
@@ -48,10 +51,28 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
+#: Least words of a passage that is removed: single sentences recur by chance in texts that share nothing else.
+LEAST_WORDS = 25
 #: Words of the windows laid over units of that many words or more.
 WINDOW = 50
 
 
+class _WordPowers:
+    """Powers of two bases and of their inverses, grown to the longest text that the worker met (in words)."""
+
+    tables = [_powers(x, 1 << 12) for x in (_BASE, _BASE_INV, _OTHER, _OTHER_INV)]
+
+    @classmethod
+    def upto(cls, n: int) -> list[np.ndarray]:
+        if n > len(cls.tables[0]):
+            size = 1 << n.bit_length()
+            tables = [_powers(x, size) for x in (_BASE, _BASE_INV, _OTHER, _OTHER_INV)]
+            if n > 1 << 20:  # too large to keep
+                return tables
+            cls.tables = tables
+        return cls.tables
+
+
 def letter_words(data: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte) of each run of letters and digits, A-Z lower-cased, parted at ``cuts`` too."""
     inside = np.zeros(len(data) + 2, np.int8)
@@ -120,41 +141,58 @@ def passages(data: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
         p, q = a[new], b[np.append(new[1:], len(start)) - 1] if len(new) else b[:0]
         own = size[q] - size[p] >= least
         runs.append((p[own], q[own]))
-    runs += [(p := np.arange(x, y - WINDOW + 1), p + WINDOW) for x, y in zip(a, b, strict=True) if y - x >= WINDOW]
+    long = np.flatnonzero(b - a >= WINDOW)
+    runs += [(p := np.arange(x, y - WINDOW + 1), p + WINDOW) for x, y in zip(a[long], b[long], strict=True)]
     code = np.unique(np.concatenate([p * (len(words) + 1) + q for p, q in runs]))
     p, q = np.divmod(code, len(words) + 1)
     before, end = np.zeros(len(words), np.int64), last.copy()
     before[a], end[b - 1] = first[a] - start, stop
     out = []
-    for base, inverse in ((_BASE, _BASE_INV), (_OTHER, _OTHER_INV)):
-        up, down = _powers(base, len(words) + 1), _powers(inverse, len(words) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1])])
+    powers = _WordPowers.upto(len(words) + 1)
+    for up, down in (powers[:2], powers[2:]):
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * up[: len(words)], out=sums[1:])
         out.append(mix((sums[q] - sums[p]) * down[p] + (q - p).astype(np.uint64)).view(np.int64))
-    return out[0], out[1], first[p], before[p].astype(np.int32), end[q - 1] - first[p]
+    return out[0], (out[1] >> 32).astype(np.int32), first[p].astype(np.int32), before[p].astype(np.int32), (end[q - 1] - first[p]).astype(np.int32)
 
 
-ROWS = "h long, g long, start long, before int, length long"
+ROWS = "doc_id long, u int, h long, g int, start int, before int, length int"
 
 
 def _passage_rows(docs: DataFrame, least_words: int) -> DataFrame:
+    names = [x.split()[0] for x in ROWS.split(", ")]
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            ids, parts = [], []
-            for i, view in enumerate(text_views(batch.column(1))):
-                parts.append(passages(view, least_words))
-                ids.append(np.full(len(parts[-1][0]), i))
+            parts = [passages(view, least_words) for view in text_views(batch.column(2))]
+            own = pa.array(np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts]))
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), *(pa.array(x) for x in columns)], ["doc_id", "h", "g", "start", "before", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x) for x in columns)], names)
 
-    return docs.filter("doc_id is not null").mapInArrow(make, f"doc_id long, {ROWS}")
+    return docs.filter("doc_id is not null").mapInArrow(make, ROWS)
 
 
-def removed_passages(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """Per removed passage: doc_id, start, end (bytes of the original)."""
-    rows = _passage_rows(docs, least_words)  # hashed twice: kept on disk, they would take as much as the texts
-    first = rows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = rows.join(first, ["h", "g"]).filter("doc_id != kept.doc_id or start != kept.start")
-    return again.selectExpr("doc_id", "start - before start", "start + length end")
+def _hash_rows(docs: DataFrame, least_words: int) -> DataFrame:
+    """The passages' first hashes alone."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([passages(view, least_words)[0] for view in text_views(batch.column(0))]))], ["h"])
+
+    return docs.filter("doc_id is not null").select("text").mapInArrow(make, "h long")
+
+
+def removed_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Per removed passage: doc_id, u (a hash that tells texts of one doc_id apart), start, end (bytes of the original)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("u"), "text")
+    # hashed twice: kept on disk, the passages would take as much as the texts
+    often = materialise(_hash_rows(docs, least_words).groupBy("h").count().filter("count > 1").select("h"), "often")
+    met = materialise(_passage_rows(docs, least_words).join(often, "h"), "met")
+    discard(often)
+    first = met.groupBy("h", "g").agg(F.min(F.struct("doc_id", "u", "start")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = materialise(first, "first")
+    again = met.join(first, ["h", "g"]).filter("struct(doc_id, u, start) != kept")
+    return again.selectExpr("doc_id", "u", "cast(start - before as long) start", "cast(start as long) + length end")
 
 
 def spans_to_cut(view: np.ndarray, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -171,37 +209,39 @@ def spans_to_cut(view: np.ndarray, starts: list[int], ends: list[int]) -> list[t
     return out
 
 
-def substring_dedup(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """Every row and column of ``docs`` with its text after removal, and n_bytes, n_removed, n_spans, spans, kept_sha256 (of the original's bytes)."""
-    small_batches(docs.sparkSession)
-    added = {"n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"}
-    docs = docs.drop(*added).withColumn("doc_id", F.col("doc_id").cast("long"))
-    cut = removed_passages(docs.select("doc_id", "text"), least_words)
-    per_doc = cut.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cut"))
-    joined = docs.join(per_doc, "doc_id", "left").select(*docs.columns, "_cut")
-    at = joined.columns.index("text")
-    rest = [f for f in docs.schema.fields]
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_bytes long", "n_removed long", "n_spans long", "spans array<struct<start: long, end: long>>", "kept_sha256 string"]
-    shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            texts, size, removed, spans, digest = [], [], [], [], []
-            for view, known, marks in zip(text_views(batch.column(at)), batch.column(at).is_valid().to_pylist(), batch.column(len(rest)).to_pylist(), strict=True):
-                runs = spans_to_cut(view, *([m[k] for m in marks] for k in ("start", "end"))) if marks else []
-                kept, last = [], 0
-                for a, b in runs:
-                    kept.append(view[last:a].tobytes())
-                    last = b
-                kept = b"".join([*kept, view[last:].tobytes()])
-                texts.append(kept if known else None)
-                size.append(len(view))
-                removed.append(len(view) - len(kept))
-                spans.append([{"start": a, "end": b} for a, b in runs])
-                digest.append(hashlib.sha256(kept).hexdigest())
-            columns = [batch.column(i) for i in range(len(rest))]
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            columns += [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(list(map(len, spans)), pa.int64()), pa.array(spans, shape), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in rest), "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"])
-
-    return joined.mapInArrow(apply, ", ".join(fields))
+REMOVAL = "text string, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def cut_text(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Texts and their removed passages, sorted by start -> REMOVAL."""
+    for texts, marks in columns:
+        out: list[list] = [[], [], [], [], [], []]
+        for view, known, own in zip(text_views(texts), texts.is_valid().to_pylist(), marks, strict=True):
+            own = own.values if own.is_valid else []
+            runs = spans_to_cut(view, *(own.field(k).to_pylist() for k in ("start", "end"))) if len(own) else []
+            left, last = [], 0
+            for a, b in runs:
+                left.append(view[last:a].tobytes())
+                last = b
+            left = b"".join([*left, view[last:].tobytes()])
+            spans = [{"start": a, "end": b} for a, b in runs]
+            for x, v in zip(out, (left if known else None, len(view), len(view) - len(left), len(runs), spans, hashlib.sha256(left).hexdigest()), strict=True):
+                x.append(v)
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.string())
+        arrays = [pa.array(x, t) for x, t in zip(out, types, strict=True)]
+        yield pa.StructArray.from_arrays([arrays[0].cast(pa.string()), *arrays[1:]], ["text", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"])
+
+
+def cut_rows(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Per row: ``row``, a struct of all columns of ``docs`` as they were, and ``removal``, a struct of REMOVAL."""
+    cut = removed_passages(docs, least_words)
+    per_doc = cut.groupBy("doc_id", "u").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
+    # not deterministic to the optimizer, which would else run it once for a filter and once for the result
+    cut_out = F.arrow_udf(cut_text, REMOVAL).asNondeterministic()
+    return named_rows(docs).join(per_doc, ["doc_id", "u"], "left").select("row", cut_out("row.text", "marks").alias("removal"))
+
+
+def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Per row: doc_id, text (what is left), n_bytes, n_removed, n_spans, spans, kept_sha256 (of what is left)."""
+    return cut_rows(docs.select("doc_id", "text"), least_words).select(F.col("row.doc_id").cast("long").alias("doc_id"), "removal.*")

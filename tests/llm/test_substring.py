@@ -7,9 +7,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.llm import queries as Q
-from quillstream.llm.substring_dedup import substring_dedup
+from quillstream.llm.substring_dedup import cut_rows, substring_dedup
 
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
@@ -78,8 +79,8 @@ def brute(docs, least: int = 8):
     return out
 
 
-def _check(df, docs):
-    got, want = df.collect(), brute(docs)
+def _check(df, docs, least=8):
+    got, want = df.collect(), brute(docs, least)
     for r in got:
         assert r["kept_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest(), r["doc_id"]
     assert len(got) == len(docs)
@@ -113,7 +114,7 @@ def texts():
 @pytest.mark.parametrize("name", ["line", "passage", "inner", "cjk", "cjk_sentence", "thai", "para"])
 def test_repeated_passage_goes(spark, texts, name):
     docs = list(enumerate(texts[name]))
-    df = substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    df = substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), 8)
     assert [r["n_removed"] > 0 for r in df.orderBy("doc_id").collect()] == [False, True]
     _check(df, docs)
 
@@ -124,9 +125,30 @@ def test_all_against_brute(spark, small, texts):
     parts = [s for t in docs if t for s in re.split(r"(?<=[.\n])", t)]
     docs += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
     docs = list(enumerate(docs))
-    _check(substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")), docs)
+    _check(substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), 8), docs)
 
 
 def test_query_against_brute(spark, small):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
-    _check(Q.op6_substring_dedup(spark, small), docs)
+    _check(Q.op6_substring_dedup(spark, small), docs, 25)
+
+
+def test_rows_of_one_id_and_clashing_columns(spark):
+    """Rows that share a doc_id lose their own bytes only; a repeated row, a null id, nulls and the caller's columns stay."""
+    rng = random.Random(2)
+    one, two = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(30)) + ". " for c in "ab")
+    long = " ".join(f"z{rng.randrange(10**6)}" for _ in range(60_000)) + "."
+    rows = [(1, one), (1, two + one), (1, ""), (1, None), (2, two), (2, two), (None, one), (3, long), (4, long)]
+    docs = spark.createDataFrame([(i, t, 5, "s", "m") for i, t in rows], "doc_id long, text string, n_bytes int, spans string, row string")
+    out = cut_rows(docs).select("row.*", F.col("removal.text").alias("left"), F.col("removal.n_removed").alias("gone")).collect()
+    assert len(out) == len(rows) and all((r["n_bytes"], r["spans"], r["row"]) == (5, "s", "m") for r in out)
+    left = {}
+    for r in out:
+        left.setdefault((r["doc_id"], r["text"]), []).append(r["left"])
+    assert left[None, one] == [one] and left[1, ""] == [""] and left[1, None] == [None]
+    assert left[3, long] == [long] and left[4, long] == [""]
+    kept = [x for (i, _), y in left.items() if i is not None for x in y if x]
+    assert "".join(kept).count(one.strip()) == 1 and "".join(kept).count(two.strip()) in (1, 2)
+    assert left[2, two] in ([""] * 2, [two] * 2)
+    none = spark.createDataFrame([], docs.schema)
+    assert substring_dedup(none).count() == 0
