@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialise(edges.select("a", "b").filter("a != b").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        now = materialise(_small_star(_large_star(now)).distinct(), "edges")
+        done, now = now, materialise(_small_star(_large_star(now)).distinct(), "edges")
+        discard(done)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

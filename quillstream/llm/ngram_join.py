@@ -6,10 +6,13 @@ in two fixed-size sketches over all documents (of the shingle and of each of its
 words), then by hash. Two sets that reach the threshold share one of their first
 n - ceil(t*n) + 1 shingles, so only these short lists are laid out. Pairs that meet
 there pass an exact filter first: as many parities of hashed shingles as the set
-has members, of which no more can differ than shingles do. The others are
-searched with DivideSkip: the inverted lists of a block of candidates are split
-into short ones, heap-merged, and the longest ones, probed by binary search for
-the candidates that still can reach the required overlap.
+has members, of which no more can differ than shingles do. The sets of the others
+are dealt out in blocks, a set beside those that it may link with; a block's
+inverted lists are laid out once, and every query of the block searches them with
+DivideSkip: its short lists are heap-merged, its longest ones probed by binary
+search for the sets that still can reach the required overlap, and the sets with
+as many occurrences as the threshold asks for are its links. Nothing is
+intersected before, and a link that the filter did not name is one all the same.
 
 Only components are wanted, so pairs that links already connect need no test. Two
 rounds link the members of each list to one of them: first that with the fewest
@@ -42,15 +45,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, mix, shingle_hashes, small_batches, text_views, without_ids, word_hashes
+from .common import BROADCAST_ROWS, by_bytes, discard, materialise, mix, named_rows, shingle_hashes, text_views, word_hashes
 from .components import connected_components
 
 #: Counters of each sketch of frequencies: 2**BITS, and in one row of it 2**ROW.
 BITS, ROW = 22, 14
-#: Candidates searched together.
-BLOCK = 256
-#: Ids up to which the candidates' documents are found by a broadcast; beyond, by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Sets searched together at most, for one query and for all of a block, and bytes of a block's sets.
+BLOCK, BLOCK_SETS, BLOCK_BYTES = 256, 2048, 8 << 20
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -94,26 +95,26 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 def _summaries(docs: DataFrame, k: int) -> DataFrame:
     """Rows of two kinds: a document's class, size and bitmap, and a task's part of the sketches (shingles, then words)."""
-    names = ["doc_id", "cls", "n", "parities", "row", "task", "counts"]
+    names = ["doc_id", "u", "cls", "n", "parities", "row", "task", "counts"]
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(2 << BITS, np.uint32)
         for batch in by_bytes(batches, "text"):
-            words = [word_hashes(v) for v in text_views(batch.column(1))]
+            words = [word_hashes(v) for v in text_views(batch.column(2))]
             sets = [np.unique(shingle_hashes(w, k)) for w in words]
             for base, found in ((0, sets), (1 << BITS, words)):
                 at, n = np.unique(_cells(np.concatenate(found)), return_counts=True)
                 sketch[base + at] += n.astype(np.uint32)
             none = pa.nulls(len(sets))
             columns = [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         task = TaskContext.get().partitionId()
         rows = [i for i, r in enumerate(sketch.reshape(-1, 1 << ROW)) if r.any()]
         none = pa.nulls(len(rows), pa.int64())
         packed = [zlib.compress(sketch[i << ROW : (i + 1) << ROW].tobytes(), 1) for i in rows]
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(rows), pa.int32()), none, none, pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(summarise, "doc_id long, cls long, n long, parities binary, row int, task int, counts binary")
+    return docs.mapInArrow(summarise, "doc_id long, u int, cls long, n long, parities binary, row int, task int, counts binary")
 
 
 def _tiers(rows: DataFrame) -> np.ndarray:
@@ -154,7 +155,7 @@ def _postings(docs: DataFrame, k: int, percent: int, tiers) -> DataFrame:
         done: set[int] = set()
         for batch in by_bytes(batches, "text"):
             tokens, cls, size, at = [], [], [], []
-            for view in text_views(batch.column(1)):
+            for view in text_views(batch.column(0)):
                 words = word_hashes(view)
                 if not len(words):
                     continue
@@ -170,25 +171,26 @@ def _postings(docs: DataFrame, k: int, percent: int, tiers) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size)), pa.array(np.concatenate(at))], ["token", "cls", "n", "at"])
 
-    return docs.mapInArrow(lay, "token long, cls long, n long, at int")
+    return docs.select("text").mapInArrow(lay, "token long, cls long, n long, at int")
 
 
-def _sets(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(cls, shingles) of the given classes, from one document each."""
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles) of the wanted classes, from one document each."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            sets = [shingle_set(v, k) for v in text_views(batch.column(1))]
+            sets = [shingle_set(v, k) for v in text_views(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
-    ids = materialise(members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "candidates")
-    few = ids.count() <= BROADCAST_ROWS
-    return materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(make, "cls long, shingles binary"), "sets")
+    ids = classes.join(wanted, "cls", "left_semi").select(F.col("first").alias("doc_id"))
+    rows = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(make, "cls long, shingles binary")
+    return materialise(rows.dropDuplicates(["cls"]), "sets")  # rows of one doc_id may be of one class
 
 
-def _near(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps do not rule out."""
-    own = members.groupBy("cls").agg(F.first("n").alias("n"), F.first("parities").alias("p"))
+    met = materialise(pairs.selectExpr("a cls").union(pairs.selectExpr("b cls")).distinct(), "met")
+    own = materialise(classes.join(met, "cls", "left_semi").select("cls", "n", "parities"), "own")
     both = pairs.join(own.toDF("a", "n", "p"), "a").join(own.toDF("b", "m", "q"), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,81 +200,94 @@ def _near(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             low = np.fromiter((differing(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(5), strict=True)), np.int64, len(n))
             yield batch.filter(pa.array(low <= most)).select(["a", "b"])
 
-    return both.select("a", "b", "n", "p", "m", "q").mapInArrow(test, "a long, b long")
-
-
-def divide_skip(query: np.ndarray, block: list[np.ndarray], percent: int) -> list[int]:
-    """Which sets of the block reach the threshold with the query set (sorted, distinct hashes).
-
-    T-occurrence over the block's inverted lists: with T the least overlap that
-    any of them needs, the L = T / (0.01 * log2(longest list) + 1) longest lists
-    are set aside; the others are heap-merged, and a set found in need - L of
-    them or more is looked up in the long ones by binary search.
-    """
-    need = [least_overlap(len(query), len(s), percent) for s in block]
-    found = [np.searchsorted(query, s) for s in block]
-    hit = [p[query[np.minimum(p, len(query) - 1)] == s] for p, s in zip(found, block, strict=True)]
-    place = np.concatenate(hit)
-    member = np.repeat(np.arange(len(block)), [len(h) for h in hit])
-    order = np.lexsort((member, place))
-    place, member = place[order], member[order]
-    first = np.searchsorted(place, np.arange(len(query) + 1))
-    lengths = np.diff(first)
-    t = max(1, min(need))
-    long_lists = min(t - 1, int(t / (0.01 * math.log2(max(2, lengths.max())) + 1)))
-    rank = np.argsort(lengths, kind="stable")
-    short, probe = rank[: len(rank) - long_lists], np.sort(rank[len(rank) - long_lists :])
-    merged = heapq.merge(*(member[first[i] : first[i + 1]].tolist() for i in short if lengths[i]))
-    keys = place * len(block) + member
-    out = []
-    for c, occurrences in groupby(merged):
-        n = sum(1 for _ in occurrences)
-        if n < need[c] - long_lists:
-            continue
-        if len(probe):
-            wanted = probe * len(block) + c
-            at = np.searchsorted(keys, wanted)
-            n += int((keys[np.minimum(at, len(keys) - 1)] == wanted).sum())
-        if n >= need[c]:
-            out.append(c)
-    return out
+    near = materialise(both.select("a", "b", "n", "p", "m", "q").mapInArrow(test, "a long, b long"), "near")
+    discard(met, own)
+    return near
+
+
+class Lists:
+    """The inverted lists of a block of sets: for each shingle the sets that hold it, in order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        shingles, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(shingles, kind="stable")
+        shingles, self.member = shingles[order], member[order]
+        first = np.flatnonzero(np.diff(shingles, prepend=~shingles[:1]))
+        self.shingles, self.first = shingles[first], np.append(first, len(shingles))
+
+    def search(self, query: np.ndarray, percent: int) -> list[int]:
+        """Which sets reach the threshold with the query set (sorted, distinct hashes), by DivideSkip.
+
+        With T the least overlap that any set of a fitting size needs, the
+        L = T / (0.01 * log2(longest list) + 1) longest of the query's lists are
+        set aside; the others are heap-merged, and a set found there in need - L
+        of them or more is looked up in the long ones by binary search.
+        """
+        n = len(query)
+        fits = (100 * self.sizes >= percent * n) & (100 * n >= percent * self.sizes)
+        if not fits.any():
+            return []
+        need = np.where(fits, least_overlap(n, self.sizes, percent), 1 << 60)
+        t = int(need.min())
+        at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
+        at = at[self.shingles[at] == query]
+        if len(at) < t:
+            return []
+        start, end = self.first[at], self.first[at + 1]
+        lengths = end - start
+        n_long = min(t - 1, int(t / (0.01 * math.log2(max(2, lengths.max())) + 1)))
+        rank = np.argsort(lengths, kind="stable")
+        short, probe = rank[: len(rank) - n_long], rank[len(rank) - n_long :]
+        merged = heapq.merge(*(self.member[start[i] : end[i]].tolist() for i in short))
+        occurrences = {c: count for c, own in groupby(merged) if (count := sum(1 for _ in own)) >= need[c] - n_long}
+        if not n_long:
+            return [c for c, count in occurrences.items() if count >= need[c]]
+        out = []
+        wanted = np.fromiter(occurrences, np.int64, len(occurrences))
+        found = np.fromiter(occurrences.values(), np.int64, len(occurrences))
+        for i in probe:  # one binary search a long list, for all sets that are left
+            own = self.member[start[i] : end[i]]
+            place = np.searchsorted(own, wanted)
+            found += own[np.minimum(place, len(own) - 1)] == wanted
+        out += wanted[found >= need[wanted]].tolist()
+        return out
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets reach the threshold."""
+    """Links (a, b) among the sets of ``pairs``, and so all of ``pairs`` that reach the threshold."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     asked = pairs.join(blocks, "a").withColumn("block", F.expr("pmod(xxhash64(b), blocks)"))
     other = asked.join(sets.toDF("b", "shingles"), "b").select("a", "block", "b", "shingles")
     own = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(sets.toDF("a", "shingles"), "a")
     rows = own.select("a", "block", F.lit(None).cast("long").alias("b"), "shingles").union(other)
-    laid = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    laid = rows.repartition("a", "block").sortWithinPartitions("a", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, name, ids, block, out = None, None, [], [], []
-
-        def flush() -> None:
-            if ids:
-                out.extend((name, ids[i]) for i in divide_skip(query, block, percent))
-                ids.clear()
-                block.clear()
+        queries: dict[int, np.ndarray] = {}
+        members: dict[int, np.ndarray] = {}
+        held, now = 0, None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if queries and members:
+                names, lists = list(members), Lists(list(members.values()))
+                out = [(a, names[i]) for a, query in queries.items() for i in lists.search(query, percent) if names[i] != a]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+            queries.clear()
+            members.clear()
 
         for batch in batches:
-            for a, b, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                s = np.frombuffer(raw.as_py(), np.uint64)
-                if b is None:
-                    flush()
-                    query, name = s, a
-                    continue
-                ids.append(b)
-                block.append(s)
-                if len(ids) == BLOCK:
-                    flush()
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
-                out.clear()
-        flush()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+            for a, block, b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if (a, block) != now and (held > BLOCK_BYTES or len(members) > BLOCK_SETS):
+                    yield from links()  # a query and all its sets of one block lie in one
+                    held = 0
+                now, shingles = (a, block), np.frombuffer(raw.as_py(), np.uint64)
+                into, name = (queries, a) if b is None else (members, b)
+                if name not in into:
+                    into[name] = shingles
+                    held += shingles.nbytes
+        yield from links()
 
     return laid.mapInArrow(search, "a long, b long")
 
@@ -286,23 +301,21 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(mixed, "token")
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id of its component).
-
-    Documents link when 100 * intersection >= percent * union of their sets of
-    k-word shingles (words: runs without ASCII white space, A-Z lower-cased).
-    """
+def _linked(docs: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
+    """Per row: doc_id, u (a hash that tells texts of one doc_id apart), n, root (of its class), component (least doc_id)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("u"), "text")
     summary = materialise(_summaries(docs, k), "summaries")
-    members = summary.filter("row is null").select("doc_id", "cls", "n", "parities")
+    members = summary.filter("row is null").select("doc_id", "u", "cls", "n")
+    known = summary.filter("row is null and n > 0")
+    classes = known.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("parities").alias("parities"))
+    classes = materialise(classes.filter("first is not null"), "classes")  # min of doc_id: a class without one links nothing
     tiers = spark.sparkContext.broadcast(_tiers(summary))
 
     laid = _postings(docs.filter("doc_id is not null"), k, percent, tiers).repartition("token").dropDuplicates(["token", "cls"])
     lists = materialise(laid.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).filter("_n > 1").drop("_n"), "lists")
+    tiers.unpersist()
 
-    known = members.filter("doc_id is not null and n > 0")
     # both have enough left from the shared shingle on; other, m, o and root are of the second
     enough = f"least(n - at, m - o) * {100 + int(percent)} >= {int(percent)} * (n + m) and comp != root"
     links, labels = None, None
@@ -315,29 +328,45 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         else:  # members of the lead's component are not tried with each other
             apart = now.join(lead.selectExpr("t", "root"), F.expr("token = t and comp != root")).selectExpr("token t", "cls other", "n m", "at o", "comp root")
             met = now.join(apart, F.expr(f"token = t and {enough}"))
-        pairs = materialise(_near(met.selectExpr("least(cls, other) a", "greatest(cls, other) b").distinct(), known, percent), "pairs")
-        sets = _sets(docs, known, pairs.selectExpr("a cls").union(pairs.selectExpr("b cls")).distinct(), k)
-        found = materialise(_links(pairs, sets, percent), "links")
+        pairs = materialise(met.selectExpr("least(cls, other) a", "greatest(cls, other) b").distinct(), "pairs")
+        near = _near(pairs, classes, percent)
+        sets = _sets(docs, classes, near.selectExpr("a cls").union(near.selectExpr("b cls")).distinct(), k)
+        found = materialise(_links(near, sets, percent), "links")
+        discard(pairs, near, sets)
         links = found if links is None else links.union(found)
         if labels is None or not found.isEmpty():
-            labels = materialise(connected_components(links), "labels")
+            old, labels = labels, materialise(connected_components(links), "labels")
+            discard(*([old] if old is not None else []))
 
-    classes = members.groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = classes.join(labels.toDF("cls", "root"), "cls", "left").selectExpr("cls", "first", "coalesce(root, cls) root")
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(least, "root").select("cls", "component")
-    return members.join(named, "cls", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-    )
+    named = materialise(named.join(least, "root").select("cls", "root", "component"), "components")
+    discard(lists, classes, labels)
+    return members.join(named, "cls", "left").select("doc_id", "u", "n", "root", "component")
+
+
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least doc_id of its component).
+
+    Documents link when 100 * intersection >= percent * union of their sets of
+    k-word shingles (words: runs without ASCII white space, A-Z lower-cased).
+    """
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    return _linked(docs, k, percent, rounds).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
-    """The rows of ``docs`` without those linked to one of a smaller doc_id; of rows of one doc_id, one stays."""
-    groups = ngram_components(docs, k, percent, rounds)
-    kept = without_ids(docs, groups.filter("doc_id != component_id"))
-    again = materialise(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    return without_ids(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """The rows of ``docs`` without those linked to one of a smaller doc_id (or, in one doc_id, of a smaller hash of the text).
+
+    Of a repeated row one stays. Rows without doc_id or without a word stay.
+    """
+    linked = materialise(_linked(docs, k, percent, rounds).filter("doc_id is not null and n > 0"), "linked")
+    lead = linked.groupBy("root").agg(F.min(F.struct("doc_id", "u")).alias("lead"))
+    lost = materialise(linked.join(lead, "root").filter("struct(doc_id, u) != lead").select("doc_id", "u").distinct(), "lost")
+    again = materialise(linked.groupBy("doc_id", "u").count().filter("count > 1").select("doc_id", "u"), "again")
+    few = lost.count() <= BROADCAST_ROWS
+    rows = named_rows(docs)
+    kept = rows.join(F.broadcast(lost) if few else lost, ["doc_id", "u"], "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, ["doc_id", "u"], "left_anti").unionByName(kept.join(again, ["doc_id", "u"], "left_semi").dropDuplicates(["doc_id", "u"]))
+    return kept.select("row.*")
