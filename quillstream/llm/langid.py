@@ -10,14 +10,16 @@ matrix with (landmark presence x landmark weights), scaled by each text's norm.
 n-grams are taken from whole texts, over lower-cased letters with every run of
 other characters as one blank, and hashed to DIMS columns.
 
-The fit uses a bounded sample: of the training rows (crc32 of the id as text,
-modulo 4, not 2; a language given; a letter in the text), the LANDMARKS and
-TRAIN rows of each language that come first by a hash of the text. Everything
-else covers all rows. Only the text goes into a prediction.
+The fit uses a bounded sample of the training rows (crc32 of the id as text,
+modulo 4, not 2; a language given; a letter in the text): of each language up to
+``per_language`` different texts, as long as those before have less than
+``budget`` characters together, so every language has one at least. Texts of up
+to ``usual`` characters come first, then by a hash of the text. Everything else
+covers all rows. Only the text goes into a prediction.
 
 Nulls and texts without a letter get ``und`` and score 0. Repeated rows repeat in
 the result. An empty table, or one without a training row, gives ``und`` for all.
-Rows without doc_id count as not held out. Other columns are not read.
+Rows without doc_id count as not held out. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -30,28 +32,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix, small_batches
+from .common import by_bytes, mix
 
 #: Hashed columns of the presence matrix; a power of two.
 DIMS = 1 << 15
-#: Rows of each language in the sample: landmarks, and rows of the regression (landmarks included).
-LANDMARKS, TRAIN = 64, 400
-#: Longest sample text, in characters: longer rows are not drawn, so the sample is bounded in bytes too.
-LONGEST = 20_000
+#: Rows of each language in the sample: landmarks (of all languages together MOST_LANDMARKS), and rows of the
+#: regression (landmarks included).
+LANDMARKS, MOST_LANDMARKS, TRAIN = 64, 2048, 400
+#: Characters of a language's sample, and of a text that comes before longer ones.
+BUDGET, USUAL = 2_000_000, 20_000
 RIDGE = 0.3
+#: Characters whose n-grams are hashed at a time.
+BLOCK = 1 << 17
 
 LETTER = r"\p{L}"
 
 
 def ngram_columns(text: str) -> np.ndarray:
     """Distinct hashed columns of a normalised text's n-grams, n from 1 to 3."""
-    codes = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    every = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
     seen = np.zeros(DIMS, bool)
-    gram = codes
-    for n in (1, 2, 3):
-        if n > 1:
-            gram = (gram[:-1] << np.uint64(21)) ^ codes[n - 1 :]
-        seen[(mix(gram + np.uint64(n << 60)) & np.uint64(DIMS - 1)).astype(np.int64)] = True
+    for at in range(0, len(every), BLOCK):
+        gram = codes = every[at : at + BLOCK + 2].astype(np.uint64)
+        for n in (1, 2, 3):
+            if n > 1:
+                gram = (gram[:-1] << np.uint64(21)) ^ codes[n - 1 :]
+            seen[(mix(gram + np.uint64(n << 60)) & np.uint64(DIMS - 1)).astype(np.int64)] = True
     return np.flatnonzero(seen)
 
 
@@ -76,6 +82,7 @@ class KernelRidge:
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelRidge:
         classes = sorted(set(langs))
+        landmarks = max(2, min(landmarks, MOST_LANDMARKS // len(classes)))
         columns = [ngram_columns(t).astype(np.int32) for t in normalised(pa.array(texts, pa.string())).to_pylist()]
         nth = {c: 0 for c in classes}
         chosen = []
@@ -99,44 +106,60 @@ class KernelRidge:
         return presence([ngram_columns(t) for t in texts]) @ self.weights
 
 
-def training_sample(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
-    """(text, lang) of at most ``per_language`` training rows a language, the first by a hash of the text."""
+def training_sample(docs: DataFrame, per_language: int = TRAIN, budget: int = BUDGET, usual: int = USUAL) -> DataFrame:
+    """(lang, _n, text) of the training texts drawn for each language, ``_n`` their place."""
     fit = docs.filter("lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 != 2")
-    fit = fit.filter(F.col("text").rlike(LETTER) & (F.length("text") <= LONGEST)).select("lang", F.xxhash64("text").alias("_h"), "text")
+    size = F.length("text").cast("long")
+    fit = fit.filter(F.col("text").rlike(LETTER)).select("lang", (size > usual).alias("_long"), F.xxhash64("text").alias("_h"), size.alias("_size"), "text")
+    # Of each language and kind of length a share of the hashes is ranked that holds about four times the texts needed,
+    # by a sketch of how many different ones there are; a rank over all of them would meet in one task a language.
+    kinds = fit.groupBy("lang", "_long").agg(F.approx_count_distinct("_h", 0.02).alias("_kinds"))
+    share = F.shiftright(F.col("_h"), 1) + F.lit(1 << 62) <= F.lit(float(1 << 63)) * F.least(F.lit(1.0), F.lit(4.0 * per_language + 100) / F.col("_kinds"))
+    near = fit.join(F.broadcast(kinds), ["lang", "_long"]).filter(share).select("lang", "_long", "_h", "_size").distinct()
+    order = Window.partitionBy("lang").orderBy("_long", "_h", "_size")
+    before = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    drawn = near.withColumn("_n", F.row_number().over(order)).withColumn("_before", F.coalesce(before, F.lit(0)))
+    drawn = drawn.filter((F.col("_n") <= per_language) & (F.col("_before") < budget)).select("lang", "_h", "_n")
     # ranks move hashes only; the drawn rows, a bounded number, find their texts by a broadcast
-    first = Window.partitionBy("lang").orderBy("_h")
-    drawn = fit.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
     return fit.join(F.broadcast(drawn), ["lang", "_h"]).groupBy("lang", "_n").agg(F.min("text").alias("text"))
 
 
-def identified(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
-    """Every row and column of ``docs`` (doc_id, text, lang and others) with held_out, lang_pred and score (0 to 1)."""
+def predictor(docs: DataFrame, per_language: int = TRAIN):
+    """Learns from ``docs`` (doc_id, text, lang); returns a function from a text column to struct(lang_pred, score)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    added = ["held_out", "lang_pred", "score"]
-    docs = docs.drop(*added).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sample = sorted((r["lang"], r["_n"], r["text"]) for r in training_sample(docs, per_language).toLocalIterator())
+    rows = training_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), per_language).toLocalIterator()
+    sample = sorted((r["lang"], r["_n"], r["text"]) for r in rows)
     model = spark.sparkContext.broadcast(KernelRidge.fit([t for *_, t in sample], [x for x, *_ in sample]) if sample else None)
-    del sample
-    names, at = docs.columns, docs.columns.index("text")
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 1 << 20):
-            texts = normalised(batch.column(at))
-            able = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False) & (model.value is not None)
-            langs, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            for part in np.array_split(np.flatnonzero(able), -(-int(able.sum()) // 256) or 1):
-                if len(part):
-                    raw = model.value.scores([texts[int(i)].as_py() for i in part])
-                    langs[part] = np.array(model.value.classes, object)[raw.argmax(1)]
-                    score[part] = np.clip((raw.max(1).astype(np.float64) + 1) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs.tolist(), pa.string()), pa.array(score)], [*names, *added])
-
-    rows = docs.withColumn("held_out", F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return rows.mapInArrow(predict, ", ".join([*fields, "held_out boolean", "lang_pred string", "score double"]))
+
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            langs, score = [], []
+            for batch in by_bytes([pa.RecordBatch.from_arrays([column], ["text"])], "text", 1 << 20):
+                known = normalised(batch.column(0))
+                able = pc.match_substring_regex(known, r"\pL").to_numpy(zero_copy_only=False) & (model.value is not None)
+                names, best = np.full(len(known), "und", object), np.zeros(len(known))
+                for part in np.array_split(np.flatnonzero(able), -(-int(able.sum()) // 256) or 1):
+                    if len(part):
+                        raw = model.value.scores([known[int(i)].as_py() for i in part])
+                        names[part] = np.array(model.value.classes, object)[raw.argmax(1)]
+                        best[part] = np.clip((raw.max(1).astype(np.float64) + 1) / 2, 0, 1)
+                langs += names.tolist()
+                score += best.tolist()
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    # Not deterministic to the optimizer, which would else run it once for a filter and once for the result.
+    return F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()
+
+
+def claimed(docs: DataFrame, least_score: float, per_language: int = TRAIN) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and others) that a learned language claims with ``least_score`` or more."""
+    predict = predictor(docs, per_language)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), predict("text").alias("p"))
+    return rows.filter(f"p.lang_pred != 'und' and p.score >= {float(least_score)}").select("row.*")
 
 
 def identify(docs: DataFrame, per_language: int = TRAIN) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score (0 to 1)."""
-    return identified(docs.select("doc_id", "text", "lang"), per_language).select("doc_id", "held_out", "lang_pred", "score")
+    predict = predictor(docs, per_language)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), predict("text").alias("p"))
+    return rows.selectExpr("doc_id", "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false) held_out", "p.lang_pred", "p.score")
