@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import materialise
+from quillstream.llm.common import discard, materialise
 from quillstream.llm.decontaminate import without_leaks
-from quillstream.llm.langid import identified
+from quillstream.llm.langid import claimed
 from quillstream.llm.ngram_join import one_of_each
 from quillstream.llm.packing import pack
-from quillstream.llm.substring_dedup import substring_dedup
+from quillstream.llm.substring_dedup import cut_rows
 
 #: Below this score no language claims a text: texts unlike every learned language score near 0.5, the zero
 #: margin. Of 1,501 rows kept from the fit 7 lie below, and all random texts of 20 words or more in four scripts.
@@ -24,7 +24,7 @@ LEAST_SCORE = 0.53
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that no learned language claims."""
-    return identified(docs).filter(f"lang_pred != 'und' and score >= {LEAST_SCORE}").select(*docs.columns)
+    return claimed(docs, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated units from the texts, and documents of which nothing is left."""
-    cut = substring_dedup(docs).filter("n_removed = 0 or n_removed < n_bytes")
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = cut_rows(docs).filter("removal.n_removed = 0 or removal.n_removed < removal.n_bytes")
+    new = {"text": F.col("removal.text"), "n_chars": F.length("removal.text").cast(docs.schema["n_chars"].dataType)}
+    return left.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each one's result is written and reread as the next one's docs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        done, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(done)
     return STAGES[-1][1](spark, docs, sf_dir)

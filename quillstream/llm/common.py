@@ -3,6 +3,7 @@ word and byte-window hashing of Arrow string batches."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,13 +31,15 @@ CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset (local runs)."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one of our own, for a local master only."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="quillstream-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -51,24 +54,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_scratch"] = path
+    return out
 
 
-#: Ids up to which rows are dropped by a broadcast of them; beyond, by a shuffle.
-BROADCAST_IDS = 400_000
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` returned, once nothing is to be computed from them any more."""
+    for table in tables:
+        if path := table.__dict__.pop("_scratch", None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``ids`` (doc_id); rows without doc_id stay."""
-    ids = materialise(ids.select("doc_id").filter("doc_id is not null").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+#: Rows up to which others are dropped by a broadcast of what names them; beyond, by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in Arrow batches of at most ``rows`` rows, which bounds a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def named_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, u (a hash that tells texts of one doc_id apart) and ``row``, a struct of all columns of ``docs``."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("u"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, small_batches
+from .common import by_bytes, materialise
 from .subword import byte_ids, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -42,7 +42,6 @@ def pieces(docs: DataFrame, most: int = 2048, end_id: int = 1, vocabulary: str |
     """Per piece: doc_id, start, length, ids_crc32 (little-endian unsigned 32-bit ids), doc_tokens."""
     if most < 1 or most & (most - 1):
         raise ValueError("most must be a power of two")
-    small_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
     names = [x.split()[0] for x in PIECES.split(", ")]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's cache; beyond it, new chunks are encoded without being kept.
-CACHE = 500_000
+CACHE = 150_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -120,9 +120,11 @@ class ByteIds:
 class PieceCounts:
     """Token counts of the piece BPE: a given table of frequent pre-tokens first, then a worker's cache, then the library.
 
-    A pre-token is a run of spaces and what follows up to the next space. No
-    piece of the vocabulary has a space behind another character, so no token
-    crosses two pre-tokens and the counts add up.
+    A pre-token is a run of spaces and what follows up to the next space. But for
+    pieces of spaces alone, none has a space behind another character, so no token
+    crosses two pre-tokens and the counts add up. The model spells a space as
+    U+2581; a text that holds that character itself goes to the library whole, as
+    the two may meet in one piece.
     """
 
     def __init__(self, path: str, frequent: dict[str, int]):
@@ -136,7 +138,7 @@ class PieceCounts:
         """Tokens of each text (null: none)."""
         texts = pc.fill_null(texts, "")
         odd = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
-        odd = pc.or_(odd, pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)
+        odd = pc.or_(odd, pc.or_(pc.ends_with(texts, " "), pc.match_substring(texts, "\u2581"))).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         words = split.values.dictionary_encode()
         listed = words.dictionary.to_pylist()

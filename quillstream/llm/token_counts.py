@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, small_batches, text_views
+from .common import by_bytes, text_views
 from .subword import piece_counts, vocabulary_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -41,7 +41,6 @@ def frequent_counts(path: str, pieces: int = FREQUENT) -> dict[str, int]:
 def token_counts(docs: DataFrame, limit: int = 4096, vocabulary: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes (UTF-8), n_tokens (no begin or end token), over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
     table = spark.sparkContext.broadcast(frequent_counts(path, frequent))
 
