@@ -183,7 +183,9 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
     ids = classes.join(wanted, "cls", "left_semi").select(F.col("first").alias("doc_id"))
-    rows = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(make, "cls long, shingles binary")
+    ids = materialise(ids, "ids")
+    few = ids.count() <= BROADCAST_ROWS  # beyond, the texts are shuffled
+    rows = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text").mapInArrow(make, "cls long, shingles binary")
     return materialise(rows.dropDuplicates(["cls"]), "sets")  # rows of one doc_id may be of one class
 
 
