@@ -94,12 +94,12 @@ EVIDENCE_STOPWORDS = (
 COMMODITY_TERMS = ("farmer", "farmers", "harvest", "crop", "crops", "commodity", "commodities", "wheat", "soy", "grain", "fertilizer", "livestock")
 
 # Windows, caps, thresholds and weights.
-WINDOW_MINUTES, TRAILING_MINUTES = 60, 1440
+WINDOW_MINUTES, TRAILING_MINUTES, SIGNAL_MINUTES = 60, 1440, 360
 PER_FEED, PER_RUN = 30, 200
 CLUSTER_CAP, STORY_CAP, QUEUE_CAP = 15, 5, 2
 RECALL_POOL, RECALL_TOP, RECALL_FLOOR = 250, 80, 0.35
 BEAT_FIT = {"topic": 0.30, "keyword": 0.25, "geo": 0.20, "recency": 0.10, "commodity": 0.15, "no_signal": 0.20}
-BEAT_THRESHOLD, RESCUE_BOUND, SEMANTIC_RESCUE = 0.20, 0.35, 0.60
+BEAT_THRESHOLD, RESCUE_BOUND, RESCUE_SIGNALS, SEMANTIC_RESCUE = 0.20, 0.35, 3, 0.60
 BLEND = (0.65, 0.35)
 RELEVANCE = {"topic": 3.0, "keyword": 3.0, "entity": 2.0, "geo": 1.0, "corroboration": 1.5, "beat_fit": 1.0, "freshness": 0.25}
 ELECTION_BOOST, ELECTION_PENALTY, ELECTION_GEO = 1.5, 0.75, 0.7

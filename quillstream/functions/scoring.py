@@ -34,37 +34,34 @@ def corroboration(sources: Column) -> Column:
     return F.least(F.greatest(F.coalesce(sources.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(5.0)) / 5
 
 
-def fraction_mentioned(text: Column, terms: Sequence[str]) -> Column:
+def fraction_mentioned(text: Column, terms: Sequence[str], words: Column | None = None) -> Column:
     """Share of the terms that the text mentions in any of their forms."""
     own = [t for t in terms if t and t.strip()]
     if not own:
         return F.lit(0.0)
-    return sum((mentions(text, all_forms(t)).cast("double") for t in own), F.lit(0.0)) / len(own)
+    return sum((mentions(text, all_forms(t), words).cast("double") for t in own), F.lit(0.0)) / len(own)
 
 
-def mentioned_geo(text: Column, geos: Sequence[str]) -> Column:
+def mentioned_geo(text: Column, geos: Sequence[str], words: Column | None = None) -> Column:
     """The first configured geography that the text names, by itself, a synonym or a place in it; else null."""
     found = []
     for geo in geos:
-        hit = mentions(text, [geo])
-        for synonym in fixed.GEO_SYNONYMS.get(geo, ()):
-            hit = hit | text.rlike("(?iu)(?<![A-Za-z0-9_])" + synonym.replace(".", r"\."))  # no closing boundary: some end in a mark
         wide = {geo.lower(), *(s.lower() for s in fixed.GEO_SYNONYMS.get(geo, ()))}
-        hit = hit | mentions(text, [place for place, country in fixed.GEO_ALIASES.items() if country.lower() in wide])
+        hit = mentions(text, [geo, *(place for place, country in fixed.GEO_ALIASES.items() if country.lower() in wide)], words)
+        for synonym in fixed.GEO_SYNONYMS.get(geo, ()):
+            hit = hit | F.lower(text).rlike("(?<![a-z0-9_])" + synonym.lower().replace(".", r"\."))  # no closing boundary: some end in a mark
         found.append(F.when(hit, F.lit(geo)))
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def geo_ladder(own: Column, text: Column, geos: Sequence[str]) -> tuple[Column, Column]:
+def geo_ladder(own: Column, text: Column, geos: Sequence[str], words: Column | None = None) -> tuple[Column, Column]:
     """(score, category) of an item's geographies and text against the configured ones."""
     if not geos:
         return F.lit(0.0), F.lit("no_configured_geo")
     overlap = F.arrays_overlap(own, F.array(*map(F.lit, geos)))
-    people = F.lit(False)
-    for geo in geos:
-        people = people | mentions(text, fixed.DEMONYMS.get(geo.strip().lower(), ()))
+    people = mentions(text, [w for geo in geos for w in fixed.DEMONYMS.get(geo.strip().lower(), ())], words)
     category = F.when(F.coalesce(F.size(own), F.lit(0)) <= 0, "implicit_geo").when(overlap, "explicit_match").otherwise("explicit_conflict")
-    score = F.when(category == "explicit_match", 1.0).when(mentioned_geo(text, geos).isNotNull(), 0.9).when(people, 0.7)
+    score = F.when(category == "explicit_match", 1.0).when(mentioned_geo(text, geos, words).isNotNull(), 0.9).when(people, 0.7)
     return score.when(category == "explicit_conflict", 0.0).otherwise(0.5), category
 
 
@@ -79,6 +76,28 @@ def beat_fit(topic: Column, keyword: Column, geo: Column, commodity: Column, min
     return F.when(semantic.isNull() | F.isnan(semantic), plain).otherwise(clamped(plain * fixed.BLEND[0] + clamped(semantic) * fixed.BLEND[1]))
 
 
+def rescue(score: Column, topic: Column, keyword: Column, geo: Column, penalty: Column, threshold: float = fixed.BEAT_THRESHOLD) -> Column:
+    """Does an item just below the threshold pass by three positive signals and no penalty? struct(rescued, in_band, strong_signals, blocked_by)."""
+    lower = fixed.RESCUE_BOUND if fixed.RESCUE_BOUND < threshold else max(0.05, threshold - 0.05)
+    band = (score >= lower) & (score < threshold)
+    strong = sum(((x > 0).cast("int") for x in (topic, keyword, geo)), F.lit(0))
+    blocked = F.when(band & penalty, "major_penalty").when(band & (strong < fixed.RESCUE_SIGNALS), "insufficient_signals")
+    return F.struct((band & blocked.isNull()).alias("rescued"), band.alias("in_band"), F.when(band, strong).otherwise(0).alias("strong_signals"), blocked.alias("blocked_by"))
+
+
+def semantic_rescue(score: Column, semantic: Column, geo: Column, penalty: Column, threshold: float = fixed.BEAT_THRESHOLD) -> Column:
+    """Does an item below the threshold pass by its semantic score and a geography? struct(rescued, blocked_by)."""
+    below = score.isNotNull() & ~F.isnan(score) & (score < threshold)
+    strong = F.coalesce(~F.isnan(semantic) & (semantic >= fixed.SEMANTIC_RESCUE), F.lit(False))
+    blocked = F.when(~below, "above_threshold").when(penalty, "major_penalty").when(~strong, "weak_semantic").when(~F.coalesce(geo > 0, F.lit(False)), "geo_gate")
+    return F.struct(blocked.isNull().alias("rescued"), blocked.alias("blocked_by"))
+
+
+def cosine_score(cosine_of: Column) -> Column:
+    """A cosine from -1 to 1 as a score from 0 to 1."""
+    return (F.least(F.greatest(cosine_of, F.lit(-1.0)), F.lit(1.0)) + 1) / 2
+
+
 def relevance(topic: Column, keyword: Column, geo: Column, entity: Column, corroborated: Column, fit: Column, fresh: Column) -> Column:
     w = fixed.RELEVANCE
     return (

@@ -14,9 +14,6 @@ from . import fixed
 
 #: White space as scripts define it, spelt out: Java's \s is ASCII only.
 BLANK = r"[\x09-\x0D\x20   -     　﻿]"
-#: A word boundary that knows ASCII words only.
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-
 
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
@@ -121,15 +118,35 @@ def relabelled(c: Column, synonyms: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(c))), F.trim(c))
 
 
-def token_pattern(terms: Iterable[str]) -> str | None:
-    """A pattern that finds any of the terms as whole ASCII words, whatever their case; None without a term."""
-    own = [re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", t.strip()) for t in terms if t and t.strip()]
-    return f"(?iu){EDGE}(?:{'|'.join(own)}){EDGE}" if own else None
+def words_of(c: Column) -> Column:
+    """Runs of ASCII letters, digits and _ of the lower-cased text."""
+    return F.split(F.lower(c), "[^a-z0-9_]+")
 
 
-def mentions(c: Column, terms: Iterable[str]) -> Column:
-    pattern = token_pattern(terms)
-    return F.lit(False) if pattern is None else F.coalesce(c.rlike(pattern), F.lit(False))
+def token_pattern(terms: Iterable[str]) -> str | None:
+    """A pattern that finds any of the lower-cased terms as whole ASCII words of a lower-cased text; None without a term."""
+    own = []
+    for t in (t.strip().lower() for t in terms if t and t.strip()):
+        first, last = (bool(re.match("[a-z0-9_]", x)) for x in (t[0], t[-1]))
+        escaped = re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", t)
+        own.append(f"{'(?<!' if first else '(?<='}[a-z0-9_]){escaped}{'(?!' if last else '(?='}[a-z0-9_])")
+    return "|".join(own) if own else None
+
+
+def mentions(c: Column, terms: Iterable[str], words: Column | None = None) -> Column:
+    """Does the text name a term as whole ASCII words, whatever the case? ``words``: words_of(c), where it is at hand.
+
+    Terms of one word are looked up among the text's words; the others need a pattern.
+    """
+    own = list(dict.fromkeys(t.strip().lower() for t in terms if t and t.strip()))
+    single = [t for t in own if re.fullmatch("[a-z0-9_]+", t)]
+    pattern = token_pattern(t for t in own if t not in single)
+    found = F.lit(False)
+    if single:
+        found = F.arrays_overlap(words if words is not None else words_of(c), F.array(*map(F.lit, single)))
+    if pattern is not None:
+        found = found | F.lower(c).rlike(pattern)
+    return F.coalesce(found, F.lit(False))
 
 
 def concept_of(term: str) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
@@ -175,8 +192,9 @@ def capped_summary(c: Column, most: int = 500) -> Column:
 
 def time_ago(minutes: Column) -> Column:
     m = F.floor(minutes)
-    hours, days = F.floor(m / 60), F.floor(m / 1440)
-    return F.when(m < 1, "just now").when(m < 60, F.concat(m.cast("string"), F.lit("m ago"))).when(m < 1440, F.concat(hours.cast("string"), F.lit("h ago"))).otherwise(F.concat(days.cast("string"), F.lit("d ago")))
+    hours, rest, days = F.floor(m / 60), m % 60, F.floor(m / 1440)
+    of_day = F.concat(hours.cast("string"), F.lit("h"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("string"), F.lit("m"))).otherwise(""), F.lit(" ago"))
+    return F.when(m < 1, "just now").when(m < 60, F.concat(m.cast("string"), F.lit("m ago"))).when(m < 1440, of_day).otherwise(F.concat(days.cast("string"), F.lit("d ago")))
 
 
 def sentence_count(c: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed import WINDOW_MINUTES
 from ..functions.text import canonical_url, host_of, live_subject, normalized_headline, source_identity
@@ -25,23 +29,29 @@ def finite(c: Column) -> Column:
 def anchored_windows(rows: DataFrame, by: list[str], time: str, tie: str, minutes: float = WINDOW_MINUTES) -> DataFrame:
     """Rows with ``anchor``, the least time of their window: it opens with a row and holds what is at most ``minutes`` later.
 
-    Windows do not chain: what lies beyond an anchor opens the next one. The fold
-    runs over each key's distinct times only. Rows without a finite time stand
-    alone (null anchor).
+    Windows do not chain: what lies beyond an anchor opens the next one. Each key's
+    distinct times pass one task in order, of which it holds the last anchor only;
+    the anchors are joined back to the rows by key and time. Rows without a finite
+    time stand alone (null anchor).
     """
-    t = finite(F.col(time))
-    times = rows.select(*by, t.alias("_t")).filter("_t is not null").groupBy(*by).agg(F.array_sort(F.collect_set("_t")).alias("_times"))
-    start = F.array().cast("array<double>")
-    anchors = F.aggregate(
-        "_times", start, lambda out, x: F.when((F.size(out) == 0) | (x - F.element_at(out, -1) > minutes), F.concat(out, F.array(x))).otherwise(out)
-    )
-    opened = times.select(*(F.col(c).alias(f"_{c}") for c in by), F.explode(anchors).alias("_from"))
-    # an anchor's window ends before the next one
-    ahead = opened.withColumn("_to", F.lead("_from").over(Window.partitionBy(*(f"_{c}" for c in by)).orderBy("_from")))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    timed = rows.withColumn("_t", t)
-    on = [*same, F.col("_t") >= F.col("_from"), F.col("_to").isNull() | (F.col("_t") < F.col("_to"))]
-    return timed.join(ahead, on, "left").drop("_t", "_to", *(f"_{c}" for c in by)).withColumnRenamed("_from", "anchor")
+    keys = [f"_{c}" for c in by]
+    timed = rows.withColumn("_t", finite(F.col(time)))
+    times = timed.filter("_t is not null").select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col("_t").alias("_at")).distinct()
+    ordered = times.repartition(*keys).sortWithinPartitions(*keys, "_at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, anchor = None, 0.0
+        for batch in batches:
+            out = []
+            for *key, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now or at - anchor > minutes:
+                    now, anchor = key, at
+                out.append(anchor)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*keys, "_at", "_from"])
+
+    shape = T.StructType([*ordered.schema.fields, T.StructField("_from", T.DoubleType())])
+    on = [*(F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)), F.col("_t") == F.col("_at")]
+    return timed.join(ordered.mapInArrow(fold, shape), on, "left").drop("_t", "_at", *keys).withColumnRenamed("_from", "anchor")
 
 
 def merge_keys(items: DataFrame) -> DataFrame:
@@ -53,7 +63,7 @@ def merge_keys(items: DataFrame) -> DataFrame:
     kind = F.when(F.col("_live").isNotNull(), "live").when(F.col("_head") == "", "alone").when(F.col("_url").isNotNull(), "url").otherwise("headline")
     keyed = keyed.withColumn("merge_kind", kind)
     key = (
-        F.when(kind == "live", F.concat_ws("\u0001", bucket, F.col("_live"))).when(kind == "alone", F.col("seq").cast("string"))
+        F.when(kind == "live", F.concat_ws("\u0001", bucket, F.col("_live"))).when(kind == "alone", F.coalesce(F.col("source_id"), F.concat(F.lit("idx"), F.col("seq").cast("string"))))
         .when(kind == "url", F.concat_ws("\u0001", "_url", "_head")).otherwise(F.col("_head"))
     )
     return keyed.withColumn("merge_key", key).drop("_url", "_head", "_live")
@@ -76,7 +86,7 @@ def dedupe_items(items: DataFrame) -> DataFrame:
     live = F.col("merge_kind") == "live"
     order = group.orderBy(F.when(live, age).asc(), evidence.desc(), age.asc(), F.coalesce(finite(F.col("weight")), F.lit(0.0)).desc(), F.coalesce("feed_id", F.lit("")), "source_id")
     ranked = grouped.withColumn("_rank", F.row_number().over(order))
-    loser = F.when(F.col("_rank") > 1, F.struct("source_id", "feed_id", "outlet", "weight"))
+    loser = F.when(F.col("_rank") > 1, F.struct("source_id", "feed_id", "outlet", (F.col("url") if "url" in items.columns else F.lit(None).cast("string")).alias("url"), "weight"))
     keys = ["merge_kind", "merge_key", "anchor", "_alone"]
     summed = ranked.groupBy(*keys).agg(F.min("seq").alias("first_seq"), (F.count("*") - 1).alias("n_duplicates"), F.array_sort(F.collect_list(loser)).alias("duplicates"))
     summed = summed.withColumnsRenamed({k: f"_of_{k}" for k in keys})

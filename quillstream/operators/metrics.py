@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(c: Column, p: float) -> Column:
-    """The nearest-rank percentile."""
-    return F.expr(f"percentile_disc({float(p)}) within group (order by {c._jc.toString()})")
+def nearest_rank(column: str, p: float) -> Column:
+    """The nearest-rank percentile of a column."""
+    return F.expr(f"percentile_disc({float(p)}) within group (order by `{column}`)")
 
 
 def set_metrics(predicted: Column, expected: Column) -> dict[str, Column]:

@@ -41,7 +41,12 @@ def deactivated(mapping: DataFrame, manifest: DataFrame, by: str) -> DataFrame:
 
 
 def net_new(events: DataFrame, known: DataFrame, raw: str, kind: str, user: str, at: str, since: Column) -> DataFrame:
-    """Names seen since then that no known alias resolves: first and last seen, times, first three users."""
+    """Names seen since then that no known alias resolves: first and last seen, times, first three users.
+
+    A user is one row of a name first, so that three of them are kept by rank and no name's users are gathered.
+    """
     recent = events.filter(F.col(at) >= since).join(known, raw, "left_anti")
-    users = F.slice(F.array_sort(F.collect_set(F.col(user).cast("string"))), 1, 3)
-    return recent.groupBy(raw, kind).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("times_seen"), F.array_join(users, ",").alias("users"))
+    per_user = recent.groupBy(raw, kind, F.col(user).cast("string").alias("_user")).agg(F.min(at).alias("_a"), F.max(at).alias("_b"), F.count("*").alias("_n"))
+    ranked = per_user.withColumn("_r", F.row_number().over(Window.partitionBy(raw, kind).orderBy("_user")))
+    users = F.array_join(F.array_sort(F.collect_list(F.when((F.col("_r") <= 3) & F.col("_user").isNotNull(), F.col("_user")))), ",")
+    return ranked.groupBy(raw, kind).agg(F.min("_a").alias("first_seen"), F.max("_b").alias("last_seen"), F.sum("_n").alias("times_seen"), users.alias("users"))

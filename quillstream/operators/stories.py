@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import LINEAGE_JACCARD, STORY_CAP
+from ..functions.fixed import LINEAGE_JACCARD, SIGNAL_MINUTES, STORY_CAP
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -40,58 +40,85 @@ def grounding(claims: DataFrame, known: DataFrame) -> DataFrame:
     return per_story.select("story", F.col("n").alias("n_evidence"), F.col("ok").alias("n_known"), verdict.alias("verdict"))
 
 
-def lineage_candidates(new: DataFrame, prior: DataFrame, least: float = LINEAGE_JACCARD) -> DataFrame:
-    """Prior stories of the same topic whose sources overlap by ``least`` or more: (story, prior, jaccard).
+def similar_sets(left: DataFrame, right: DataFrame, within: list[str], least: float) -> DataFrame:
+    """Pairs (a, b, jaccard) of sets of one ``within`` whose Jaccard is ``least`` or more; both sides hold (id, *within, token).
 
-    Both sides hold one row a source (story, topic, source_id): the overlap is an
-    equi-join on topic and source, so no pair without a common source is made.
+    Tokens are ordered by how many sets hold them, rarest first; two sets that
+    reach the threshold share one of their first n - ceil(least * n) + 1 tokens,
+    so only these are joined, and only between sets of sizes that allow it. A pair
+    is counted at the first token that the two prefixes share.
     """
-    sizes = new.groupBy("story", "topic").agg(F.countDistinct("source_id").alias("n"))
-    old = prior.groupBy("story", "topic").agg(F.countDistinct("source_id").alias("m")).withColumnsRenamed({"story": "prior"})
-    both = new.select("story", "topic", "source_id").distinct().join(prior.selectExpr("story prior", "topic", "source_id").distinct(), ["topic", "source_id"])
-    common = both.groupBy("story", "prior", "topic").agg(F.count("*").alias("c")).join(sizes, ["story", "topic"]).join(old, ["prior", "topic"])
-    scored = common.withColumn("jaccard", F.col("c") / (F.col("n") + F.col("m") - F.col("c")))
-    return scored.filter(F.col("jaccard") >= least).select("story", "prior", "jaccard")
+    key = [*within, "token"]
+    left, right = left.select("id", *key).distinct(), right.select("id", *key).distinct()
+    often = left.select(*key).unionAll(right.select(*key)).groupBy(*key).agg(F.count("*").alias("_n"))
 
+    def sets(rows: DataFrame) -> DataFrame:
+        tokens = F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"])
+        own = rows.join(often, key).groupBy("id", *within).agg(tokens.alias("s"))
+        first = F.size("s") - F.ceil(F.size("s") * least - 1e-9).cast("int") + 1
+        return own.withColumn("p", F.slice("s", F.lit(1), first)).withColumn("token", F.explode("p"))
 
-def claim_lineage(candidates: DataFrame) -> DataFrame:
-    """(story, prior): stories in order of id take their only prior that no earlier story took.
+    a, b = sets(left).alias("x"), sets(right).alias("y")
+    met = a.join(b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key] + [F.least(F.size("x.s"), F.size("y.s")) >= least * F.greatest(F.size("x.s"), F.size("y.s")) - 1e-9])
+    met = met.filter(F.element_at(F.array_intersect("x.p", "y.p"), 1) == F.col("x.token"))
+    common = F.size(F.array_intersect("x.s", "y.s"))
+    scored = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (common / (F.size("x.s") + F.size("y.s") - common)).alias("jaccard"))
+    return scored.filter(F.col("jaccard") >= least)
 
-    The claims are sequential; rounds settle every story whose candidates no
-    earlier unsettled story shares, which takes as many rounds as the longest chain.
+
+def lineage_candidates(new: DataFrame, prior: DataFrame, least: float = LINEAGE_JACCARD) -> DataFrame:
+    """Prior stories of the same topic whose sources overlap by ``least`` or more: (story, prior, jaccard).
+
+    Both sides hold one row a source (story, topic, source_id).
     """
-    from pyspark.sql import types as T
+    sides = (x.selectExpr("story id", "topic", "source_id token") for x in (new, prior))
+    return similar_sets(*sides, ["topic"], least).selectExpr("a story", "b prior", "jaccard")
 
-    def settle(pdf):
-        taken, out = set(), []
-        for story, own in pdf.sort_values(["story", "prior"]).groupby("story"):
-            free = [p for p in own["prior"] if p not in taken]
-            if len(free) == 1:
-                taken.add(free[0])
-                out.append((story, free[0]))
-        import pandas as pd
 
-        return pd.DataFrame(out, columns=["story", "prior"])
+def claim_lineage(candidates: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(story, prior): stories in order of id take their only prior that no earlier story took.
 
-    story = candidates.schema["story"].dataType
-    shape = T.StructType([T.StructField("story", story), T.StructField("prior", candidates.schema["prior"].dataType)])
-    return candidates.groupBy("component").applyInPandas(lambda pdf: settle(pdf), shape)
+    In each round all stories are settled whose candidates no earlier unsettled
+    story shares; the longest chain of such stories gives the number of rounds.
+    Each round is written to the checkpoint folder.
+    """
+    open_ = candidates.select("story", "prior").distinct().checkpoint()
+    claims = open_.limit(0)
+    for _ in range(most_rounds):
+        if open_.isEmpty():
+            return claims
+        first = open_.groupBy("prior").agg(F.min("story").alias("_first"))
+        turn = open_.join(first, "prior").groupBy("story").agg(F.bool_and(F.col("_first") == F.col("story")).alias("_ready"), F.count("*").alias("_n"), F.min("prior").alias("prior"))
+        turn = turn.filter("_ready").checkpoint()
+        taken = turn.filter("_n = 1").select("story", "prior")
+        claims = claims.unionAll(taken)
+        open_ = open_.join(turn, "story", "left_anti").join(taken, "prior", "left_anti").select("story", "prior").checkpoint()
+    raise RuntimeError("claims did not settle")
 
 
 def structural_diff(current: DataFrame, prior: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key, reason, strength) of what differs: added_source and headline_change are strong, removed_source is weak."""
-    both = current.select(*key, F.col(value).alias("_now")).join(prior.select(*key, F.col(value).alias("_was"), F.lit(True).alias("_old")), key, "full_outer")
-    both = both.join(current.select(*key, F.lit(True).alias("_new")), key, "left")
+    both = current.select(*key, F.col(value).alias("_now"), F.lit(True).alias("_new")).join(prior.select(*key, F.col(value).alias("_was"), F.lit(True).alias("_old")), key, "full_outer")
     reason = F.when(F.col("_old").isNull(), "added_source").when(F.col("_new").isNull(), "removed_source").when(~F.col("_now").eqNullSafe(F.col("_was")), "headline_change")
     strength = F.when(reason.isin("added_source", "headline_change"), "strong").otherwise("weak")
     return both.withColumn("reason", reason).filter("reason is not null").select(*key, "reason", strength.alias("strength"))
 
 
-def token_pairs(items: DataFrame, tokens: str, least: float, within: str | None = None) -> DataFrame:
-    """Pairs (a, b, jaccard) of ids whose token sets overlap by ``least`` or more, joined on tokens (of one ``within``)."""
-    on = ["_t", *([within] if within else [])]
-    rows = items.select(F.col("id"), F.size(tokens).alias("n"), *([within] if within else []), F.explode(tokens).alias("_t"))
-    other = rows.withColumnsRenamed({"id": "id2", "n": "n2"})
-    both = rows.join(other, on).filter("id < id2").groupBy("id", "id2", "n", "n2").agg(F.count("*").alias("c"))
-    scored = both.withColumn("jaccard", F.col("c") / (F.col("n") + F.col("n2") - F.col("c")))
-    return scored.filter(F.col("jaccard") >= least).selectExpr("id a", "id2 b", "jaccard")
+def token_pairs(items: DataFrame, tokens: str, least: float) -> DataFrame:
+    """Pairs (a, b, jaccard), a < b, of items (id) whose token sets overlap by ``least`` or more."""
+    rows = items.select("id", F.explode(tokens).alias("token"))
+    return similar_sets(rows, rows, [], least).filter("a < b")
+
+
+def signals(sources: DataFrame) -> DataFrame:
+    """Per story, from its (story, outlet, minutes_ago): upper median and least age, activity and its trend, outlets, confidence."""
+    order = Window.partitionBy("story").orderBy("minutes_ago")
+    placed = sources.withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy("story")))
+    middle = F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, F.col("minutes_ago")))
+    rows = placed.groupBy("story").agg(middle.alias("median_minutes"), F.min("minutes_ago").alias("freshest_minutes"), F.count("*").alias("n"), F.countDistinct("outlet").alias("outlets"))
+    fresh = F.floor(F.greatest(F.lit(0.0), 100 * (1 - F.least(F.lit(1.0), F.col("freshest_minutes") / SIGNAL_MINUTES))) + 0.5)
+    activity = F.floor(fresh * 0.55 + F.least(F.lit(100), F.col("n") * 7) * 0.45 + 0.5)
+    score = F.least(F.lit(100), F.col("outlets") * 18 + F.col("n") * 6)
+    trend = F.when(activity >= 70, "rising").when(activity >= 45, "steady").otherwise("falling")
+    confidence = F.when(score >= 70, "high").when(score >= 45, "medium").otherwise("early")
+    return rows.select("story", "median_minutes", "freshest_minutes", activity.alias("activity"), trend.alias("trend"), "outlets", confidence.alias("confidence"))

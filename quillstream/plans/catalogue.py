@@ -114,11 +114,10 @@ def family_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(sizes, "family", "left").select("source_id", "family", rounded(scoring.density(F.coalesce("n", F.lit(1)))).alias("density"))
 
 
-@query("SELECT page_id, substr(sha256('feed1::' || url), 1, 16) AS source_id, substr(sha256(CAST(page_id AS VARCHAR) || ',' || CAST(page_id + 1 AS VARCHAR) || '::' || 'news'), 1, 16) AS story_id FROM pages WHERE length(CAST(page_id AS VARCHAR)) = length(CAST(page_id + 1 AS VARCHAR))")
+@query("SELECT page_id, substr(sha256('feed1::' || url), 1, 16) AS source_id, substr(sha256(array_to_string(list_sort([CAST(page_id AS VARCHAR), CAST(page_id + 1 AS VARCHAR)]), ',') || '::' || 'news'), 1, 16) AS story_id FROM pages")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").filter("length(cast(page_id as string)) = length(cast(page_id + 1 as string))")
     ids = F.array(F.col("page_id").cast("string"), (F.col("page_id") + 1).cast("string"))
-    return rows.select("page_id", src.entry_id(F.lit("feed1"), F.col("url")).alias("source_id"), text.story_id(ids, F.lit(" News ")).alias("story_id"))
+    return table(spark, sf_dir, "pages").select("page_id", src.entry_id(F.lit("feed1"), F.col("url")).alias("source_id"), text.story_id(ids, F.lit(" News ")).alias("story_id"))
 
 
 @query(f"SELECT event_type, count(*) AS n FROM events WHERE date_diff('second', ts, {AS_OF}) // 60 <= 1440 GROUP BY event_type")
@@ -268,13 +267,13 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.token_pairs(rows, "tokens", 0.05).select("a", "b", rounded(F.col("jaccard")).alias("jaccard"))
 
 
-_LINE = """n AS (SELECT DISTINCT l_orderkey AS story, l_partkey % 50 AS src, l_orderkey % 7 AS topic FROM lineitem WHERE l_orderkey % 2 = 0), p AS (SELECT DISTINCT l_orderkey AS prior, l_partkey % 50 AS src, l_orderkey % 7 AS topic FROM lineitem WHERE l_orderkey % 2 = 1)"""
+_LINE = """n AS (SELECT DISTINCT l_orderkey AS story, l_suppkey AS src, l_orderkey % 7 AS topic FROM lineitem WHERE l_orderkey % 2 = 0), p AS (SELECT DISTINCT l_orderkey AS prior, l_suppkey AS src, l_orderkey % 7 AS topic FROM lineitem WHERE l_orderkey % 2 = 1)"""
 
 
 @query(f"""WITH {_LINE}, ns AS (SELECT story, count(*) AS n FROM n GROUP BY 1), ps AS (SELECT prior, count(*) AS m FROM p GROUP BY 1), c AS (SELECT story, prior, count(*) AS c FROM n JOIN p USING (topic, src) GROUP BY 1, 2)
 SELECT story, prior, round(c / (n + m - c), 6) AS jaccard FROM c JOIN ns USING (story) JOIN ps USING (prior) WHERE c / (n + m - c) >= 0.5""")
 def lineage_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey story", "l_orderkey % 7 topic", "l_partkey % 50 source_id")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey story", "l_orderkey % 7 topic", "l_suppkey source_id")
     out = stories.lineage_candidates(rows.filter("story % 2 = 0"), rows.filter("story % 2 = 1"))
     return out.select("story", "prior", rounded(F.col("jaccard")).alias("jaccard"))
 
@@ -404,7 +403,7 @@ def deactivation_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.deactivated(rows.withColumn("active", F.lit(True)), rows.filter("p_partkey % 5 = 0").select("p_type"), "p_type").select("p_partkey", "p_brand", "active")
 
 
-@query("SELECT c_custkey, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN CAST(m AS VARCHAR) || 'm ago' WHEN m < 1440 THEN CAST(m // 60 AS VARCHAR) || 'h ago' ELSE CAST(m // 1440 AS VARCHAR) || 'd ago' END AS ago FROM (SELECT c_custkey, CAST(floor(abs(c_acctbal)) AS BIGINT) AS m FROM customer)")
+@query("SELECT c_custkey, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN CAST(m AS VARCHAR) || 'm ago' WHEN m < 1440 THEN CAST(m // 60 AS VARCHAR) || 'h' || CASE WHEN m % 60 > 0 THEN ' ' || CAST(m % 60 AS VARCHAR) || 'm' ELSE '' END || ' ago' ELSE CAST(m // 1440 AS VARCHAR) || 'd ago' END AS ago FROM (SELECT c_custkey, CAST(floor(abs(c_acctbal)) AS BIGINT) AS m FROM customer)")
 def time_ago(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.time_ago(F.abs("c_acctbal")).alias("ago"))
 
@@ -438,25 +437,22 @@ def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_items(spark, sf_dir).select("source_id", text.sentence_count(F.col("text")).alias("sentences"))
 
 
-@query("""WITH d AS (SELECT user_id, quantile_disc(value, 0.5) AS mid, min(value) AS lo, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id)
-SELECT user_id, n, kinds, CASE WHEN lo < 10 AND n >= 50 THEN 'high' WHEN n >= 20 THEN 'medium' ELSE 'low' END AS tier FROM d""")
+@query("""WITH s AS (SELECT user_id, (quantile_disc(m, 0.5) FILTER (k = n // 2 + 1)) AS mid, min(m) AS lo, any_value(n) AS n, count(DISTINCT event_type) AS outlets FROM (SELECT user_id, event_type, m, row_number() OVER (PARTITION BY user_id ORDER BY m) AS k, count(*) OVER (PARTITION BY user_id) AS n
+ FROM (SELECT user_id, event_type, floor(value * 10) AS m FROM events)) GROUP BY user_id), a AS (SELECT *, floor(floor(greatest(0, 100 * (1 - least(1, lo / 360))) + 0.5) * 0.55 + least(100, n * 7) * 0.45 + 0.5) AS activity, least(100, outlets * 18 + n * 6) AS score FROM s)
+SELECT user_id, CAST(mid AS BIGINT) AS median_minutes, CAST(lo AS BIGINT) AS freshest_minutes, CAST(activity AS BIGINT) AS activity, CASE WHEN activity >= 70 THEN 'rising' WHEN activity >= 45 THEN 'steady' ELSE 'falling' END AS trend, outlets,
+ CASE WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'early' END AS confidence FROM a""")
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = events(spark, sf_dir).groupBy("user_id").agg(F.min("value").alias("lo"), F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"))
-    return d.select("user_id", "n", "kinds", F.when((F.col("lo") < 10) & (F.col("n") >= 50), "high").when(F.col("n") >= 20, "medium").otherwise("low").alias("tier"))
+    rows = events(spark, sf_dir).selectExpr("user_id story", "event_type outlet", "floor(value * 10) minutes_ago")
+    return stories.signals(rows).withColumnRenamed("story", "user_id")
 
 
-@query("SELECT item_id, list_transform(range(4), lambda i: (CAST('0x' || substr(sha256(text), 2 * i + 1, 2) AS INT) - 128) / 128.0)[1] AS first, list_transform(range(32), lambda i: (CAST('0x' || substr(sha256(text), 2 * i + 1, 2) AS INT) - 128) / 128.0)[32] AS last FROM benchmark")
+@query("SELECT item_id, array_to_string(list_transform(range(32), lambda i: CAST(CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS BIGINT), 2) AS INT) - 128 AS VARCHAR)), ',') AS vector FROM benchmark")
 def mock_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = scoring.mock_embedding(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.element_at(v, 1).alias("first"), F.element_at(v, 32).alias("last"))
+    whole = F.transform(scoring.mock_embedding(F.col("text")), lambda x: (x * 128).cast("int").cast("string"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(whole, ",").alias("vector"))
 
 
 @query()
 def refresh_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that each stage of a refresh leaves."""
-    stages = profile.refresh(_geo_items(spark, sf_dir), SETTINGS)
-    out = None
-    for i, (name, rows) in enumerate(stages.items()):
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(i).cast("long").alias("place"), F.lit(name).alias("stage"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return profile.funnel(_geo_items(spark, sf_dir), SETTINGS)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.scoring import beat_fit, density, fraction_mentioned, freshness, geo_ladder, mentioned_geo, relevance
-from ..functions.text import english_forms, family_key, mentions
+from ..functions.scoring import beat_fit, density, fraction_mentioned, freshness, geo_ladder, mentioned_geo, relevance, rescue, semantic_rescue
+from ..functions.text import english_forms, family_key, mentions, words_of
 from ..operators.dedupe import dedupe_items
 from ..operators.ranking import quota_top
 from ..operators.stories import topic_clusters
@@ -38,14 +38,14 @@ def recall_flags(text: Column, settings: Settings) -> dict[str, Column]:
 
 def scored(items: DataFrame, settings: Settings) -> DataFrame:
     """Items (with ``text``) and their family, fits and pre-cluster score."""
-    text = F.col("text")
+    text, words = F.col("text"), F.col("_words")
     own = F.col("geographies") if "geographies" in items.columns else F.array().cast("array<string>")
-    geo, category = geo_ladder(own, text, settings.geographies)
+    geo, category = geo_ladder(own, text, settings.geographies, words)
     elections = [w for c in fixed.ELECTION_CONCEPTS for forms in fixed.LEXICON[c] for w in forms]
-    rows = items.select(
-        "*", family_key(F.col("headline")).alias("family"), fraction_mentioned(text, settings.topics).alias("topic_fit"), fraction_mentioned(text, settings.keywords).alias("keyword_fit"),
-        geo.alias("geo_fit"), category.alias("geo_category"), mentions(text, fixed.COMMODITY_TERMS).alias("commodity"), mentions(text, elections).alias("election"),
-    )
+    rows = items.withColumn("_words", words_of(text)).select(
+        "*", family_key(F.col("headline")).alias("family"), fraction_mentioned(text, settings.topics, words).alias("topic_fit"), fraction_mentioned(text, settings.keywords, words).alias("keyword_fit"),
+        geo.alias("geo_fit"), category.alias("geo_category"), mentions(text, fixed.COMMODITY_TERMS, words).alias("commodity"), mentions(text, elections, words).alias("election"),
+    ).drop("_words")
     sizes = rows.filter("family != ''").groupBy("family").agg(F.count("*").alias("family_size"))
     rows = rows.join(sizes, "family", "left").withColumn("family_size", F.coalesce("family_size", F.lit(1)))
     fit = beat_fit(F.col("topic_fit") > 0, F.col("keyword_fit") > 0, F.col("geo_fit") >= fixed.ELECTION_GEO, F.col("commodity"), F.col("minutes_ago"))
@@ -59,10 +59,19 @@ def rank_order() -> list[Column]:
     return [F.col("score").desc(), F.col("corroboration").desc(), F.col("beat_fit").desc(), F.col("minutes_ago").asc(), F.col("source_id").asc()]
 
 
-def included(rows: DataFrame, threshold: float = fixed.BEAT_THRESHOLD) -> DataFrame:
-    """Scored rows with the verdict of the precision gate."""
-    reason = F.when(F.col("beat_fit") >= threshold, None).when(F.col("commodity"), "commodity").when((F.col("topic_fit") == 0) & (F.col("keyword_fit") == 0) & (F.col("geo_fit") < fixed.ELECTION_GEO), "no_signal").otherwise("low_score")
-    return rows.withColumn("exclude_reason", reason)
+def included(rows: DataFrame, threshold: float = fixed.BEAT_THRESHOLD, semantic: str | None = None) -> DataFrame:
+    """Scored rows with the verdict of the precision gate: exclude_reason, or null, and rescued_by, if a rescue let it pass.
+
+    semantic: the column of a semantic score, where there is one.
+    """
+    signal = {"topic": F.col("topic_fit"), "keyword": F.col("keyword_fit"), "geo": F.when(F.col("geo_fit") >= fixed.ELECTION_GEO, F.col("geo_fit")).otherwise(0.0)}
+    none = (F.col("topic_fit") == 0) & (F.col("keyword_fit") == 0) & (F.col("geo_fit") < fixed.ELECTION_GEO)
+    penalty = F.col("commodity") | none
+    by = F.when(rescue(F.col("beat_fit"), penalty=penalty, threshold=threshold, **signal)["rescued"], "rescue_borderline_multisignal")
+    if semantic is not None:
+        by = by.when(semantic_rescue(F.col("beat_fit"), F.col(semantic), signal["geo"], penalty, threshold)["rescued"], "rescue_semantic_geo")
+    reason = F.when((F.col("beat_fit") >= threshold) | F.col("rescued_by").isNotNull(), None).when(F.col("commodity"), "commodity").when(none, "no_signal").otherwise("low_score")
+    return rows.withColumn("rescued_by", by).withColumn("exclude_reason", reason)
 
 
 def refresh(items: DataFrame, settings: Settings) -> dict[str, DataFrame]:
@@ -75,3 +84,20 @@ def refresh(items: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     unique = dedupe_items(gated.filter("exclude_reason is null"))
     top = quota_top(unique, rank_order())
     return {"window": window, "recall": recall, "gate": gated, "unique": unique, "top": top, "clusters": topic_clusters(top, "outlet")}
+
+
+def funnel(items: DataFrame, settings: Settings) -> DataFrame:
+    """(place, stage, n) of one refresh: the first three stages are flags of one pass, the others follow from what passed it."""
+    flags = recall_flags(F.col("text"), settings)
+    recalled = F.lit(settings == Settings()) | flags["by_topic"] | flags["by_keyword"] | flags["by_geo"]
+    gated = included(scored(recent(items).withColumn("recalled", recalled).filter("recalled"), settings)).filter("exclude_reason is null")
+    unique = dedupe_items(gated)
+    top = quota_top(unique, rank_order())
+    age = (F.col("minutes_ago") <= fixed.TRAILING_MINUTES) & ~F.isnan("minutes_ago")
+    ahead = items.agg(F.count_if(age).alias("window"), F.count_if(age & recalled).alias("recall"))
+    rows = [ahead.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("stage"), F.col(c).alias("n")) for i, c in enumerate(("window", "recall")))))).select("col.*")]
+    first = unique.agg((F.count("*") + F.coalesce(F.sum("n_duplicates"), F.lit(0))).alias("gate"), F.count("*").alias("unique"))
+    rows.append(first.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("stage"), F.col(c).alias("n")) for i, c in ((2, "gate"), (3, "unique"))))) ).select("col.*"))
+    last = top.agg(F.count("*").alias("top"), F.least(F.countDistinct("outlet"), F.lit(fixed.STORY_CAP)).cast("long").alias("clusters"))
+    rows.append(last.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("stage"), F.col(c).alias("n")) for i, c in ((4, "top"), (5, "clusters"))))) ).select("col.*"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
