@@ -75,6 +75,9 @@ OUTLET_ALIASES = {
     "silla nacional": "La Silla Vacía", "la silla nacional": "La Silla Vacía", "revista semana": "Semana", "infobae colombia": "Infobae", "infobae américa": "Infobae",
 }
 
+# Kinds of feeds that have a reader.
+READABLE_KINDS = ("rss", "social")
+
 # Words left out of a headline family, and two-letter words kept in it.
 FAMILY_STOPWORDS = (
     "the", "a", "an", "and", "or", "of", "in", "on", "for", "to", "with", "at", "by", "from", "as", "is", "are", "was", "were", "be", "new", "say", "says", "said",
@@ -108,3 +111,4 @@ GEO_CONFLICT, GEO_IMPLICIT = 0.90, 0.80
 LINEAGE_JACCARD, SPLIT_JACCARD, BUNDLE_JACCARD, BUNDLE_SHARED = 0.5, 0.15, 0.34, 2
 TTL_MINUTES, SNIPPET, DEFAULT_WEIGHT, SOCIAL_WEIGHT = 60, 500, 50.0, 60.0
 REJECTIONS_KEPT = 200
+MIN_SUCCESS, MIN_STORIES = 0.95, 2

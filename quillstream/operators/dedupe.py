@@ -87,8 +87,5 @@ def dedupe_items(items: DataFrame) -> DataFrame:
     order = group.orderBy(F.when(live, age).asc(), evidence.desc(), age.asc(), F.coalesce(finite(F.col("weight")), F.lit(0.0)).desc(), F.coalesce("feed_id", F.lit("")), "source_id")
     ranked = grouped.withColumn("_rank", F.row_number().over(order))
     loser = F.when(F.col("_rank") > 1, F.struct("source_id", "feed_id", "outlet", (F.col("url") if "url" in items.columns else F.lit(None).cast("string")).alias("url"), "weight"))
-    keys = ["merge_kind", "merge_key", "anchor", "_alone"]
-    summed = ranked.groupBy(*keys).agg(F.min("seq").alias("first_seq"), (F.count("*") - 1).alias("n_duplicates"), F.array_sort(F.collect_list(loser)).alias("duplicates"))
-    summed = summed.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return ranked.filter("_rank = 1").join(summed, on).select(*items.columns, "merge_kind", "first_seq", "n_duplicates", "duplicates")
+    summed = {"first_seq": F.min("seq").over(group), "n_duplicates": F.count("*").over(group) - 1, "duplicates": F.array_sort(F.collect_list(loser).over(group))}
+    return ranked.withColumns(summed).filter("_rank = 1").select(*items.columns, "merge_kind", *summed)

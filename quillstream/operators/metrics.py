@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import MIN_STORIES, MIN_SUCCESS
+
 
 def nearest_rank(column: str, p: float) -> Column:
     """The nearest-rank percentile of a column."""
@@ -46,3 +48,28 @@ def fingerprint(ids: Column, lo: Column, hi: Column, feeds: Column, n: Column) -
     """16 hex digits over sorted distinct ids, their count, the hour bounds and feeds."""
     body = F.to_json(F.struct(F.array_sort(ids).alias("ids"), n.alias("count"), lo.alias("min"), hi.alias("max"), F.array_sort(feeds).alias("feedIds")), {"ignoreNullFields": "false"})
     return F.substring(F.sha2(body, 256), 1, 16)
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """Of all runs (stories, fallback, pipeline_ms): number, success rate, median of stories, 95th percentile of the time."""
+    out = runs.agg(
+        F.count("*").alias("runs"), F.coalesce(F.avg((F.col("fallback") == F.lit(False)).cast("double")), F.lit(0.0)).alias("success_rate"),
+        F.coalesce(F.median("stories"), F.lit(0.0)).alias("median_stories"), nearest_rank("pipeline_ms", 0.95).alias("p95_pipeline_ms"),
+    )
+    return out.withColumn("passed", (F.col("success_rate") >= MIN_SUCCESS) & (F.col("median_stories") >= MIN_STORIES))
+
+
+def counted_by(rows: DataFrame, column: str) -> DataFrame:
+    """Rows by a column's value, without nulls."""
+    return rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def recommended_threshold(rows: DataFrame, threshold: str, recall: str, slack: float = 0.05) -> DataFrame:
+    """The highest threshold whose recall is within ``slack`` of the best."""
+    best = rows.agg(F.max(recall).alias("_best"))
+    return rows.join(F.broadcast(best), F.col(recall) >= F.col("_best") - slack).agg(F.max(threshold).alias("recommended"))
+
+
+def mean_rank(rows: DataFrame, by: list[str], order: list[Column], flag: str) -> DataFrame:
+    """Mean place of the flagged rows of each key."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(flag).groupBy(*by).agg(F.avg("_r").alias("mean_rank"), F.count("*").alias("n"))

@@ -176,8 +176,7 @@ _RECALL = f"WITH {ITEMS}, f AS (SELECT *, {_word_sql(SETTINGS.topics)} AS t, {_w
 
 @query(f"{_RECALL} SELECT source_id FROM f WHERE t OR k OR g")
 def keyword_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = profile.recall_flags(F.col("text"), SETTINGS)
-    return doc_items(spark, sf_dir).filter(flags["by_topic"] | flags["by_keyword"] | flags["by_geo"]).select("source_id")
+    return doc_items(spark, sf_dir).filter(profile.recalled(F.col("text"), SETTINGS)).select("source_id")
 
 
 @query(f"{_RECALL} SELECT CASE WHEN t AND k THEN 'both' WHEN t THEN 'topic_only' WHEN k THEN 'keyword_only' WHEN g THEN 'geo_only' ELSE 'neither' END AS class, count(*) AS n FROM f GROUP BY 1")

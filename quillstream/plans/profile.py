@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.scoring import beat_fit, density, fraction_mentioned, freshness, geo_ladder, mentioned_geo, relevance, rescue, semantic_rescue
-from ..functions.text import english_forms, family_key, mentions, words_of
+from ..functions.text import all_forms, english_forms, family_key, mentions, words_of
 from ..operators.dedupe import dedupe_items
 from ..operators.ranking import quota_top
 from ..operators.stories import topic_clusters
@@ -36,6 +36,18 @@ def recall_flags(text: Column, settings: Settings) -> dict[str, Column]:
     return {"by_topic": fraction_mentioned(text, settings.topics) > 0, "by_keyword": keyword, "by_geo": mentioned_geo(text, settings.geographies).isNotNull()}
 
 
+def recalled(text: Column, settings: Settings) -> Column:
+    """Does any recall flag hold? All terms in one look at the words."""
+    if settings == Settings():
+        return F.lit(True)
+    wide = {x.lower() for g in settings.geographies for x in (g, *fixed.GEO_SYNONYMS.get(g, ()))}
+    places = [p for p, country in fixed.GEO_ALIASES.items() if country.lower() in wide]
+    forms = [f for t in settings.topics for f in all_forms(t)] + [f for k in settings.keywords for f in english_forms(k)]
+    named = mentions(text, [*forms, *settings.geographies, *places])
+    synonyms = [x for g in settings.geographies for x in fixed.GEO_SYNONYMS.get(g, ())]
+    return named | mentioned_geo(text, settings.geographies).isNotNull() if synonyms else named
+
+
 def scored(items: DataFrame, settings: Settings) -> DataFrame:
     """Items (with ``text``) and their family, fits and pre-cluster score."""
     text, words = F.col("text"), F.col("_words")
@@ -77,9 +89,7 @@ def included(rows: DataFrame, threshold: float = fixed.BEAT_THRESHOLD, semantic:
 def refresh(items: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """The stages of one refresh, each a DataFrame: window, recall, gate, dedupe, quota, clusters."""
     window = recent(items)
-    flags = recall_flags(F.col("text"), settings)
-    any_flag = flags["by_topic"] | flags["by_keyword"] | flags["by_geo"]
-    recall = window if settings == Settings() else window.filter(any_flag)
+    recall = window.filter(recalled(F.col("text"), settings))
     gated = included(scored(recall, settings))
     unique = dedupe_items(gated.filter("exclude_reason is null"))
     top = quota_top(unique, rank_order())
@@ -88,16 +98,15 @@ def refresh(items: DataFrame, settings: Settings) -> dict[str, DataFrame]:
 
 def funnel(items: DataFrame, settings: Settings) -> DataFrame:
     """(place, stage, n) of one refresh: the first three stages are flags of one pass, the others follow from what passed it."""
-    flags = recall_flags(F.col("text"), settings)
-    recalled = F.lit(settings == Settings()) | flags["by_topic"] | flags["by_keyword"] | flags["by_geo"]
-    gated = included(scored(recent(items).withColumn("recalled", recalled).filter("recalled"), settings)).filter("exclude_reason is null")
+    wanted = recalled(F.col("text"), settings)
+    gated = included(scored(recent(items).filter(wanted), settings)).filter("exclude_reason is null")
     unique = dedupe_items(gated)
     top = quota_top(unique, rank_order())
     age = (F.col("minutes_ago") <= fixed.TRAILING_MINUTES) & ~F.isnan("minutes_ago")
-    ahead = items.agg(F.count_if(age).alias("window"), F.count_if(age & recalled).alias("recall"))
-    rows = [ahead.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("stage"), F.col(c).alias("n")) for i, c in enumerate(("window", "recall")))))).select("col.*")]
-    first = unique.agg((F.count("*") + F.coalesce(F.sum("n_duplicates"), F.lit(0))).alias("gate"), F.count("*").alias("unique"))
-    rows.append(first.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("stage"), F.col(c).alias("n")) for i, c in ((2, "gate"), (3, "unique"))))) ).select("col.*"))
+    ahead = items.agg(F.count_if(age).alias("window"), F.count_if(age & wanted).alias("recall"))
+    passed = unique.agg((F.count("*") + F.coalesce(F.sum("n_duplicates"), F.lit(0))).alias("gate"), F.count("*").alias("unique"))
     last = top.agg(F.count("*").alias("top"), F.least(F.countDistinct("outlet"), F.lit(fixed.STORY_CAP)).cast("long").alias("clusters"))
-    rows.append(last.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("stage"), F.col(c).alias("n")) for i, c in ((4, "top"), (5, "clusters"))))) ).select("col.*"))
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    places = {name: i for i, name in enumerate(("window", "recall", "gate", "unique", "top", "clusters"))}
+    rows = [x.unpivot([], x.columns, "stage", "n") for x in (ahead, passed, last)]
+    place = F.create_map(*(F.lit(v) for pair in places.items() for v in pair))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select(place[F.col("stage")].cast("long").alias("place"), "stage", "n")
