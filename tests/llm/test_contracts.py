@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import brute
 import pytest
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from quillstream.llm import queries as Q
 from quillstream.llm.ngram_join import ngram_components, one_of_each
 from quillstream.llm.packing import pack
-from quillstream.llm.quality import quality
+from quillstream.llm.quality import NOTICE_WORDS, NOTICES, quality
 from quillstream.llm.suffix_dedup import suffix_dedup
 from quillstream.llm.token_counts import token_counts
-from quillstream.llm.warc import read_warc, write_warc
+from quillstream.llm.warc import archive_round_trip, read_warc, write_warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, cls long, token string"
 
@@ -116,7 +117,7 @@ def test_packing(spark, small, rows, odd, odd_texts, none):
 
 
 def test_suffix_dedup(spark, small, rows, odd, odd_texts, none):
-    for df, texts in ((Q.op8_suffix_dedup(spark, small), rows), (suffix_dedup(odd.filter("doc_id != 10")), [t for t in odd_texts if t[0] != 10])):
+    for df, texts in ((Q.op8_suffix_dedup(spark, small), rows), (suffix_dedup(odd), odd_texts)):
         got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()]
         assert sorted(got) == sorted(brute.covered(texts, 200))
     assert suffix_dedup(none).count() == 0
@@ -159,3 +160,61 @@ def test_warc_salvages_what_follows_damage(spark, tmp_path):
     assert (gap["offset"], gap["bytes"]) == (at, size)
     path.write_bytes(bytes(raw[: places[38][0] + 7]))
     assert read_warc(files, folder).filter("gap_reason is not null").agg(F.max("offset")).first()[0] == places[38][0]
+
+
+def test_token_counts_of_random_texts(spark):
+    """Runs of spaces and the character that spells a space in the model, beside letters of several scripts."""
+    rng = random.Random(5)
+    parts = (" ", "  ", "\u2581", "\u2581\u2581", "日", "a", "the", "é", "\n", "\t", ".", "word")
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for i in range(4000)]
+    want = brute.piece_counts(texts)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == want
+
+
+def _fails(line):
+    """The line rules of the quality operator, plainly."""
+    words = line.split()
+    if not words:
+        return False
+    marks = sum(line.count(c) for c in "|»›•")
+    shouted = len(re.findall(r"[#*$%&<>!]{2,}", line))
+    ended = re.search(r"[.!?…。！？:;][\"'”’»)\]]*(\s|$)", line)
+    notice = len(words) <= NOTICE_WORDS and any(n in line.lower() for n in NOTICES)
+    return 3 * marks >= max(len(words), 6) or 2 * shouted >= len(words) or not ended or notice
+
+
+def test_quality_verdict(spark, small, rows):
+    got = {r["doc_id"]: (r["kept"], r["n_lines_removed"], r["chars_removed"]) for r in Q.op3_quality_rules(spark, small).collect()}
+    for i, text in rows:
+        base = brute.quality_base(text)
+        gone = [x for x in (text or "").split("\n") if _fails(x)]
+        chars = sum(len("".join(x.split())) for x in gone)
+        assert got[i] == (not base["base_failed"] and 100 * chars <= 30 * base["word_chars"], len(gone), chars)
+    assert sum(k for k, *_ in got.values()) > 0.5 * len(got)
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    """Every operator on rows that repeat, that share an id, that have none, and that bring columns of the operators' own names."""
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
+    other = " ".join(f"v{rng.randrange(500)}" for _ in range(120))
+    texts = [(1, long), (1, long), (1, other), (None, long), (None, None), (2, "a"), (2, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for name in ("n_bytes", "n_tokens", "kept", "uid", "key", "u", "cls", "n", "row", "length", "offset", "spans", "component_id", "h"):
+        docs = docs.withColumn(name, F.lit("own"))
+    tokens = brute.piece_counts(list(enumerate(t for _, t in texts)))
+    count = lambda df, *c: sorted((tuple(r[x] for x in c) for r in df.collect()), key=repr)
+    assert count(token_counts(docs), "doc_id", "n_tokens") == sorted(((i, tokens[k]) for k, (i, _) in enumerate(texts)), key=repr)
+    n = len(set(zip(long.split(), long.split()[1:], long.split()[2:])))
+    m = len(set(zip(other.split(), other.split()[1:], other.split()[2:])))
+    assert count(ngram_components(docs, 3, 90), "doc_id", "n_shingles", "component_id") == sorted([(1, n, 1), (1, n, 1), (1, m, 1), (None, n, None), (None, 0, None), (2, 1, 2), (2, 0, 2)], key=repr)
+    assert count(quality(docs), "doc_id", "n_words") == sorted(((i, len((t or "").split())) for i, t in texts), key=repr)
+    want = brute.covered(texts, 200)
+    assert count(suffix_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+    ids = [len(brute.packed_ids([(0, t)])[0]) // 4 for _, t in texts]
+    packed = pack(docs)
+    assert packed.agg(F.sum("length")).first()[0] == sum(ids) and packed.select("sequence_id").distinct().count() == packed.count()
+    pages = spark.createDataFrame([(7, "u", long * 3), (7, "u", long * 3), (8, None, long * 3), (None, "u", long * 3), (9, "u", None)], "page_id long, url string, html string").withColumn("digest", F.lit("own"))
+    got = count(archive_round_trip(pages), "page_id", "record_type", "refers_to")
+    assert got == sorted([(7, "revisit", 8), (7, "revisit", 8), (8, "response", None), (None, "response", None), (9, "response", None)], key=repr)
+    assert archive_round_trip(pages.limit(0)).count() == 0
