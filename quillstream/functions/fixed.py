@@ -112,3 +112,10 @@ LINEAGE_JACCARD, SPLIT_JACCARD, BUNDLE_JACCARD, BUNDLE_SHARED = 0.5, 0.15, 0.34,
 TTL_MINUTES, SNIPPET, DEFAULT_WEIGHT, SOCIAL_WEIGHT = 60, 500, 50.0, 60.0
 REJECTIONS_KEPT = 200
 MIN_SUCCESS, MIN_STORIES = 0.95, 2
+
+# Limits of written lines, and when one line repeats another.
+PROSE_SENTENCES, PROSE_CHARS = 2, 300
+REPEAT_CHARS, REPEAT_WORDS, REPEAT_JACCARD, REPEAT_COVERED = 30, 4, 0.7, 0.85
+
+# Reasons of a failed writer for which a story is left out.
+WRITER_FAILURES = ("write_failed", "rewrite_failed", "resolver_threw")

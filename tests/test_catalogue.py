@@ -5,14 +5,14 @@ from __future__ import annotations
 import pytest
 from compare import duck_rows, spark_rows
 
-from quillstream.plans import catalogue, catalogue_stories
+from quillstream.plans import catalogue, catalogue_tags
 
 
-@pytest.mark.parametrize("name", sorted(catalogue_stories.SQL))
+@pytest.mark.parametrize("name", sorted(catalogue_tags.SQL))
 def test_same_rows_as_sql(spark, duck, medium, name):
-    df = catalogue_stories.QUERIES[name](spark, medium)
-    got, want = spark_rows(df), duck_rows(duck, catalogue_stories.SQL[name])
-    assert sorted(df.columns) == sorted(d[0] for d in duck.execute(f"SELECT * FROM ({catalogue_stories.SQL[name]}) LIMIT 0").description)
+    df = catalogue_tags.QUERIES[name](spark, medium)
+    got, want = spark_rows(df), duck_rows(duck, catalogue_tags.SQL[name])
+    assert sorted(df.columns) == sorted(d[0] for d in duck.execute(f"SELECT * FROM ({catalogue_tags.SQL[name]}) LIMIT 0").description)
     assert len(got) == len(want)
     assert got == want
     assert got or name in {"similar_pairs", "ttl_cache"}
