@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leaks
+from .filter_audit import SQL as AUDIT_SQL
+from .filter_audit import audit
+from .kd_shards import kd_shards
 from .langid import identify
 from .ngram_join import ngram_components
 from .packing import pack
+from .periodic_runs import periodic_runs, run_digests, with_planted_runs
 from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -62,7 +66,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"), least=1000)
 
 
-QUERIES = (op1_token_counts, op2_ngram_join, op3_quality_rules, op4_language_id, op5_packing, op6_substring_dedup, op7_decontamination, op8_suffix_dedup, op9_token_output, op10_warc)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(_table(spark, sf_dir, "documents"), shards=24)
+
+
+QUERIES = (op1_token_counts, op2_ngram_join, op3_quality_rules, op4_language_id, op5_packing, op6_substring_dedup, op7_decontamination, op8_suffix_dedup, op9_token_output, op10_warc, op11_periodic_runs, op12_filter_audit, op13_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -70,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_filter_audit": AUDIT_SQL}
