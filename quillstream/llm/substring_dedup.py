@@ -5,12 +5,14 @@ the next one, so the units of a text concatenate to the text. Normalised, a text
 is its words (runs of letters and digits, A-Z lower-cased; all else parts words).
 A passage, named by the 128-bit hash of its words, is one of
 
-- the shortest run of units from each unit on, and up to each unit, that reaches
-  the least size, so that every repeated run of units of that size goes as a whole;
-- each line and each paragraph (lines between blank ones) of at least that size;
+- each line and each paragraph (lines between blank ones) of ``least_line`` words
+  or more: a whole line that comes again is a copy;
+- the shortest run of units from each unit on, and up to each unit, of
+  ``least_words`` words or more, so that every repeated run of units of that size
+  goes as a whole; single sentences recur by chance, so these are longer;
 - each window of WINDOW words inside one unit, wherever the passage was pasted.
 
-The least size is ``least_words`` words; in scripts without spaces a Chinese or
+Words count as such in most scripts; in scripts without spaces a Chinese or
 Japanese character is worth half a word, a Thai, Lao, Khmer or Burmese one a
 quarter. Passages are grouped over all documents: the earliest occurrence (by
 doc_id, then first word) stays, and the bytes of all others are removed, with what
@@ -51,8 +53,9 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
-#: Least words of a passage that is removed: single sentences recur by chance in texts that share nothing else.
-LEAST_WORDS = 25
+#: Least words of a whole line or paragraph that is removed, and of a run of units: single sentences recur by chance in
+#: texts that share nothing else.
+LEAST_LINE, LEAST_WORDS = 8, 25
 #: Words of the windows laid over units of that many words or more.
 WINDOW = 50
 
@@ -120,7 +123,7 @@ def quarter_words(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
     return np.maximum(4, worth[last] - worth[first])
 
 
-def passages(data: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+def passages(data: np.ndarray, least_words: int, least_line: int) -> tuple[np.ndarray, ...]:
     """(hash, other hash, byte of the first word, bytes before it that go along, bytes from it on) of each passage of one text."""
     start = unit_starts(data)
     words, first, last = letter_words(data, start)
@@ -139,7 +142,7 @@ def passages(data: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
     for breaks in (ends, empty):
         new = np.flatnonzero(np.diff(np.searchsorted(breaks, start), prepend=-1))
         p, q = a[new], b[np.append(new[1:], len(start)) - 1] if len(new) else b[:0]
-        own = size[q] - size[p] >= least
+        own = size[q] - size[p] >= 4 * least_line
         runs.append((p[own], q[own]))
     long = np.flatnonzero(b - a >= WINDOW)
     runs += [(p := np.arange(x, y - WINDOW + 1), p + WINDOW) for x, y in zip(a[long], b[long], strict=True)]
@@ -159,12 +162,12 @@ def passages(data: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
 ROWS = "doc_id long, u int, h long, g int, start int, before int, length int"
 
 
-def _passage_rows(docs: DataFrame, least_words: int) -> DataFrame:
+def _passage_rows(docs: DataFrame, least_words: int, least_line: int) -> DataFrame:
     names = [x.split()[0] for x in ROWS.split(", ")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            parts = [passages(view, least_words) for view in text_views(batch.column(2))]
+            parts = [passages(view, least_words, least_line) for view in text_views(batch.column(2))]
             own = pa.array(np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts]))
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x) for x in columns)], names)
@@ -172,22 +175,22 @@ def _passage_rows(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(make, ROWS)
 
 
-def _hash_rows(docs: DataFrame, least_words: int) -> DataFrame:
+def _hash_rows(docs: DataFrame, least_words: int, least_line: int) -> DataFrame:
     """The passages' first hashes alone."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([passages(view, least_words)[0] for view in text_views(batch.column(0))]))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([passages(view, least_words, least_line)[0] for view in text_views(batch.column(0))]))], ["h"])
 
     return docs.filter("doc_id is not null").select("text").mapInArrow(make, "h long")
 
 
-def removed_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def removed_passages(docs: DataFrame, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> DataFrame:
     """Per removed passage: doc_id, u (a hash that tells texts of one doc_id apart), start, end (bytes of the original)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("u"), "text")
     # hashed twice: kept on disk, the passages would take as much as the texts
-    often = materialise(_hash_rows(docs, least_words).groupBy("h").count().filter("count > 1").select("h"), "often")
-    met = materialise(_passage_rows(docs, least_words).join(often, "h"), "met")
+    often = materialise(_hash_rows(docs, least_words, least_line).groupBy("h").count().filter("count > 1").select("h"), "often")
+    met = materialise(_passage_rows(docs, least_words, least_line).join(often, "h"), "met")
     discard(often)
     first = met.groupBy("h", "g").agg(F.min(F.struct("doc_id", "u", "start")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
     first = materialise(first, "first")
@@ -233,15 +236,15 @@ def cut_text(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.StructArray.from_arrays([arrays[0].cast(pa.string()), *arrays[1:]], ["text", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"])
 
 
-def cut_rows(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def cut_rows(docs: DataFrame, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> DataFrame:
     """Per row: ``row``, a struct of all columns of ``docs`` as they were, and ``removal``, a struct of REMOVAL."""
-    cut = removed_passages(docs, least_words)
+    cut = removed_passages(docs, least_words, least_line)
     per_doc = cut.groupBy("doc_id", "u").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
     # not deterministic to the optimizer, which would else run it once for a filter and once for the result
     cut_out = F.arrow_udf(cut_text, REMOVAL).asNondeterministic()
     return named_rows(docs).join(per_doc, ["doc_id", "u"], "left").select("row", cut_out("row.text", "marks").alias("removal"))
 
 
-def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> DataFrame:
     """Per row: doc_id, text (what is left), n_bytes, n_removed, n_spans, spans, kept_sha256 (of what is left)."""
-    return cut_rows(docs.select("doc_id", "text"), least_words).select(F.col("row.doc_id").cast("long").alias("doc_id"), "removal.*")
+    return cut_rows(docs.select("doc_id", "text"), least_words, least_line).select(F.col("row.doc_id").cast("long").alias("doc_id"), "removal.*")

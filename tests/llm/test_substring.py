@@ -26,7 +26,7 @@ def _size(word: str) -> float:
     return max(1, worth)
 
 
-def _passages(text: str, least: int):
+def _passages(text: str, least: int, line: int = 8):
     """(words, first word, start, end) in characters."""
     inside = [(a, b, list(WORD.finditer(text, a, b))) for a, b in _units(text)]
     inside = [u for u in inside if u[2]]
@@ -45,7 +45,7 @@ def _passages(text: str, least: int):
     for pattern in (r"[^\n]*\n?", r"(?:[^\n]*[^ \t-\r][^\n]*(?:\n|$))+"):
         for m in re.finditer(pattern, text):
             own = [i for i, u in enumerate(inside) if m.start() <= u[0] < m.end()]
-            if own and sum(_size(w.group()) for i in own for w in inside[i][2]) >= least:
+            if own and sum(_size(w.group()) for i in own for w in inside[i][2]) >= line:
                 groups.add((own[0], own[-1]))
     out = set()
     for i, j in groups:
@@ -152,3 +152,15 @@ def test_rows_of_one_id_and_clashing_columns(spark):
     assert left[2, two] in ([""] * 2, [two] * 2)
     none = spark.createDataFrame([], docs.schema)
     assert substring_dedup(none).count() == 0
+
+
+def test_short_lines_go_but_once_and_single_sentences_stay(spark):
+    """With the default sizes a whole line of 8 words or more that comes again is a copy, a sentence within a line is not."""
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, brief, sentence = own(9), own(7), own(12) + "."
+    docs = [(i, f"{own(12)}\n{line}\n{brief}\n{own(11)}. {sentence} {own(10)}.\n\n{own(30)}") for i in range(6)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [line in got[i] for i in range(6)] == [True] + [False] * 5
+    assert all(brief in t and sentence in t for t in got.values())
+    _check(substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")), docs, 25)
