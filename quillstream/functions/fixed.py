@@ -26,6 +26,9 @@ LEXICON = {
     "outbreak": (("outbreak", "outbreaks"), ("brote", "brotes")),
 }
 ELECTION_CONCEPTS = ("election", "vote", "ballot", "presidential", "candidate", "campaign", "runoff")
+# Words of elections beside those forms, and words of the forms that say too little by themselves.
+ELECTION_EXTRAS = ("debate", "debates", "electorate", "incumbent", "comicios", "sondeo", "sondeos", "encuesta", "encuestas")
+ELECTION_VAGUE = ("second", "round")
 
 # Geography -> words for its people.
 DEMONYMS = {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -112,10 +112,40 @@ def evidence_tokens(c: Column, without: Iterable[str] = ()) -> Column:
     return F.array_distinct(F.filter(tokens(c), lambda t: (F.length(t) >= 3) & ~t.isin(*out)))
 
 
-def relabelled(c: Column, synonyms: Mapping[str, str]) -> Column:
-    """The synonym of a label, or the label itself, trimmed."""
-    table = F.create_map(*(F.lit(x) for pair in synonyms.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, F.lower(F.trim(c))), F.trim(c))
+def plain_tokens(text: str) -> list[str]:
+    """``tokens`` of a setting, on the driver."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def spellings(geography: str) -> tuple[str, ...]:
+    """Other spellings of a configured geography, whatever its case."""
+    return next((v for k, v in fixed.GEO_SYNONYMS.items() if k.lower() == geography.strip().lower()), ())
+
+
+def places_of(geographies: Iterable[str]) -> dict[str, str]:
+    """Place -> the first configured geography that it lies in, by name or another spelling."""
+    named = [(g, {x.strip().lower() for x in (g, *spellings(g))}) for g in geographies if g and g.strip()]
+    return {place: own for place, country in fixed.GEO_ALIASES.items() if (own := next((g for g, all_ in named if country.lower() in all_), None))}
+
+
+def geography_of(c: Column, geographies: Iterable[str]) -> Column:
+    """The configured geography in which a place lies, or null."""
+    table = places_of(geographies)
+    if not table:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.lower(F.trim(c)))
+
+
+def geography_words(geographies: Iterable[str]) -> tuple[str, ...]:
+    """Words of the configured geographies, their other spellings and the places in them."""
+    own = [g for g in geographies if g and g.strip()]
+    return tuple(sorted({w for x in (*own, *(s for g in own for s in spellings(g)), *places_of(own)) for w in plain_tokens(x)}))
+
+
+def theme_words() -> tuple[str, ...]:
+    """Words of three letters or more that say an item is about elections."""
+    forms = [f for c in fixed.ELECTION_CONCEPTS for own in fixed.LEXICON[c] for f in own]
+    return tuple(sorted({w for f in (*forms, *fixed.ELECTION_EXTRAS) for w in plain_tokens(f) if len(w) >= 3 and w not in fixed.ELECTION_VAGUE}))
 
 
 def words_of(c: Column) -> Column:

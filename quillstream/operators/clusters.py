@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import theme_words
 from .stories import similar_sets
 
 
@@ -38,14 +41,15 @@ def claim_support(claims: DataFrame) -> DataFrame:
     return out.select("story", (F.col("k") >= 2).alias("corroborated"), ((F.col("claims") >= 2) & (F.col("most") == 1) & (F.col("sources") == F.col("claims"))).alias("disjoint"))
 
 
-def split_clusters(items: DataFrame, claims: DataFrame, threshold: float = fixed.SPLIT_JACCARD) -> DataFrame:
+def split_clusters(items: DataFrame, claims: DataFrame, threshold: float = fixed.SPLIT_JACCARD, theme: Sequence[str] = theme_words()) -> DataFrame:
     """(story, part, ids, action, reason) of each cluster, kept, deferred or split.
 
-    items: story, id, english, tokens (of the evidence). A cluster of unlike
+    items: story, id, english, tokens (of the evidence: headline and two lines of
+    body, without words of configured geographies). A cluster of unlike
     sources that no claim holds together is split (low_token_overlap), and one
     whose claims each stand on a source of their own (disjoint_claim_evidence);
     what is not all in English, or hangs together after all, is deferred. Parts are
-    the components of sources alike or with a word of elections in common.
+    the components of sources alike or with a word of ``theme`` in common.
     """
     facts = items.groupBy("story").agg(F.count("*").alias("n"), F.bool_and("english").alias("english"), F.array_sort(F.collect_list("id")).alias("all_ids"))
     rows = items.select("story", "id", F.explode("tokens").alias("token"))
@@ -55,9 +59,7 @@ def split_clusters(items: DataFrame, claims: DataFrame, threshold: float = fixed
     reason = F.when(free & F.col("english"), "low_token_overlap").when((F.col("n") >= 2) & F.coalesce("disjoint", F.lit(False)), "disjoint_claim_evidence").when(free, "ambiguous_unnormalized_overlap")
     facts = facts.withColumn("reason", reason).select("story", "all_ids", "reason").checkpoint()
     wanted = facts.filter("reason in ('low_token_overlap', 'disjoint_claim_evidence')")
-
-    words = sorted({w for c in fixed.ELECTION_CONCEPTS for forms in fixed.LEXICON[c] for w in forms if " " not in w})
-    voted = rows.filter(F.col("token").isin(*words))
+    voted = rows.filter(F.col("token").isin(*theme))
     first = voted.groupBy("story", "token").agg(F.min("id").alias("b"))  # a star joins all that share a word
     themed = voted.join(first, ["story", "token"]).filter("id != b").selectExpr("story", "id a", "b")
     edges = alike.unionByName(themed).join(wanted.select("story"), "story", "left_semi")

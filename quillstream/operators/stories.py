@@ -40,8 +40,8 @@ def grounding(claims: DataFrame, known: DataFrame) -> DataFrame:
     return per_story.select("story", F.col("n").alias("n_evidence"), F.col("ok").alias("n_known"), verdict.alias("verdict"))
 
 
-def similar_sets(left: DataFrame, right: DataFrame, within: list[str], least: float) -> DataFrame:
-    """Pairs (a, b, jaccard) of sets of one ``within`` whose Jaccard is ``least`` or more; both sides hold (id, *within, token).
+def similar_sets(left: DataFrame, right: DataFrame, within: list[str], least: float, shared: int = 1) -> DataFrame:
+    """Pairs (a, b, jaccard) of sets of one ``within`` whose Jaccard is ``least`` or more, with ``shared`` tokens in common or more; both sides hold (id, *within, token).
 
     Tokens are ordered by how many sets hold them, rarest first; two sets that
     reach the threshold share one of their first n - ceil(least * n) + 1 tokens,
@@ -62,7 +62,7 @@ def similar_sets(left: DataFrame, right: DataFrame, within: list[str], least: fl
     met = a.join(b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key] + [F.least(F.size("x.s"), F.size("y.s")) >= least * F.greatest(F.size("x.s"), F.size("y.s")) - 1e-9])
     met = met.filter(F.element_at(F.array_intersect("x.p", "y.p"), 1) == F.col("x.token"))
     common = F.size(F.array_intersect("x.s", "y.s"))
-    scored = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (common / (F.size("x.s") + F.size("y.s") - common)).alias("jaccard"))
+    scored = met.filter(common >= shared).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (common / (F.size("x.s") + F.size("y.s") - common)).alias("jaccard"))
     return scored.filter(F.col("jaccard") >= least)
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 import pytest
 from compare import duck_rows, spark_rows
 
-from quillstream.plans import catalogue, catalogue_reports
+from quillstream.plans import catalogue, registered
 
 
-@pytest.mark.parametrize("name", sorted(catalogue_reports.SQL))
+@pytest.mark.parametrize("name", sorted(registered.SQL))
 def test_same_rows_as_sql(spark, duck, medium, name):
-    df = catalogue_reports.QUERIES[name](spark, medium)
-    got, want = spark_rows(df), duck_rows(duck, catalogue_reports.SQL[name])
-    assert sorted(df.columns) == sorted(d[0] for d in duck.execute(f"SELECT * FROM ({catalogue_reports.SQL[name]}) LIMIT 0").description)
+    df = registered.QUERIES[name](spark, medium)
+    got, want = spark_rows(df), duck_rows(duck, registered.SQL[name])
+    assert sorted(df.columns) == sorted(d[0] for d in duck.execute(f"SELECT * FROM ({registered.SQL[name]}) LIMIT 0").description)
     assert len(got) == len(want)
     assert got == want
     assert got or name in {"similar_pairs", "ttl_cache"}
