@@ -122,3 +122,49 @@ REPEAT_CHARS, REPEAT_WORDS, REPEAT_JACCARD, REPEAT_COVERED = 30, 4, 0.7, 0.85
 
 # Reasons of a failed writer for which a story is left out.
 WRITER_FAILURES = ("write_failed", "rewrite_failed", "resolver_threw")
+
+# Keyword <- phrases of a text that name it (* : may go on with further letters).
+KEYWORD_HINTS = (
+    ("OFAC", ("ofac",)), ("migration", ("migration",)), ("sanctions", ("sanction", "sanctions")), ("energy", ("energy",)), ("border", ("border",)), ("security", ("security",)),
+    ("health", ("health",)), ("outbreak", ("outbreak", "outbreaks")), ("vaccine", ("vaccine", "vaccines")), ("customs", ("custom", "customs")), ("DIAN", ("dian",)), ("trade", ("trade",)),
+    ("asylum", ("asylum",)), ("deportation", ("deportation",)), ("ICE", ("ice",)), ("DHS", ("dhs",)), ("diplomacy", ("diploma*",)), ("labor", ("labor",)), ("manufacturing", ("manufacturing",)),
+    ("tariffs", ("tariff", "tariffs")), ("visa", ("visa",)), ("United Nations", ("united nations", "unhcr")), ("organized crime", ("organized crime",)), ("elections", ("election", "elections")),
+    ("public health", ("public health",)), ("WHO", ("who",)), ("migration", ("migracion", "migración", "migratorio", "migratoria", "migratorios", "migratorias")),
+)
+
+# Topic <- phrases of a text that name it, phrases that forbid it, phrases of which it needs one beside.
+TOPIC_HINTS = (
+    ("Migration policy", ("migration",)), ("Deportation policy", ("deportation",), ("humanitarian",)), ("Border policy", ("border", "cbp", "dhs", "ice")), ("Border policy", ("asylum",)),
+    ("Security policy", ("security",)), ("Public health", ("public health",)), ("Public health policy", ("public health policy",)), ("Public health policy", ("vaccine rollout", "rollout")),
+    ("Trade policy", ("tariff", "tariffs", "trade")), ("Customs policy", ("customs",)), ("Energy policy", ("energy",)), ("Sanctions enforcement", ("sanction", "sanctions")),
+    ("Humanitarian aid", ("humanitarian",)), ("Health policy", ("health ngo",)), ("Public health", ("health ngo",)), ("International health", ("outbreak", "vaccine")),
+    ("International trade", ("trade",), (), ("across",)), ("Elections", ("election", "elections")),
+    ("Migration policy", ("migracion", "migración", "migratorio", "migratoria", "migratorios", "migratorias")), ("Elections", ("elecciones",)), ("Security", ("seguridad",)),
+)
+
+# Bare topics and their fuller labels; topics and keywords that are noise; topics that go beside a fuller one; words that only qualify.
+TOPIC_PROMOTIONS = {"migration": "Migration policy", "trade": "Trade policy", "election": "Elections", "elections": "Elections"}
+NOISE_TOPICS = ("compliance", "compliance risk", "labor disputes", "tariffs", "shipping", "shipping risk", "official reactions", "shelter capacity", "organized crime")
+NOISE_KEYWORDS = ("compliance", "shipping", "shelter", "rollout", "messaging")
+VAGUE_TOPICS = {"sanctions enforcement": ("energy policy", "migration policy"), "public health": ("public health policy",)}
+QUALIFIERS = (
+    "cooperation", "delays", "updates", "messaging", "bulletins", "risk", "rollout", "capacity", "announcements", "notices", "framing", "flights",
+    "corridors", "pressure", "disputes", "incidents", "shifts", "storylines", "operations", "court",
+)
+
+# Handles that stand for a keyword, one of them only beside a phrase.
+HANDLE_HINTS = {"@icegov": "ICE", "@cbp": "border"}
+DIAN_HANDLE = ("@diancolombia", "customs policy", "DIAN")
+
+# What a text drafts by itself (value, parts of words that stand for it; outlets and keywords in their own spelling).
+DRAFT_TOPICS = (("Diplomatic relations", "diplomat", "bilateral"), ("Migration policy", "migrat", "deportat"))
+DRAFT_KEYWORDS = ("OFAC", "sanctions", "deportation")
+DRAFT_GEOGRAPHIES = (("US", "united states", " us ", " u.s."), ("Colombia", "colombia"))
+DRAFT_OUTLETS = ("Reuters", "NYT", "Washington Post", "El Tiempo", "El País", "Semana", "La Silla Vacía", "Infobae")
+DRAFT_OUTLET_SPELLINGS = (("La Silla Vacia", "la silla vacia"), ("La Silla Vacía", "silla nacional"), ("Revista Semana", "revista semana"), ("Infobae Colombia", "infobae colombia"))
+
+# Score from which a scorer's label becomes a tag.
+SEMANTIC_TAG = 0.75
+
+# Pages of posts that are read of one name at most.
+SOCIAL_PAGES = 25

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalogue_bundles, catalogue_reports
+from . import catalogue_bundles, catalogue_landing, catalogue_reports, catalogue_tagging
 from .catalogue import QUERIES, SQL
 
-assert catalogue_bundles.QUERIES is catalogue_reports.QUERIES is QUERIES
+assert all(m.QUERIES is QUERIES for m in (catalogue_bundles, catalogue_landing, catalogue_reports, catalogue_tagging))
 __all__ = ["QUERIES", "SQL"]
