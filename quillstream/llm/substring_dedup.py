@@ -57,7 +57,7 @@ _STOP[list(b".!?")] = True
 #: texts that share nothing else.
 LEAST_LINE, LEAST_WORDS = 8, 25
 #: Words of the windows laid over units of that many words or more.
-WINDOW = 50
+WINDOW = 25
 
 
 class _WordPowers:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.llm import queries as Q
-from quillstream.llm.substring_dedup import cut_rows, substring_dedup
+from quillstream.llm.substring_dedup import WINDOW, cut_rows, substring_dedup
 
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
@@ -52,9 +52,9 @@ def _passages(text: str, least: int, line: int = 8):
         ws = [m for u in inside[i : j + 1] for m in u[2]]
         out.add((tuple(m.group().translate({c: c + 32 for c in range(65, 91)}) for m in ws), ws[0].start(), inside[i][0], inside[j][1]))
     for a, b, ws in inside:
-        for k in range(len(ws) - 49):
-            own = ws[k : k + 50]
-            out.add((tuple(m.group().translate({c: c + 32 for c in range(65, 91)}) for m in own), own[0].start(), a if k == 0 else own[0].start(), b if k + 50 == len(ws) else own[-1].end()))
+        for k in range(len(ws) - WINDOW + 1):
+            own = ws[k : k + WINDOW]
+            out.add((tuple(m.group().translate({c: c + 32 for c in range(65, 91)}) for m in own), own[0].start(), a if k == 0 else own[0].start(), b if k + WINDOW == len(ws) else own[-1].end()))
     return out
 
 
