@@ -60,9 +60,10 @@ def due_runs(stream: DataFrame, every_minutes: int, late: str) -> DataFrame:
         ring(state.getCurrentWatermarkMs() * 1000)
         state.update((anchor, done, newest, newest_at))
         state.setTimeoutTimestamp(max((anchor + every) // 1000, state.getCurrentWatermarkMs() + 1))
-        rows = pd.DataFrame(out, columns=["user", "at", "action", "fingerprint"])
-        rows["at"] = pd.to_datetime(rows["at"], unit="us")
-        yield rows
+        if out:
+            rows = pd.DataFrame(out, columns=["user", "at", "action", "fingerprint"])
+            rows["at"] = pd.to_datetime(rows["at"], unit="us")
+            yield rows
 
     keyed = stream.select(F.col("user").cast("string").alias("user"), F.col("at").cast("timestamp").alias("at"), F.col("fingerprint").cast("string").alias("fingerprint"))
     keyed = keyed.filter("user is not null and at is not null").withWatermark("at", late)
