@@ -168,3 +168,6 @@ SEMANTIC_TAG = 0.75
 
 # Pages of posts that are read of one name at most.
 SOCIAL_PAGES = 25
+
+# The contract version of snapshots, and older ones that are brought to it.
+CONTRACT, LEGACY_CONTRACTS = "2026-05-19-meta-story-fields", ("2026-04-22-slice1",)

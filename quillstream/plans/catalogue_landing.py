@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import snapshots
 from ..sources import social
 from ..streaming import feeds, runs
 from ..streaming.feeds import shared_folder
@@ -62,3 +63,54 @@ def due_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     signs = events.selectExpr("user_id user", "ts at", "event_type fingerprint")
     feeds.run_once(runs.due_runs(signs, 360, "2 hours"), "append", feeds.appended_into(path), shared_folder(spark, "progress"))
     return spark.read.parquet(path).select("user", F.col("at").cast("timestamp_ntz").alias("at"), "action", "fingerprint")
+
+
+_SNAPSHOTS = r"""d AS (SELECT doc_id, doc_id % 50 AS u, string_split(coalesce(text, ''), chr(10)) AS l, source, lang FROM documents),
+v AS (SELECT *, 1 AS n FROM d UNION ALL SELECT *, 2 FROM d WHERE u % 3 = 0 AND doc_id % 4 > 0 UNION ALL SELECT *, 3 FROM d WHERE u % 7 = 0 AND doc_id % 5 = 0),
+w AS (SELECT v.* FROM v JOIN (SELECT u, max(n) AS n FROM v GROUP BY u) m ON m.u = v.u AND m.n = v.n)"""
+
+
+def _payloads(rows: DataFrame, n: int) -> DataFrame:
+    """A snapshot of each user over documents: every other story in the form of an earlier contract."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    old = F.col("doc_id") % 2 == 0
+    source = F.struct(F.col("doc_id").cast("string").alias("sourceId"), F.col("source").alias("outlet"), F.when(F.col("doc_id") % 3 == 0, "social").otherwise("rss").alias("kind"))
+    story = F.struct(
+        F.col("doc_id").cast("string").alias("metaStoryId"), lines[0].alias("title"), F.when(~old, F.get(lines, F.lit(1))).alias("subtitle"), F.when(old, F.get(lines, F.lit(1))).alias("takeaway"),
+        F.when(~old, F.struct(F.array("lang").alias("topics"))).alias("tags"), F.when(F.col("doc_id") % 5 > 0, F.array(source)).alias("sources"),
+    )
+    user = rows.withColumn("user_id", (F.col("doc_id") % 50).cast("string")).groupBy("user_id").agg(F.collect_list(story).alias("stories"), F.min("doc_id").alias("least"))
+    version = F.when(F.col("least") % 2 == 0, "2026-04-22-slice1").otherwise("2026-05-19-meta-story-fields")
+    payload = F.to_json(F.struct(version.alias("contractVersion"), "stories", F.transform("stories", lambda s: s["metaStoryId"]).alias("_everSeenMetaStoryIds"), F.struct(F.lit(n).alias("funnel")).alias("_lastRunMeta")))
+    return user.select("user_id", payload.alias("payload"), F.lit(f"2024-03-0{n} 00:00:00").cast("timestamp").alias("refreshed_at"))
+
+
+@query(rf"""WITH {_SNAPSHOTS}, s AS (SELECT u, n, doc_id, l[1] AS title, coalesce(l[2], '') AS subtitle, CASE WHEN doc_id % 2 = 1 THEN lang ELSE '' END AS topics, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'social' ELSE 'traditional' END AS kinds FROM w)
+SELECT CAST(u AS VARCHAR) AS user_id, '2026-05-19-meta-story-fields' AS contract_version, count(*) AS n_stories, sha256(array_to_string(list(title || '/' || subtitle || '/' || topics || '/' || kinds ORDER BY doc_id), '|')) AS told,
+ CAST(any_value(n) AS VARCHAR) AS funnel, CASE WHEN u % 10 = 0 THEN '2024-03-05T06:07:08Z' END AS last_checked_at FROM s GROUP BY u""")
+def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three commits, a look at some users, a compaction; then what readers see."""
+    docs, own = table(spark, sf_dir, "documents"), snapshots.store(spark, shared_folder(spark, "store"))
+    for n, rows in enumerate((docs, docs.filter("doc_id % 50 % 3 = 0 and doc_id % 4 > 0"), docs.filter("doc_id % 50 % 7 = 0 and doc_id % 5 = 0")), 1):
+        own.commit({snapshots.SNAPSHOTS: _payloads(rows, n)}, f"run {n}")
+    looked = own.read(snapshots.SNAPSHOTS).filter("user_id % 10 = 0").select("user_id", F.lit("2024-03-05 06:07:08").cast("timestamp").alias("at"))
+    own.commit({snapshots.SNAPSHOTS: snapshots.touched(own.read(snapshots.SNAPSHOTS), looked)}, "look")
+    own.compact()
+    shown = snapshots.loaded(own.read(snapshots.SNAPSHOTS))
+    by_id = F.array_sort("stories", lambda a, b: F.when(a["metaStoryId"].cast("long") < b["metaStoryId"].cast("long"), -1).otherwise(1))
+    told = F.transform(by_id, lambda s: F.concat_ws("/", s["title"], F.coalesce(s["subtitle"], F.lit("")), F.array_join(s["tags"]["topics"], ","), F.array_join(F.transform(s["sources"], lambda x: x["kind"]), ",")))
+    return shown.select("user_id", "contract_version", F.size("stories").cast("long").alias("n_stories"), F.sha2(F.array_join(told, "|"), 256).alias("told"), F.col("report")["funnel"].alias("funnel"), "last_checked_at")
+
+
+@query("""WITH s AS (SELECT user_id AS u, max(event_id) AS last FROM events GROUP BY 1), t AS (SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events)
+SELECT u AS user_id, 'v' || last % 3 AS version, last AS newest, event_type AS narrative FROM s JOIN t ON t.user_id = u AND k = 1""")
+def saved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings and narratives saved together in two commits, the second of which changes every other user."""
+    rows, own = table(spark, sf_dir, "events"), snapshots.store(spark, shared_folder(spark, "store"))
+    for part in (rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), rows):
+        users = part.groupBy("user_id").agg(F.max("event_id").alias("last"))
+        settings = users.select("user_id", F.to_json(F.struct(F.lit("old").alias("contractVersion"), F.col("last").alias("newest"))).alias("data"), F.concat(F.lit("v"), F.col("last") % 3).alias("contract_version"))
+        snapshots.save_settings(own, settings, part.selectExpr("user_id", "ts submitted_at", "event_type raw_text"))
+    current = snapshots.current_narratives(own.read(snapshots.NARRATIVES)).filter("is_current").selectExpr("user_id", "raw_text narrative")
+    merged = snapshots.merged_settings(own.read(snapshots.SETTINGS))
+    return merged.select("user_id", F.col("settings")["contractVersion"].alias("version"), F.col("settings")["newest"].cast("long").alias("newest")).join(current, "user_id")
