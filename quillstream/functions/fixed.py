@@ -171,3 +171,11 @@ SOCIAL_PAGES = 25
 
 # The contract version of snapshots, and older ones that are brought to it.
 CONTRACT, LEGACY_CONTRACTS = "2026-05-19-meta-story-fields", ("2026-04-22-slice1",)
+
+# Sources of a story at most; messages of calls that ran out of time, and of providers that failed.
+STORY_SOURCES = 5
+TIMEOUT_FAILURE = r"(?i)timed out|timeout|abort"
+PROVIDER_FAILURE = (
+    r"(?is)api[_ ]?key|anthropic_api_key|rate[ _-]?limit|overloaded|temporarily unavailable|service unavailable|\bunavailable\b|authentication|unauthorized|forbidden|permission|connection error"
+    r"|econnreset|enotfound|etimedout|fetch failed|socket hang up|returned empty|empty.*?response|status code|\b(?:429|5\d{2})\b"
+)

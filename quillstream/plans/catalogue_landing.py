@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import answers
 from ..operators import snapshots
 from ..sources import social
 from ..streaming import feeds, runs
@@ -114,3 +115,48 @@ def saved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = snapshots.current_narratives(own.read(snapshots.NARRATIVES)).filter("is_current").selectExpr("user_id", "raw_text narrative")
     merged = snapshots.merged_settings(own.read(snapshots.SETTINGS))
     return merged.select("user_id", F.col("settings")["contractVersion"].alias("version"), F.col("settings")["newest"].cast("long").alias("newest")).join(current, "user_id")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers of a model, sound and broken in fifteen ways."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') t", "concat('T ', split(coalesce(text, ''), '\n')[0]) title", "string(doc_id) id")
+
+    def story(**own) -> F.Column:
+        fields = {
+            "title": F.col("title"), "subtitle": F.lit("s"), "source_item_ids": F.array("id"), "summary": F.concat(F.lit("S "), "t"),
+            "tags": F.struct(F.array("id").alias("topics"), F.array().cast("array<string>").alias("keywords"), F.array().cast("array<string>").alias("geographies")),
+            "factual_claims": F.array("title"), "claim_evidence_map": F.create_map(F.lit("0"), F.array("id")),
+        } | own
+        return F.struct(*(v.alias(k) for k, v in fields.items() if v is not None))
+
+    def whole(*stories) -> F.Column:
+        return F.to_json(F.struct(F.array(*stories).alias("meta_stories")))
+
+    sound, bare = whole(story()), F.to_json(F.array(story()))
+    tags = F.struct(F.lit("x").alias("topics"), F.array("id").alias("keywords"), F.array("id").alias("geographies"))
+    kinds = [
+        sound, F.concat(F.lit("```json\n"), sound, F.lit("\n```")), F.concat(F.lit("Here you are: "), sound, F.lit(" That is all.")), bare, F.lit(" \n"), F.lit("I cannot do that."), F.lit('{"meta_stories": [{"title": {}'),
+        F.lit('{"meta_stories": 5}'), whole(*[story()] * 6), whole(story(subtitle=None)), whole(story(title=F.lit(""))), whole(story(), story(source_item_ids=F.array().cast("array<string>"))),
+        whole(story(source_item_ids=F.array(*[F.col("id")] * 6))), whole(story(tags=tags)), F.concat(F.lit("```\n"), bare, F.lit("```")), F.concat(F.lit("```"), whole(story(claim_evidence_map=F.create_map(F.lit("0"), "id"))), F.lit("```")),
+    ]
+    raw = F.coalesce(*(F.when(F.col("doc_id") % 16 == k, c) for k, c in enumerate(kinds)))
+    return rows.select("doc_id", raw.alias("raw"))
+
+
+@query(r"""WITH k(k, attempted, succeeded, failure_reason, raw_class, bucket, coercion, result, error_class) AS (VALUES
+ (0, false, false, NULL, NULL, NULL, NULL, 'ok', NULL), (1, true, true, NULL, 'json_parse_error', NULL, NULL, 'fallback', 'json_parse_error'), (2, true, true, NULL, 'json_parse_error', NULL, NULL, 'fallback', 'json_parse_error'),
+ (3, true, true, NULL, 'schema_validation_error', 'invalid_type', 'array_wrap', 'fallback', 'schema_validation_error'), (4, true, false, 'no_json_region', 'empty_response', NULL, NULL, 'fail', 'no_json_region'),
+ (5, true, false, 'no_json_region', 'json_parse_error', NULL, NULL, 'fail', 'no_json_region'), (6, true, false, 'json_parse_error', 'json_parse_error', NULL, NULL, 'fail', 'json_parse_error'),
+ (7, true, false, 'schema_validation_error', 'schema_validation_error', 'missing_meta_stories', NULL, 'fail', 'schema_validation_error'), (8, true, false, 'schema_validation_error', 'schema_validation_error', 'too_many_meta_stories', NULL, 'fail', 'schema_validation_error'),
+ (9, true, false, 'schema_validation_error', 'schema_validation_error', 'missing_required_field', NULL, 'fail', 'schema_validation_error'), (10, true, false, 'schema_validation_error', 'schema_validation_error', 'empty_string_field', NULL, 'fail', 'schema_validation_error'),
+ (11, true, false, 'schema_validation_error', 'schema_validation_error', 'empty_source_item_ids', NULL, 'fail', 'schema_validation_error'), (12, true, false, 'schema_validation_error', 'schema_validation_error', 'too_many_source_item_ids', NULL, 'fail', 'schema_validation_error'),
+ (13, true, false, 'schema_validation_error', 'schema_validation_error', 'invalid_type', NULL, 'fail', 'schema_validation_error'), (14, true, true, NULL, 'json_parse_error', NULL, 'array_wrap', 'fallback', 'json_parse_error'),
+ (15, true, false, 'schema_validation_error', 'json_parse_error', 'invalid_type', NULL, 'fail', 'schema_validation_error'))
+SELECT doc_id, attempted, succeeded, failure_reason, raw_class, bucket, coercion, result, error_class, CASE WHEN succeeded OR NOT attempted THEN 1 END AS n_stories,
+ CASE WHEN succeeded OR NOT attempted THEN sha256('T ' || string_split(coalesce(text, ''), chr(10))[1] || 'S ' || coalesce(text, '') || doc_id) END AS told FROM documents JOIN k ON k = doc_id % 16""")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as they were read, and how."""
+    rows = answers.parsed_answers(_answers(spark, sf_dir))
+    s, seen = F.col("stories")[0], answers.observed(F.col("repair"))
+    told = F.sha2(F.concat(s["title"], s["summary"], s["claim_evidence_map"]["0"][0]), 256)
+    return rows.select("doc_id", "repair.*", seen["result"].alias("result"), seen["error_class"].alias("error_class"), F.when(F.col("stories").isNotNull(), F.size("stories").cast("long")).alias("n_stories"), told.alias("told"))
