@@ -54,17 +54,22 @@ def mentioned_geo(text: Column, geos: Sequence[str], words: Column | None = None
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def geo_ladder(own: Column, text: Column, geos: Sequence[str], words: Column | None = None) -> tuple[Column, Column]:
-    """(score, category) of an item's geographies and text against the configured ones."""
+def geo_ladder(own: Column, geos: Sequence[str], placed: Column, people: Column) -> tuple[Column, Column]:
+    """(score, category) of an item's geographies against the configured ones; placed, people: does its text name one, or its people?"""
     if not geos:
         return F.lit(0.0), F.lit("no_configured_geo")
     overlap = F.arrays_overlap(own, F.array(*map(F.lit, geos)))
-    people = mentions(text, [w for geo in geos for w in fixed.DEMONYMS.get(geo.strip().lower(), ())], words)
     category = F.when(F.coalesce(F.size(own), F.lit(0)) <= 0, "implicit_geo").when(overlap, "explicit_match").otherwise("explicit_conflict")
-    score = F.when(category == "explicit_match", 1.0).when(mentioned_geo(text, geos, words).isNotNull(), 0.9).when(people, 0.7)
+    score = F.when(category == "explicit_match", 1.0).when(placed, 0.9).when(people, 0.7)
     return score.when(category == "explicit_conflict", 0.0).otherwise(0.5), category
 
 
+def text_ladder(own: Column, text: Column, geos: Sequence[str]) -> tuple[Column, Column]:
+    """``geo_ladder`` of a text by patterns, for few geographies."""
+    people = mentions(text, [w for geo in geos for w in fixed.DEMONYMS.get(geo.strip().lower(), ())])
+    return geo_ladder(own, geos, mentioned_geo(text, geos).isNotNull(), people)
+
+
 def beat_fit(topic: Column, keyword: Column, geo: Column, commodity: Column, minutes: Column, semantic: Column | None = None) -> Column:
     """The precision score from three yes/no signals, a framing flag, the age and, if given, a semantic score."""
     w = fixed.BEAT_FIT

@@ -80,12 +80,15 @@ def dedupe_items(items: DataFrame) -> DataFrame:
     split = anchored_windows(timed, ["merge_kind", "merge_key"], "minutes_ago", "source_id")
     alone = F.when(F.col("anchor").isNull(), F.col("seq"))
     grouped = split.withColumn("_alone", alone).unionByName(keyed.filter("merge_kind in ('headline', 'alone')").withColumn("anchor", F.lit(None).cast("double")).withColumn("_alone", F.lit(None).cast("long")))
-    evidence = richness(F.col("body"), F.col("headline"), F.col("byline") if "byline" in items.columns else None)
+    evidence = F.col("evidence") if "evidence" in items.columns else richness(F.col("body"), F.col("headline"), F.col("byline") if "byline" in items.columns else None)
     age = F.coalesce(finite(F.col("minutes_ago")), F.lit(float("inf")))
-    group = Window.partitionBy("merge_kind", "merge_key", "anchor", "_alone")
-    live = F.col("merge_kind") == "live"
-    order = group.orderBy(F.when(live, age).asc(), evidence.desc(), age.asc(), F.coalesce(finite(F.col("weight")), F.lit(0.0)).desc(), F.coalesce("feed_id", F.lit("")), "source_id")
-    ranked = grouped.withColumn("_rank", F.row_number().over(order))
-    loser = F.when(F.col("_rank") > 1, F.struct("source_id", "feed_id", "outlet", (F.col("url") if "url" in items.columns else F.lit(None).cast("string")).alias("url"), "weight"))
-    summed = {"first_seq": F.min("seq").over(group), "n_duplicates": F.count("*").over(group) - 1, "duplicates": F.array_sort(F.collect_list(loser).over(group))}
-    return ranked.withColumns(summed).filter("_rank = 1").select(*items.columns, "merge_kind", *summed)
+    weight = F.coalesce(finite(F.col("weight")), F.lit(0.0))
+    place = F.struct(F.when(F.col("merge_kind") == "live", age).alias("live"), (-evidence).alias("e"), age.alias("age"), (-weight).alias("w"), F.coalesce("feed_id", F.lit("")).alias("feed"), "source_id", "seq")
+    loser = F.struct("source_id", "feed_id", "outlet", (F.col("url") if "url" in items.columns else F.lit(None).cast("string")).alias("url"), "weight")
+    # every group becomes one row, so that the losers of a large one are held once
+    groups = grouped.groupBy("merge_kind", "merge_key", "anchor", "_alone").agg(
+        F.min("seq").alias("first_seq"), (F.count("*") - 1).alias("n_duplicates"), F.min_by(F.struct(*items.columns), place).alias("_winner"),
+        F.min(place).alias("_place"), F.collect_list(F.struct(place.alias("p"), loser.alias("l"))).alias("_all"),
+    )
+    losers = F.array_sort(F.transform(F.filter("_all", lambda x: x["p"] != F.col("_place")), lambda x: x["l"]))
+    return groups.select("_winner.*", "merge_kind", "first_seq", "n_duplicates", losers.alias("duplicates"))

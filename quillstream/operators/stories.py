@@ -75,25 +75,46 @@ def lineage_candidates(new: DataFrame, prior: DataFrame, least: float = LINEAGE_
     return similar_sets(*sides, ["topic"], least).selectExpr("a story", "b prior", "jaccard")
 
 
-def claim_lineage(candidates: DataFrame, most_rounds: int = 1000) -> DataFrame:
+#: Candidate rows of which the order of claims is followed on the driver; more go in rounds.
+TAIL_ROWS = 50_000
+
+
+def _claimed_in_order(rows: list) -> list[tuple]:
+    """(story, prior) of the stories, in order of id, whose candidates no earlier one took leave exactly one."""
+    of: dict = {}
+    for r in rows:
+        of.setdefault(r["story"], set()).add(r["prior"])
+    taken: set = set()
+    out = []
+    for story in sorted(of):
+        free = of[story] - taken
+        if len(free) == 1:
+            taken |= free
+            out.append((story, next(iter(free))))
+    return out
+
+
+def claim_lineage(candidates: DataFrame) -> DataFrame:
     """(story, prior): stories in order of id take their only prior that no earlier story took.
 
     In each round all stories are settled whose candidates no earlier unsettled
-    story shares; the longest chain of such stories gives the number of rounds.
-    Each round is written to the checkpoint folder.
+    story shares. Every round settles one story of each connected part at least, so
+    the longest chain gives the number of rounds; once few rows are left, their
+    chains are followed on the driver (TAIL_ROWS rows, ids only). Each round is
+    written to the checkpoint folder.
     """
     open_ = candidates.select("story", "prior").distinct().checkpoint()
     claims = open_.limit(0)
-    for _ in range(most_rounds):
-        if open_.isEmpty():
-            return claims
+    while (left := open_.limit(TAIL_ROWS + 1).count()) > 0:
+        if left <= TAIL_ROWS:
+            return claims.unionAll(candidates.sparkSession.createDataFrame(_claimed_in_order(open_.collect()), open_.schema))
         first = open_.groupBy("prior").agg(F.min("story").alias("_first"))
         turn = open_.join(first, "prior").groupBy("story").agg(F.bool_and(F.col("_first") == F.col("story")).alias("_ready"), F.count("*").alias("_n"), F.min("prior").alias("prior"))
         turn = turn.filter("_ready").checkpoint()
         taken = turn.filter("_n = 1").select("story", "prior")
         claims = claims.unionAll(taken)
         open_ = open_.join(turn, "story", "left_anti").join(taken, "prior", "left_anti").select("story", "prior").checkpoint()
-    raise RuntimeError("claims did not settle")
+    return claims
 
 
 def structural_diff(current: DataFrame, prior: DataFrame, key: list[str], value: str) -> DataFrame:

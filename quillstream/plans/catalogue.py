@@ -198,7 +198,7 @@ def _geo_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_GEO} SELECT source_id, geo_fit FROM geo")
 def geo_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score, _ = scoring.geo_ladder(F.col("geographies"), F.col("text"), SETTINGS.geographies)
+    score, _ = scoring.text_ladder(F.col("geographies"), F.col("text"), SETTINGS.geographies)
     return _geo_items(spark, sf_dir).select("source_id", score.alias("geo_fit"))
 
 
@@ -451,7 +451,19 @@ def mock_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(whole, ",").alias("vector"))
 
 
-@query()
+_JUDGED = _SCORED.replace(" FROM geo)),", " FROM geo WHERE minutes_ago <= 1440 AND (t OR k OR g))),")
+_NONE = "(tf = 0 AND kf = 0 AND geo_fit < 0.7)"
+
+
+@query(f"""{_JUDGED}, j AS (SELECT *, fit >= 0.2 OR (fit >= 0.15 AND NOT {_word_sql(fixed.COMMODITY_TERMS)} AND NOT {_NONE} AND tf > 0 AND kf > 0 AND geo_fit >= 0.7) AS ok,
+ 3 * tf + 3 * kf + geo_fit + 1.5 * dens + fit + 0.25 / (1 + minutes_ago / 720) + CASE WHEN {_word_sql(tuple(_ELECTION))} THEN CASE WHEN geo_fit >= 0.7 THEN 1.5 ELSE -0.75 END ELSE 0 END AS score FROM y),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN {HEAD} = '' THEN 'alone ' || source_id ELSE 'head ' || {HEAD} END
+  ORDER BY 2 * list_sum(list_transform(body, lambda x: length(x))) + length(headline) DESC, minutes_ago, weight DESC, feed_id, source_id) AS place FROM j WHERE ok) WHERE place = 1),
+s AS (SELECT * FROM u WHERE kind = 'social' ORDER BY score DESC, dens DESC, fit DESC, minutes_ago, source_id LIMIT 3),
+r AS (SELECT * FROM u WHERE seq NOT IN (SELECT seq FROM s) ORDER BY score DESC, dens DESC, fit DESC, minutes_ago, source_id LIMIT 15 - (SELECT count(*) FROM s)),
+top AS (SELECT * FROM s UNION ALL SELECT * FROM r)
+SELECT 0 AS place, 'window' AS stage, count(*) AS n FROM items WHERE minutes_ago <= 1440 UNION ALL SELECT 1, 'recall', count(*) FROM y UNION ALL SELECT 2, 'gate', count(*) FROM j WHERE ok UNION ALL SELECT 3, 'unique', count(*) FROM u
+UNION ALL SELECT 4, 'top', count(*) FROM top UNION ALL SELECT 5, 'clusters', least(5, count(DISTINCT outlet)) FROM top""")
 def refresh_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that each stage of a refresh leaves."""
     return profile.funnel(_geo_items(spark, sf_dir), SETTINGS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, scoring, text
 from ..operators import changes, clusters, metrics, ranking, selection, stories
 from . import profile
-from .catalogue import ITEMS, QUERIES, SETTINGS, SQL, _GEO, _geo_items, doc_items, events, query, rounded, table
+from .catalogue import _SCORED, _word_sql, ITEMS, QUERIES, SETTINGS, SQL, _GEO, _geo_items, doc_items, events, query, rounded, table
 
 
 __all__ = ["QUERIES", "SQL"]  # of this module and of the catalogue
@@ -221,18 +221,26 @@ def settings_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_GEO} SELECT source_id FROM geo WHERE lang NOT IN ('fr', 'es') OR geo_fit >= 0.9")
 def geo_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose own geographies do not conflict with the configured ones, or whose text names one."""
-    score, category = scoring.geo_ladder(F.col("geographies"), F.col("text"), SETTINGS.geographies)
+    score, category = scoring.text_ladder(F.col("geographies"), F.col("text"), SETTINGS.geographies)
     return _geo_items(spark, sf_dir).filter((category != "explicit_conflict") | (score >= fixed.GEO_CONFLICT)).select("source_id")
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS story, l_suppkey AS src, l_orderkey % 7 AS topic FROM lineitem WHERE l_orderkey % 2 = 0), p AS (SELECT DISTINCT l_orderkey AS prior, l_suppkey AS src, l_orderkey % 7 AS topic FROM lineitem WHERE l_orderkey % 2 = 1),
+ns AS (SELECT story, count(*) AS n FROM n GROUP BY 1), ps AS (SELECT prior, count(*) AS m FROM p GROUP BY 1), c AS (SELECT story, prior, count(*) AS c FROM n JOIN p USING (topic, src) GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT story, list(prior) AS priors, row_number() OVER (ORDER BY story) AS i FROM c JOIN ns USING (story) JOIN ps USING (prior) WHERE c / (n + m - c) >= 0.5 GROUP BY story),
+turn AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS story, NULL::BIGINT AS prior
+ UNION ALL SELECT k.i, CASE WHEN len(list_filter(priors, lambda x: NOT list_contains(taken, x))) = 1 THEN list_concat(taken, list_filter(priors, lambda x: NOT list_contains(taken, x))) ELSE taken END, k.story,
+  CASE WHEN len(list_filter(priors, lambda x: NOT list_contains(taken, x))) = 1 THEN list_filter(priors, lambda x: NOT list_contains(taken, x))[1] END FROM turn JOIN k ON k.i = turn.i + 1)
+SELECT story, prior FROM turn WHERE prior IS NOT NULL""")
 def lineage_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which prior story each new one goes on with."""
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey story", "l_orderkey % 7 topic", "l_suppkey source_id")
     return stories.claim_lineage(stories.lineage_candidates(rows.filter("story % 2 = 0"), rows.filter("story % 2 = 1")))
 
 
-@query()
+@query(f"""{_SCORED}, z AS (SELECT *, {_word_sql(fixed.COMMODITY_TERMS)} AS goods, tf = 0 AND kf = 0 AND geo_fit < 0.7 AS nothing FROM y),
+v AS (SELECT *, fit >= 0.35 AND fit < 0.45 AND NOT goods AND NOT nothing AND tf > 0 AND kf > 0 AND geo_fit >= 0.7 AS saved FROM z)
+SELECT CASE WHEN fit >= 0.45 OR saved THEN NULL WHEN goods THEN 'commodity' WHEN nothing THEN 'no_signal' ELSE 'low_score' END AS exclude_reason, CASE WHEN saved THEN 'rescue_borderline_multisignal' END AS rescued_by, count(*) AS n FROM v GROUP BY ALL""")
 def precision_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the gate with its rescues."""
     return profile.included(profile.scored(_geo_items(spark, sf_dir), SETTINGS), threshold=0.45).groupBy("exclude_reason", "rescued_by").agg(F.count("*").alias("n"))

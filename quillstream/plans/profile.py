@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.phrases import named_phrases
 from ..functions.scoring import beat_fit, density, fraction_mentioned, freshness, geo_ladder, mentioned_geo, relevance, rescue, semantic_rescue
-from ..functions.text import all_forms, english_forms, family_key, mentions, words_of
-from ..operators.dedupe import dedupe_items
+from ..functions.text import all_forms, english_forms, family_key, mentions
+from ..operators.dedupe import dedupe_items, richness
 from ..operators.ranking import quota_top
 from ..operators.stories import topic_clusters
+from ..streaming.feeds import written
 
 
 @dataclass(frozen=True)
@@ -48,16 +51,53 @@ def recalled(text: Column, settings: Settings) -> Column:
     return named | mentioned_geo(text, settings.geographies).isNotNull() if synonyms else named
 
 
-def scored(items: DataFrame, settings: Settings) -> DataFrame:
-    """Items (with ``text``) and their family, fits and pre-cluster score."""
-    text, words = F.col("text"), F.col("_words")
+def _phrases(settings: Settings) -> dict[str, list[str]]:
+    """All that texts are looked through for, lower-cased: forms of each topic and keyword, names of each geography, people, framing, theme."""
+
+    def low(terms) -> list[str]:
+        return list(dict.fromkeys(t.strip().lower() for t in terms if t and t.strip()))
+
+    out = {f"topic {t}": low(all_forms(t)) for t in settings.topics if t.strip()} | {f"keyword {k}": low(all_forms(k)) for k in settings.keywords if k.strip()}
+    out |= {f"english {k}": low(english_forms(k)) for k in settings.keywords if k.strip()}
+    for g in settings.geographies:
+        inside = [p for p, country in fixed.GEO_ALIASES.items() if country.lower() in {g.lower(), *(s.lower() for s in fixed.GEO_SYNONYMS.get(g, ()))}]
+        # other spellings may go on: some end in a mark
+        out[f"geo {g}"] = low([g, *inside, *(f"{s}*" for s in fixed.GEO_SYNONYMS.get(g, ()))])
+    out["people"] = low(w for g in settings.geographies for w in fixed.DEMONYMS.get(g.strip().lower(), ()))
+    out["commodity"] = low(fixed.COMMODITY_TERMS)
+    out["election"] = low(w for c in fixed.ELECTION_CONCEPTS for forms in fixed.LEXICON[c] for w in forms)
+    return out
+
+
+def with_signals(items: DataFrame, settings: Settings) -> DataFrame:
+    """Items (with ``text``) and what their texts say by themselves: recalled, family, fits, framing, theme.
+
+    One automaton looks each text through for all phrases at once.
+    """
+    phrases = _phrases(settings)
+    named = F.coalesce(named_phrases(items.sparkSession, F.col("text"), [p for own in phrases.values() for p in own]), F.array().cast("array<string>"))
+
+    def has(*kinds: str) -> Column:
+        own = [p for k in kinds for p in phrases[k]]
+        return F.arrays_overlap("_named", F.array(*map(F.lit, own))) if own else F.lit(False)
+
+    def share(kind: str) -> Column:
+        own = [k for k in phrases if k.startswith(f"{kind} ")]
+        return sum((has(k).cast("double") for k in own), F.lit(0.0)) / len(own) if own else F.lit(0.0)
+
     own = F.col("geographies") if "geographies" in items.columns else F.array().cast("array<string>")
-    geo, category = geo_ladder(own, text, settings.geographies, words)
-    elections = [w for c in fixed.ELECTION_CONCEPTS for forms in fixed.LEXICON[c] for w in forms]
-    rows = items.withColumn("_words", words_of(text)).select(
-        "*", family_key(F.col("headline")).alias("family"), fraction_mentioned(text, settings.topics, words).alias("topic_fit"), fraction_mentioned(text, settings.keywords, words).alias("keyword_fit"),
-        geo.alias("geo_fit"), category.alias("geo_category"), mentions(text, fixed.COMMODITY_TERMS, words).alias("commodity"), mentions(text, elections, words).alias("election"),
-    ).drop("_words")
+    geos = [k for k in phrases if k.startswith("geo ")]
+    placed = has(*geos)
+    geo, category = geo_ladder(own, settings.geographies, placed, has("people"))
+    wanted = has(*(k for k in phrases if k.startswith(("topic ", "english ", "geo ")))) if settings != Settings() else F.lit(True)
+    return items.withColumn("_named", named).select(
+        "*", wanted.alias("recalled"), family_key(F.col("headline")).alias("family"), share("topic").alias("topic_fit"), share("keyword").alias("keyword_fit"),
+        geo.alias("geo_fit"), category.alias("geo_category"), has("commodity").alias("commodity"), has("election").alias("election"),
+    ).drop("_named")
+
+
+def with_scores(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of ``with_signals`` and their family's size among them, precision score and pre-cluster score."""
     sizes = rows.filter("family != ''").groupBy("family").agg(F.count("*").alias("family_size"))
     rows = rows.join(sizes, "family", "left").withColumn("family_size", F.coalesce("family_size", F.lit(1)))
     fit = beat_fit(F.col("topic_fit") > 0, F.col("keyword_fit") > 0, F.col("geo_fit") >= fixed.ELECTION_GEO, F.col("commodity"), F.col("minutes_ago"))
@@ -67,6 +107,11 @@ def scored(items: DataFrame, settings: Settings) -> DataFrame:
     return rows.withColumn("score", score)
 
 
+def scored(items: DataFrame, settings: Settings) -> DataFrame:
+    """Items (with ``text``) and their family, fits and pre-cluster score."""
+    return with_scores(with_signals(items, settings), settings)
+
+
 def rank_order() -> list[Column]:
     return [F.col("score").desc(), F.col("corroboration").desc(), F.col("beat_fit").desc(), F.col("minutes_ago").asc(), F.col("source_id").asc()]
 
@@ -87,26 +132,24 @@ def included(rows: DataFrame, threshold: float = fixed.BEAT_THRESHOLD, semantic:
 
 
 def refresh(items: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """The stages of one refresh, each a DataFrame: window, recall, gate, dedupe, quota, clusters."""
-    window = recent(items)
-    recall = window.filter(recalled(F.col("text"), settings))
-    gated = included(scored(recall, settings))
-    unique = dedupe_items(gated.filter("exclude_reason is null"))
+    """The stages of one refresh, each a DataFrame: window, recall, gate (all that was recalled, judged), unique, top, clusters.
+
+    Texts are read once: what they say is written in narrow rows (without text and
+    body), and so are the verdicts and the winners of the dedupe, so that no stage
+    works out an earlier one again.
+    """
+    age = (F.col("minutes_ago") <= fixed.TRAILING_MINUTES) & ~F.isnan("minutes_ago")
+    flagged = items.withColumn("evidence", richness(F.col("body"), F.col("headline"), F.col("byline") if "byline" in items.columns else None))
+    window = written(with_signals(flagged.filter(age), settings).drop("text", "body"), "signals")
+    recall = window.filter("recalled")
+    gated = written(included(with_scores(recall, settings)), "verdicts")
+    unique = written(dedupe_items(gated.filter("exclude_reason is null")), "unique")
     top = quota_top(unique, rank_order())
-    return {"window": window, "recall": recall, "gate": gated, "unique": unique, "top": top, "clusters": topic_clusters(top, "outlet")}
+    return {"window": window, "recall": recall, "gate": gated.filter("exclude_reason is null"), "unique": unique, "top": top, "clusters": topic_clusters(top, "outlet")}
 
 
 def funnel(items: DataFrame, settings: Settings) -> DataFrame:
-    """(place, stage, n) of one refresh: the first three stages are flags of one pass, the others follow from what passed it."""
-    wanted = recalled(F.col("text"), settings)
-    gated = included(scored(recent(items).filter(wanted), settings)).filter("exclude_reason is null")
-    unique = dedupe_items(gated)
-    top = quota_top(unique, rank_order())
-    age = (F.col("minutes_ago") <= fixed.TRAILING_MINUTES) & ~F.isnan("minutes_ago")
-    ahead = items.agg(F.count_if(age).alias("window"), F.count_if(age & wanted).alias("recall"))
-    passed = unique.agg((F.count("*") + F.coalesce(F.sum("n_duplicates"), F.lit(0))).alias("gate"), F.count("*").alias("unique"))
-    last = top.agg(F.count("*").alias("top"), F.least(F.countDistinct("outlet"), F.lit(fixed.STORY_CAP)).cast("long").alias("clusters"))
-    places = {name: i for i, name in enumerate(("window", "recall", "gate", "unique", "top", "clusters"))}
-    rows = [x.unpivot([], x.columns, "stage", "n") for x in (ahead, passed, last)]
-    place = F.create_map(*(F.lit(v) for pair in places.items() for v in pair))
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select(place[F.col("stage")].cast("long").alias("place"), "stage", "n")
+    """(place, stage, n): how many rows each stage of one refresh leaves."""
+    stages = refresh(items, settings)
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(i).cast("long").alias("place"), F.lit(name).alias("stage"), "n") for i, (name, df) in enumerate(stages.items())]
+    return reduce(DataFrame.unionByName, rows)

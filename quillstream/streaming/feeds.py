@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet in a new shared folder, reread: later steps neither work them out again nor carry their expressions."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def first_sightings(stream: DataFrame, key: list[str], at: str, late: str) -> DataFrame:
     """Each key once within ``late``; the state of older keys goes with the watermark."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)

@@ -40,7 +40,9 @@ def test_items_without_a_headline_merge_by_source(spark):
     assert {r["source_id"]: r["n_duplicates"] for r in dedupe.dedupe_items(rows).collect()} == {"s0": 0, "s1": 1}
 
 
-def test_claims_are_taken_in_order(spark):
+@pytest.mark.parametrize("tail", [0, 50_000])
+def test_claims_are_taken_in_order(spark, monkeypatch, tail):
+    monkeypatch.setattr(stories, "TAIL_ROWS", tail)  # in rounds, and on the driver
     rng = random.Random(1)
     pairs = sorted({(rng.randrange(40), 100 + rng.randrange(30)) for _ in range(60)})
     taken, want = set(), []
@@ -53,6 +55,13 @@ def test_claims_are_taken_in_order(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_a_chain_of_claims_longer_than_any_number_of_rounds(spark):
+    """Story k may go on with prior k or k + 1: the first takes none, as both are free, and so does every other."""
+    pairs = [(k, p) for k in range(3000) for p in (k, k + 1)] + [(-1, 0)]
+    got = stories.claim_lineage(spark.createDataFrame(pairs, "story long, prior long"))
+    assert sorted(map(tuple, got.collect())) == [(k, k + 1) for k in range(-1, 3000)]
+
+
 def test_similar_sets_against_all_pairs(spark):
     rng = random.Random(2)
     sets = {i: {rng.randrange(12) for _ in range(rng.randrange(1, 7))} for i in range(60)}
