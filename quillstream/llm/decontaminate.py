@@ -9,6 +9,8 @@ tests enumerate all). The hashes of the test items under the masks are broadcast
 in blocks of a checked size, and joined with those of the training texts; around
 each hit every window that holds it is counted, substitutions included.
 
+Items of fewer than ``least_words`` words are not looked for.
+
 Of an item's windows in a document the one with the most equal words is given,
 the earliest of several. Nulls and texts without a word match nothing. Repeated
 rows give repeated results; an empty table on either side gives an empty result.
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORD_MULT, by_bytes, mix, text_views
+from .common import _WORD_MULT, by_bytes, discard, give_back, materialise, mix, text_views
 from .substring_dedup import letter_words
 
 #: Characters of test items broadcast together.
 BLOCK_CHARS = 4_000_000
-
+#: Items of fewer words are not looked for: they say what other texts say too.
+LEAST_WORDS = 8
 
 #: Hits verified together.
 BLOCK_HITS = 1 << 14
@@ -121,22 +124,27 @@ class Seeds:
             best[i] = min(best.get(i, found), found)
 
 
-def _blocks(items: DataFrame, window: int, percent: int) -> Iterator:
-    """Broadcasts of the Seeds of the items (item_id, text), in blocks of BLOCK_CHARS characters."""
+def _block_count(items: DataFrame) -> int:
+    chars = items.filter("text is not null").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return max(1, -(-chars // BLOCK_CHARS))
+
+
+def _blocks(items: DataFrame, blocks: int, window: int, percent: int, least_words: int) -> Iterator:
+    """Broadcasts of the Seeds of the items (item_id, text) of ``least_words`` words or more, in so many blocks."""
     spark = items.sparkSession
     items = items.selectExpr("cast(item_id as long) item_id", "text").filter("text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // BLOCK_CHARS))
     for block in range(blocks):
         rows = items.filter(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {block}")).collect()
-        yield spark.sparkContext.broadcast(Seeds([(r["item_id"], r["text"]) for r in rows], window, percent))
+        own = [(r["item_id"], r["text"]) for r in rows if len(letter_words(np.frombuffer(r["text"].encode(), np.uint8))[0]) >= least_words]
+        yield spark.sparkContext.broadcast(Seeds(own, window, percent))
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
     """Per document and test item found in it: doc_id, item_id, word (in the text), item_word, n_words, n_equal.
 
     docs: doc_id, text; items: item_id, text. The items go to the executors in
-    blocks of BLOCK_CHARS characters; every block costs a pass over the documents.
+    blocks of BLOCK_CHARS characters; every block costs a pass over the documents,
+    and of several one is held at a time.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     names = ["doc_id", "item_id", "word", "item_word", "n_words", "n_equal"]
@@ -151,19 +159,31 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80
 
         return docs.mapInArrow(search, ", ".join(f"{n} long" for n in names))
 
-    return reduce(DataFrame.union, map(found, _blocks(items, window, percent)))
+    blocks, out = _block_count(items), []
+    for seeds in _blocks(items, blocks, window, percent, least_words):
+        out.append(found(seeds))
+        if blocks > 1:
+            out[-1] = materialise(out[-1], "leaks")
+            seeds.unpersist()
+    return reduce(DataFrame.union, out)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose text holds no test item: one filter a block of items, without a shuffle."""
+def without_leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item: one filter a block of items, without a shuffle; beyond one block, what passes is written."""
 
     def clean(seeds):
         def test(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for column in texts:
                 yield pa.array([not seeds.value.leaks(letter_words(view)[0]) for view in text_views(column)], pa.bool_())
+                give_back()
 
         return F.arrow_udf(test, "boolean")
 
-    for seeds in _blocks(items, window, percent):
-        docs = docs.filter(clean(seeds)("text"))
+    blocks = _block_count(items)
+    for seeds in _blocks(items, blocks, window, percent, least_words):
+        before, docs = docs, docs.filter(clean(seeds)("text"))
+        if blocks > 1:
+            docs = materialise(docs, "clean")
+            discard(before)
+            seeds.unpersist()
     return docs

@@ -93,3 +93,18 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], docs.schema)
     assert leaks(none, items).count() == without_leaks(none, items).count() == 0
     assert leaks(docs, items.limit(0)).count() == 0 and without_leaks(docs, items.limit(0)).count() == len(texts)
+
+
+def test_short_items_and_many_blocks(spark, monkeypatch):
+    """Items of few words are no leak; many blocks of items, one after another, give what one gives."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"v{rng.randrange(30)}" for _ in range(rng.randrange(1, 40)))) for i in range(40)] + [(99, "yes"), (98, "the answer")]
+    docs = [(i, " ".join(f"v{rng.randrange(30)}" for _ in range(40)) + " yes the answer " + rng.choice(items)[1]) for i in range(60)]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = _brute(docs, [x for x in items if len(x[1].split()) >= 8])
+    one = {tuple(r) for r in leaks(d, t).collect()}
+    kept = {r["doc_id"] for r in without_leaks(d, t).collect()}
+    assert one == want and kept == {i for i, _ in docs} - {i for i, *_ in want} and 0 < len(kept) < 60
+    monkeypatch.setattr("quillstream.llm.decontaminate.BLOCK_CHARS", 900)
+    assert {tuple(r) for r in leaks(d, t).collect()} == want
+    assert {r["doc_id"] for r in without_leaks(d, t).collect()} == kept
