@@ -29,7 +29,9 @@ def changed_prose(c: Column) -> Column:
     """struct(ok, prose, reason): without a leading "update:" or "latest:", cut to two sentences; what is too long then is refused."""
     raw = trimmed(F.coalesce(c, F.lit("")))
     text = trimmed(F.regexp_replace(raw, r"(?i)^(?:update|latest)\s*:\s*", ""))
-    kept = trimmed(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]+(?:\s+|$)"), F.lit(0)), 1, fixed.PROSE_SENTENCES), ""))
+    # a sentence begins where a run does, or where the last one ended: no run is tried from each of its characters
+    sentences = F.regexp_extract_all(text, F.lit(r"(?:(?<![^.!?])|\G)[^.!?]++[.!?]++(?:\s+|$)"), F.lit(0))
+    kept = trimmed(F.array_join(F.slice(sentences, 1, fixed.PROSE_SENTENCES), ""))
     prose = F.when(kept != "", kept).otherwise(text)
     reason = F.when(raw == "", "empty_prose").when(text == "", "empty_after_prefix_strip").when(F.length(prose) > fixed.PROSE_CHARS, "length_overflow")
     return F.struct(reason.isNull().alias("ok"), F.when(reason.isNull(), prose).otherwise("").alias("prose"), reason.alias("reason"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..operators import snapshots
+from ..sources import items as src
 from ..sources import social
 from ..streaming import feeds, runs
 from ..streaming.feeds import shared_folder
@@ -160,3 +161,51 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, seen = F.col("stories")[0], answers.observed(F.col("repair"))
     told = F.sha2(F.concat(s["title"], s["summary"], s["claim_evidence_map"]["0"][0]), 256)
     return rows.select("doc_id", "repair.*", seen["result"].alias("result"), seen["error_class"].alias("error_class"), F.when(F.col("stories").isNotNull(), F.size("stories").cast("long")).alias("n_stories"), told.alias("told"))
+
+
+def _landed_feeds(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Documents as entries of feeds, landed as XML, and the feeds' manifest, landed as JSON."""
+    docs = table(spark, sf_dir, "documents")
+    clean = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), clean(c), F.lit(f"</{name}>")), F.lit(""))
+    doc = F.col("doc_id").cast("string")
+    date = F.date_format(F.lit("2024-01-31 00:00:00").cast("timestamp") - F.make_dt_interval(mins=(F.col("doc_id") * 7 % 3000).cast("int")), "EEE, dd MMM yyyy HH:mm:ss Z")
+    item = F.concat(
+        F.lit("<item>"), tag("title", F.when(F.col("doc_id") % 10 > 0, F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))), tag("link", F.concat(F.lit("http://h/"), doc)), tag("guid", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("g"), doc))),
+        tag("pubDate", F.when(F.col("doc_id") % 4 > 0, date)), tag("description", F.concat(F.lit("<b>"), "lang", F.lit("</b> &amp; "), doc)), F.lit("</item>"),
+    )
+    path, manifest = shared_folder(spark, "feeds"), shared_folder(spark, "manifest")
+    # a file of its own for every 500 entries or so of a feed: each is one XML document
+    files = docs.withColumn("item", item).groupBy(F.col("source").alias("feed_id"), F.expr("doc_id div 10000").alias("page")).agg(F.array_join(F.collect_list("item"), "").alias("items"))
+    files.select("feed_id", "page", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value")).write.partitionBy("feed_id", "page").text(path)
+    n = F.substring("source", 4, 9).cast("int")
+    feeds = docs.select("source").distinct().select(
+        F.col("source").alias("id"), F.upper("source").alias("name"), F.when(n % 7 == 3, "video").otherwise("rss").alias("kind"), F.when(n % 9 == 4, "ftp://x").otherwise("https://x").alias("url"),
+        F.when(n % 2 == 0, F.concat(F.lit("Pub "), "source")).alias("publisher"), F.when(n % 5 > 0, n).alias("weight"), (n % 8 != 5).alias("active"),
+    )
+    feeds.agg(F.to_json(F.struct(F.collect_list(F.struct(*feeds.columns)).alias("feeds"))).alias("value")).write.text(manifest)  # one file of a few hundred feeds
+    return path, src.read_manifest(spark, manifest)
+
+
+_FEEDS = r"""e AS (SELECT doc_id, source AS feed_id, CAST(substr(source, 4) AS INT) AS n, lang, CASE WHEN doc_id % 3 > 0 THEN 'g' || doc_id ELSE 'http://h/' || doc_id END AS ident,
+ CASE WHEN doc_id % 10 = 0 OR trim(replace(coalesce(text, ''), chr(10), ' ')) = '' THEN '(untitled)' ELSE trim(replace(text, chr(10), ' ')) END AS headline, CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id * 7 % 3000 AS DOUBLE) ELSE 0.0 END AS age FROM documents),
+i AS (SELECT substr(sha256(feed_id || '::' || ident), 1, 16) AS source_id, feed_id, CASE WHEN n % 2 = 0 THEN 'Pub ' || feed_id ELSE upper(feed_id) END AS outlet, CAST(CASE WHEN n % 5 > 0 THEN n ELSE 50 END AS DOUBLE) AS weight, age AS minutes_ago, headline,
+ lang || ' & ' || doc_id AS body, 'http://h/' || doc_id AS url FROM e WHERE n % 7 <> 3 AND n % 9 <> 4 AND n % 8 <> 5)"""
+
+
+@query(f"WITH {_FEEDS} SELECT source_id, feed_id, outlet, weight, minutes_ago, headline, body, url FROM i")
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of landed feeds that may be read, as items; none of them lacks a required field."""
+    items = src.landed_items(spark, *_landed_feeds(spark, sf_dir), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    return src.checked(items).filter("error is null").select("source_id", "feed_id", "outlet", "weight", "minutes_ago", "headline", F.col("body")[0].alias("body"), "url")
+
+
+@query(f"WITH {_FEEDS} SELECT source_id, feed_id, upper(feed_id) AS outlet, 'traditional' AS kind, weight, 30.0::DOUBLE AS minutes_ago, headline FROM i WHERE minutes_ago <= 1440 AND feed_id IN ('src0', 'src2', 'src16')")
+def cached_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen feeds' recent items by way of the cache, half an hour later."""
+    path, manifest = _landed_feeds(spark, sf_dir)
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, ("src0", "src2", "src16", "src3")))).alias("id"))
+    items = src.landed_items(spark, path, manifest, now, wanted).filter("minutes_ago <= 1440").withColumn("seq", F.monotonically_increasing_id())
+    rows = src.cache_rows(items, now)
+    return src.cached_items(rows, manifest, now + F.expr("interval 30 minutes")).select("source_id", "feed_id", "outlet", "kind", "weight", "minutes_ago", "headline")

@@ -60,7 +60,7 @@ def axis_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(array: str) -> str:
-    return f"""CASE WHEN o_orderkey % 17 > 0 THEN substr(o_orderpriority, 1, 1) END AS grp, o_orderkey % 8 > 0 AS pass, o_orderkey % 45 = 0 AS hard_fail, o_orderkey % 12 = 0 AS fallback,
+    return f"""CASE WHEN o_orderkey % 17 > 0 THEN translate(substr(o_orderpriority, 1, 1), '12345', 'ABCDE') END AS grp, o_orderkey % 8 > 0 AS pass, o_orderkey % 45 = 0 AS hard_fail, o_orderkey % 12 = 0 AS fallback,
  CASE o_orderkey % 9 WHEN 0 THEN {array}('dim:non_duplication', 'length') WHEN 1 THEN {array}('taxonomy_mismatch:a') WHEN 2 THEN {array}('x confidence_mismatch') END AS fail_reasons, CASE WHEN o_orderkey % 10 = 3 THEN {array}('label') END AS label_mismatches"""
 
 

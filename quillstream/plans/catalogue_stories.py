@@ -200,22 +200,30 @@ def mean_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", rounded(F.col("mean_rank")).alias("mean_rank"), "n")
 
 
-_RAW = ("National Security", " energy ", "Sanctions", "Trade policy", "deportation")
+_LABELS = (*fixed.TOPIC_SYNONYMS, *fixed.KEYWORD_SYNONYMS)
+_LABEL_SQL = ", ".join(f"'{x}'" for x in _LABELS)
 
 
-@query(f"""WITH l AS (SELECT n_nationkey, ['National Security', ' energy ', 'Sanctions', 'Trade policy', 'deportation'][n_nationkey % 5 + 1] AS raw FROM nation) SELECT n_nationkey, coalesce({_sql_map("lower(trim(raw))", fixed.TOPIC_SYNONYMS)}, trim(raw)) AS topic, coalesce({_sql_map("lower(trim(raw))", fixed.KEYWORD_SYNONYMS)}, trim(raw)) AS keyword FROM l""")
+@query(f"""WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type WHEN p_partkey % 3 = 1 THEN upper([{_LABEL_SQL}][p_partkey % {len(_LABELS)} + 1]) || ' ' ELSE [{_LABEL_SQL}][p_partkey % {len(_LABELS)} + 1] END AS raw FROM part)
+SELECT p_partkey, coalesce({_sql_map("lower(trim(raw))", fixed.TOPIC_SYNONYMS)}, trim(raw)) AS topic, coalesce({_sql_map("lower(trim(raw))", fixed.KEYWORD_SYNONYMS)}, trim(raw)) AS keyword FROM l""")
 def label_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.element_at(F.array(*map(F.lit, _RAW)), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", selection.label(raw, fixed.TOPIC_SYNONYMS).alias("topic"), selection.label(raw, fixed.KEYWORD_SYNONYMS).alias("keyword"))
+    """Types of parts, and all labels that have a synonym, by their standard labels."""
+    known = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("p_partkey") % len(_LABELS) + 1).cast("int"))
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), "p_type")).when(F.col("p_partkey") % 3 == 1, F.concat(F.upper(known), F.lit(" "))).otherwise(known)
+    return table(spark, sf_dir, "part").select("p_partkey", selection.label(raw, fixed.TOPIC_SYNONYMS).alias("topic"), selection.label(raw, fixed.KEYWORD_SYNONYMS).alias("keyword"))
 
 
-@query("SELECT n_nationkey, n_name || ',Old,china,New' AS added, substr(n_name, 1, 1) || lower(substr(n_name, 2)) AS own FROM nation")
+@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS own, replace(p_type, ' ', ' , ') || ', ' || upper(string_split(p_name, ' ')[1]) || ',, New ,new,' || lower(p_type) AS draft FROM part),
+n AS (SELECT *, list_filter(list_transform(string_split(draft, ','), lambda x: trim(x)), lambda x: x <> '' AND NOT list_contains(list_transform(own, lambda y: lower(y)), lower(x))) AS new FROM p)
+SELECT p_partkey, array_to_string(list_concat(own, list_filter(new, lambda x, i: list_position(list_transform(new, lambda y: lower(y)), lower(x)) = i)), ',') AS added,
+ array_to_string(list_filter(list_concat(own, CASE WHEN p_partkey % 2 = 0 THEN [' Beijing ', 'CHINA'] ELSE ['Hong Kong', 'Lima'] END), lambda x: trim(x) <> '' AND lower(trim(x)) NOT IN ('china', 'beijing', 'shanghai', 'shenzhen', 'guangzhou', 'hong kong')), ',') AS kept FROM n""")
 def settings_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.array(F.col("n_name"), F.lit("Old"))
-    kept = selection.without_geographies(F.array(F.initcap("n_name"), F.lit("Beijing"), F.lit("  ")), ["China"])
-    return table(spark, sf_dir, "nation").select(
-        "n_nationkey", F.array_join(selection.added_labels(own, F.concat(F.lit(" china,"), F.lower("n_name"), F.lit(", old,, New ,new"))), ",").alias("added"), F.array_join(kept, ",").alias("own"),
-    )
+    """The words of parts' names as a list that drafts add to, and as keywords of which those that name a place in China go."""
+    own = F.split("p_name", " ")
+    draft = F.concat(F.replace("p_type", F.lit(" "), F.lit(" , ")), F.lit(", "), F.upper(own[0]), F.lit(",, New ,new,"), F.lower("p_type"))
+    places = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit(" Beijing "), F.lit("CHINA"))).otherwise(F.array(F.lit("Hong Kong"), F.lit("Lima")))
+    kept = selection.without_geographies(F.concat(own, places), ["China"])
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(selection.added_labels(own, draft), ",").alias("added"), F.array_join(kept, ",").alias("kept"))
 
 
 @query(f"{_GEO} SELECT source_id FROM geo WHERE lang NOT IN ('fr', 'es') OR geo_fit >= 0.9")

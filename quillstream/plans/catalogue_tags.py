@@ -15,14 +15,16 @@ assert _stories is QUERIES
 __all__ = ["QUERIES", "SQL"]  # of all three modules
 
 _TAGS = """w AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9_]+') AS w FROM documents),
-s AS (SELECT doc_id, w[1:2] AS topics, w[3:4] AS keywords, w[5:6] AS geographies, CASE WHEN doc_id % 3 > 0 THEN w[7:12] ELSE [] END AS entities FROM w)"""
+s AS (SELECT doc_id, list_filter(w, lambda x, i: i % 4 = 1) AS topics, list_filter(w, lambda x, i: i % 4 = 2) AS keywords, list_filter(w, lambda x, i: i % 4 = 3) AS geographies,
+ CASE WHEN doc_id % 3 > 0 THEN list_filter(w, lambda x, i: i % 4 = 0) ELSE [] END AS entities FROM w)"""
 _T, _K, _G = (", ".join(f"'{x}'" for x in axis) for axis in (SETTINGS.topics, SETTINGS.keywords, SETTINGS.geographies))
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as stories, tagged with their first words."""
+    """Documents as stories, tagged with their words, one in four on each axis."""
     rows = table(spark, sf_dir, "documents").select("doc_id", text.words_of(F.coalesce("text", F.lit(""))).alias("w"))
-    return rows.selectExpr("doc_id", "slice(w, 1, 2) topics", "slice(w, 3, 2) keywords", "slice(w, 5, 2) geographies", "if(doc_id % 3 > 0, slice(w, 7, 6), array()) entities")
+    every = [f"filter(w, (x, i) -> i % 4 = {k})" for k in range(4)]
+    return rows.selectExpr("doc_id", f"{every[0]} topics", f"{every[1]} keywords", f"{every[2]} geographies", f"if(doc_id % 3 > 0, {every[3]}, array()) entities")
 
 
 @query(f"""WITH {_TAGS}, f AS (SELECT doc_id, topics, keywords, geographies, entities, CASE WHEN len(entities) > 0 THEN entities ELSE list_concat(topics, keywords, geographies) END AS ev,
@@ -55,14 +57,14 @@ def tag_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.tag_sections(_tagged(spark, sf_dir), ["topics", "keywords", "geographies"]).withColumn("place", F.col("place").cast("long"))
 
 
-_LINES = r"""l AS (SELECT doc_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS a FROM documents),
-p AS (SELECT doc_id, a, CASE doc_id % 4 WHEN 0 THEN upper(a) WHEN 1 THEN substr(a, 1, 40) WHEN 2 THEN replace(a, ' ', '  ') || ' and more' ELSE substr(a, 60) END AS b FROM l)"""
+_LINES = r"""l AS (SELECT doc_id, trim(coalesce(text, '')) AS a FROM documents),
+p AS (SELECT doc_id, a, CASE doc_id % 4 WHEN 0 THEN upper(a) WHEN 1 THEN substr(a, 1, length(a) // 2) WHEN 2 THEN replace(a, ' ', '  ') || ' and more' ELSE substr(a, 60) END AS b FROM l)"""
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first line and a second one made from it."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("a"))
-    return rows.withColumn("b", F.expr("case doc_id % 4 when 0 then upper(a) when 1 then substr(a, 1, 40) when 2 then replace(a, ' ', '  ') || ' and more' else substr(a, 60) end"))
+    """Each document's text and a second one made from it."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.coalesce("text", F.lit(""))).alias("a"))
+    return rows.withColumn("b", F.expr("case doc_id % 4 when 0 then upper(a) when 1 then substr(a, 1, cast(length(a) div 2 as int)) when 2 then replace(a, ' ', '  ') || ' and more' else substr(a, 60) end"))
 
 
 @query(rf"""WITH {_LINES}, n AS (SELECT doc_id, trim(regexp_replace(lower(a), '\s+', ' ', 'g')) AS x, trim(regexp_replace(lower(b), '\s+', ' ', 'g')) AS y FROM p),
@@ -73,18 +75,18 @@ def line_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", prose.repeats(F.col("a"), F.col("b")).alias("repeats"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, trim(substr(coalesce(text, ''), 1, 60 * (1 + doc_id % 9)), chr(10) || ' ') AS a FROM documents),
-p AS (SELECT doc_id, a, CASE WHEN doc_id % 5 = 0 THEN 'UPDATE : ' || a ELSE a END AS raw FROM l),
-k AS (SELECT doc_id, a, raw, regexp_replace(raw, '^(update|latest)\s*:\s*', '', 'i') AS t FROM p),
-s AS (SELECT doc_id, a, raw, t, regexp_replace(array_to_string(regexp_extract_all(t, '[^.!?]+[.!?]+(?:\s+|$)')[1:2], ''), '^\s+|\s+$', '', 'g') AS kept FROM k),
+@query(r"""WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(list_transform(ls, lambda x: trim(x))) AS a, generate_subscripts(ls, 1) - 1 AS line FROM w),
+p AS (SELECT doc_id, line, a, CASE WHEN doc_id % 5 = 0 THEN 'UPDATE : ' || a ELSE a END AS raw FROM l),
+k AS (SELECT doc_id, line, a, raw, regexp_replace(raw, '^(update|latest)\s*:\s*', '', 'i') AS t FROM p),
+s AS (SELECT doc_id, line, a, raw, t, regexp_replace(array_to_string(regexp_extract_all(t, '[^.!?]+[.!?]+(?:\s+|$)')[1:2], ''), '^\s+|\s+$', '', 'g') AS kept FROM k),
 v AS (SELECT *, CASE WHEN kept <> '' THEN kept ELSE t END AS prose FROM s),
 r AS (SELECT *, CASE WHEN raw = '' THEN 'empty_prose' WHEN t = '' THEN 'empty_after_prefix_strip' WHEN length(prose) > 300 THEN 'length_overflow' END AS reason FROM v)
-SELECT doc_id, reason, CASE WHEN reason IS NULL THEN prose ELSE '' END AS prose,
+SELECT doc_id, line, reason, CASE WHEN reason IS NULL THEN prose ELSE '' END AS prose,
  a <> '' AND length(a) <= 300 AND len(regexp_extract_all(a, '[^.!?]+[.!?]+')) + CAST(trim(regexp_extract(a, '([^.!?]*)$', 1)) <> '' AS INT) BETWEEN 1 AND 2 AS fits FROM r""")
 def prose_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr("trim(both '\\n ' from substr(coalesce(text, ''), 1, cast(60 * (1 + doc_id % 9) as int)))").alias("a"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "a")).select("doc_id", F.col("line").cast("long").alias("line"), F.trim("a").alias("a"))
     out = prose.changed_prose(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("UPDATE : "), "a")).otherwise(F.col("a")))
-    return rows.select("doc_id", out["reason"].alias("reason"), out["prose"].alias("prose"), prose.length_fits(F.col("a")).alias("fits"))
+    return rows.select("doc_id", "line", out["reason"].alias("reason"), out["prose"].alias("prose"), prose.length_fits(F.col("a")).alias("fits"))
 
 
 @query(r"""WITH l AS (SELECT p_partkey, list_transform(string_split(CASE WHEN p_partkey % 3 = 0 THEN p_type || ' OFAC us 7' ELSE lower(p_type) || '  ' || p_name END, ' '), lambda x: x) AS w FROM part)

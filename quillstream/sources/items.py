@@ -49,18 +49,38 @@ def entry_id(feed_id: Column, identity: Column) -> Column:
     return short_hash(F.concat_ws("::", feed_id, identity))
 
 
-def map_entries(entries: DataFrame, feed_id: str, outlet: str, weight: float, as_of: Column) -> DataFrame:
-    """Feed entries as items."""
+def published_at(c: Column) -> Column:
+    """A feed's date: day, month and time with an offset or a zone's name, the weekday left aside, or an ISO time; null of what is none."""
+    bare = F.regexp_replace(trimmed(c), r"^[A-Za-z]+,\s*", "")
+    return F.coalesce(*(F.try_to_timestamp(bare, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss zzz")), F.try_to_timestamp(c))
+
+
+def map_entries(entries: DataFrame, feed_id: Column, outlet: Column, weight: Column, as_of: Column) -> DataFrame:
+    """Feed entries as items: the id from feed and guid, else link, else title and date; an undated entry is of now."""
     text = strip_html(F.col("description"))
     title = F.when(trimmed(F.col("title")) != "", trimmed(F.col("title"))).otherwise("(untitled)")
-    published = F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))
+    published = published_at(F.col("pubDate"))
     return entries.select(
-        entry_id(F.lit(feed_id), F.coalesce("guid", "link", F.concat("title", "pubDate"))).alias("source_id"), F.lit(feed_id).alias("feed_id"), F.lit(outlet).alias("outlet"),
-        F.lit("traditional").alias("kind"), F.lit(float(weight)).alias("weight"), F.col("link").alias("url"), age_minutes(published, as_of).alias("minutes_ago"),
+        entry_id(feed_id, F.coalesce("guid", "link", F.concat("title", F.coalesce("pubDate", F.lit(""))))).alias("source_id"), feed_id.alias("feed_id"), outlet.alias("outlet"),
+        F.lit("traditional").alias("kind"), weight.cast("double").alias("weight"), F.col("link").alias("url"), age_minutes(published, as_of).alias("minutes_ago"),
         title.alias("headline"), F.array(F.when(text != "", text).otherwise(title)).alias("body"),
     )
 
 
+def landed_items(spark: SparkSession, path: str, manifest: DataFrame, as_of: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """Items of the feeds landed as XML below path/feed_id=<id>/, for feeds of the manifest that may be read (and are among ``wanted``, if it has any).
+
+    manifest: id, name, kind, url, publisher, weight, active; wanted: id. An outlet
+    is the feed's publisher, else its name, else its id.
+    """
+    feeds = feed_reasons(manifest).filter("reason is null")
+    if wanted is not None and not wanted.isEmpty():
+        feeds = feeds.join(wanted.select("id").distinct(), "id", "left_semi")
+    feeds = feeds.select(F.col("id").alias("feed_id"), F.coalesce("publisher", "name", "id").alias("outlet"), F.coalesce(F.col("weight").cast("double"), F.lit(fixed.DEFAULT_WEIGHT)).alias("weight"))
+    entries = read_feed_xml(spark, path).withColumn("feed_id", F.col("feed_id").cast("string")).join(feeds, "feed_id")
+    return map_entries(entries, F.col("feed_id"), F.col("outlet"), F.col("weight"), as_of)
+
+
 def checked(items: DataFrame) -> DataFrame:
     """Items with an ``error`` column: the first required field that is missing, or null; nothing is dropped."""
     missing = [F.when(F.col(c).isNull() if c in ("body", "minutes_ago") else F.coalesce(F.trim(c) == "", F.lit(True)), F.lit(f"missing {c}")) for c in REQUIRED if c in items.columns]
