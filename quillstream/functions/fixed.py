@@ -179,3 +179,13 @@ PROVIDER_FAILURE = (
     r"(?is)api[_ ]?key|anthropic_api_key|rate[ _-]?limit|overloaded|temporarily unavailable|service unavailable|\bunavailable\b|authentication|unauthorized|forbidden|permission|connection error"
     r"|econnreset|enotfound|etimedout|fetch failed|socket hang up|returned empty|empty.*?response|status code|\b(?:429|5\d{2})\b"
 )
+
+# Characters of an item that are scored; characters of a body that a writer sees.
+ITEM_CHARS, EXCERPT_CHARS = 2000, 400
+
+# Outlets that a written line may only name if the story has them.
+KNOWN_OUTLETS = (
+    "reuters", "bloomberg", "associated press", "the associated press", "afp", "bbc", "cnn", "the new york times", "new york times", "nyt", "the wall street journal", "wall street journal", "wsj",
+    "the washington post", "washington post", "the guardian", "the financial times", "financial times", "ft", "axios", "politico", "semafor", "el tiempo", "el espectador", "el pais", "el país",
+    "semana", "infobae", "noticias caracol", "rcn",
+)

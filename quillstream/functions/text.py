@@ -212,11 +212,11 @@ def story_id(source_ids: Column, topic: Column) -> Column:
 
 
 def capped_summary(c: Column, most: int = 500) -> Column:
-    """The text, cut behind the last sentence that ends within ``most`` characters (past their half), else at the last blank."""
-    head = F.substring(c, 1, most)
-    sentence = F.regexp_extract(head, r"(?s)^(.*[.!?])(?: |$)", 1)
-    words = F.regexp_extract(head, r"(?s)^(.*) ", 1)
-    cut = F.when(F.length(sentence) > most // 2, sentence).when(words != "", F.concat(F.rtrim(words), F.lit("…"))).otherwise(head)
+    """The text, cut behind the last full stop before a blank within ``most`` characters if it comes late enough (0.6 of them), else at the last blank."""
+    head = F.regexp_replace(F.substring(c, 1, most), r"\s+$", "")
+    stop = F.length(head) - F.length(F.substring_index(head, ". ", -1)) - 2  # before it; -2 where there is none
+    blank = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
+    cut = F.when(stop >= most * 6 // 10, F.substr(head, F.lit(1), stop + 1)).when(blank > 0, F.concat(F.substr(head, F.lit(1), blank), F.lit("…"))).otherwise(F.concat(head, F.lit("…")))
     return F.when(F.length(c) <= most, c).otherwise(cut)
 
 

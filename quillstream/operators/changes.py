@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..functions.phrases import named_phrases as named_outlet_phrases
 from ..functions.text import source_identity
 
 
@@ -56,6 +60,43 @@ def structural_gate(current: DataFrame, prior: DataFrame, texts: DataFrame, prio
     return texts.select("story").join(per_story, "story", "left").select("story", signal.alias("signal"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 
+def delta_payload(gate: DataFrame, current: DataFrame, prior: DataFrame, excerpts: bool = False) -> DataFrame:
+    """(story, signal, added, removed, headline_changes, prior_headlines, current_headlines, excerpts): what a writer is told of each story.
+
+    gate: the result of ``structural_gate``; current, prior: story, id, seq, outlet,
+    headline, body (lines). Ids come in the order of the gate's reasons; an excerpt
+    of each added source's body, if asked for and if it has one.
+    """
+    def of(kind: str) -> Column:
+        return F.transform(F.filter("reasons", lambda r: F.startswith(r, F.lit(kind))), lambda r: F.substr(r, F.lit(len(kind) + 1)))
+
+    def told(rows: DataFrame, name: str, more: bool) -> DataFrame:
+        head = F.coalesce("headline", F.lit(""))
+        body = F.substring(F.trim(F.array_join(F.coalesce("body", F.array().cast("array<string>")), " ")), 1, fixed.EXCERPT_CHARS)
+        own = F.struct("seq", "id", head.alias("head"), (body if more else F.lit("")).alias("body"))
+        return rows.filter("id is not null and id != ''").groupBy("story").agg(F.array_sort(F.collect_list(own)).alias(name))
+
+    rows = gate.join(told(current, "_now", excerpts), "story", "left").join(told(prior, "_was", False), "story", "left")
+    none = F.array().cast("array<struct<seq: long, id: string, head: string, body: string>>")
+    rows = rows.withColumns({n: F.coalesce(F.col(n).cast("array<struct<seq: long, id: string, head: string, body: string>>"), none) for n in ("_now", "_was")})
+    heads = lambda c: F.map_from_entries(F.transform(c, lambda x: F.struct(x["id"], x["head"])))
+    at = lambda c, i: F.coalesce(F.try_element_at(heads(c), i), F.lit(""))
+    added = of("added_source:")
+    shown = F.map_filter(F.map_from_entries(F.transform(F.filter("_now", lambda x: F.array_contains(added, x["id"])), lambda x: F.struct(x["id"], x["body"]))), lambda _, v: v != "")
+    return rows.select(
+        "story", "signal", added.alias("added"), of("removed_source:").alias("removed"),
+        F.transform(of("headline_change:"), lambda i: F.struct(i.alias("id"), at("_was", i).alias("prior"), at("_now", i).alias("current"))).alias("headline_changes"),
+        *(F.filter(F.transform(c, lambda x: x["head"]), lambda h: F.trim(h) != "").alias(n) for c, n in (("_was", "prior_headlines"), ("_now", "current_headlines"))), shown.alias("excerpts"),
+    )
+
+
+def named_outlets(rows: DataFrame, prose: str, outlets: str, known: Sequence[str] = fixed.KNOWN_OUTLETS) -> DataFrame:
+    """Rows with ``offending``: the first known outlet that a written line names though none of the story's outlets (an array) is it, contains it or is contained in it; null where the line is sound."""
+    said = rows.withColumn("_named", named_outlet_phrases(rows.sparkSession, F.col(prose), known)).withColumn("_own", F.filter(F.transform(F.coalesce(outlets, F.array().cast("array<string>")), source_identity), lambda o: o != ""))
+    foreign = F.filter("_named", lambda t: ~F.exists("_own", lambda o: F.contains(o, t) | F.contains(t, o)))
+    return said.withColumn("offending", F.get(foreign, F.lit(0))).drop("_named", "_own")
+
+
 def change_state(stories: DataFrame, ever_seen: DataFrame, gate: DataFrame) -> DataFrame:
     """(story, state, signal): first-seen if never seen before, else unchanged; the gate's signal where there was a prior state."""
     seen = ever_seen.select("story").distinct().withColumn("_seen", F.lit(True))
