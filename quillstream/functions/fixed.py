@@ -189,3 +189,7 @@ KNOWN_OUTLETS = (
     "the washington post", "washington post", "the guardian", "the financial times", "financial times", "ft", "axios", "politico", "semafor", "el tiempo", "el espectador", "el pais", "el país",
     "semana", "infobae", "noticias caracol", "rcn",
 )
+
+# Evidence that is translated of an item at most; share of a story's sources that has to be covered.
+TRANSLATED_CHARS, TRANSLATED_SNIPPETS = 700, 2
+COVERAGE = 0.6
