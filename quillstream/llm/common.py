@@ -3,6 +3,8 @@ word and byte-window hashing of Arrow string batches."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -186,6 +188,16 @@ def text_views(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
         yield data[bounds[i] : bounds[i + 1]] if valid[i] else data[:0]
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system: workers are kept between tasks, and share their executor's memory.
+
+    Called where a task begins, as what the task before held is only free once that has ended.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds at most ``most`` bytes, or one row."""
     for batch in batches:

@@ -173,9 +173,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, window: int = 20, percent:
 
     def clean(seeds):
         def test(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            give_back()
             for column in texts:
                 yield pa.array([not seeds.value.leaks(letter_words(view)[0]) for view in text_views(column)], pa.bool_())
-                give_back()
 
         return F.arrow_udf(test, "boolean")
 

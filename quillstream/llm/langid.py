@@ -32,10 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix
+from .common import by_bytes, give_back, mix
 
 #: Hashed columns of the presence matrix; a power of two.
 DIMS = 1 << 15
+#: Texts that are scored at once: their matrix of DIMS columns is 8 MB.
+SCORED = 64
 #: Rows of each language in the sample: landmarks (of all languages together MOST_LANDMARKS), and rows of the
 #: regression (landmarks included).
 LANDMARKS, MOST_LANDMARKS, TRAIN = 64, 2048, 400
@@ -132,13 +134,14 @@ def predictor(docs: DataFrame, per_language: int = TRAIN):
     model = spark.sparkContext.broadcast(KernelRidge.fit([t for *_, t in sample], [x for x, *_ in sample]) if sample else None)
 
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for column in texts:
             langs, score = [], []
             for batch in by_bytes([pa.RecordBatch.from_arrays([column], ["text"])], "text", 1 << 20):
                 known = normalised(batch.column(0))
                 able = pc.match_substring_regex(known, r"\pL").to_numpy(zero_copy_only=False) & (model.value is not None)
                 names, best = np.full(len(known), "und", object), np.zeros(len(known))
-                for part in np.array_split(np.flatnonzero(able), -(-int(able.sum()) // 256) or 1):
+                for part in np.array_split(np.flatnonzero(able), -(-int(able.sum()) // SCORED) or 1):
                     if len(part):
                         raw = model.value.scores([known[int(i)].as_py() for i in part])
                         names[part] = np.array(model.value.classes, object)[raw.argmax(1)]

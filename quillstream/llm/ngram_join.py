@@ -45,11 +45,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_bytes, discard, materialise, mix, named_rows, shingle_hashes, text_views, word_hashes
+from .common import BROADCAST_ROWS, by_bytes, discard, give_back, materialise, mix, named_rows, shingle_hashes, text_views, word_hashes
 from .components import connected_components
 
 #: Counters of each sketch of frequencies: 2**BITS, and in one row of it 2**ROW.
 BITS, ROW = 22, 14
+#: Rows of a sketch that a task sends on at once.
+SENT = 64
 #: Sets searched together at most, for one query and for all of a block, and bytes of a block's sets.
 BLOCK, BLOCK_SETS, BLOCK_BYTES = 256, 2048, 8 << 20
 
@@ -98,6 +100,7 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
     names = ["doc_id", "u", "cls", "n", "parities", "row", "task", "counts"]
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         sketch = np.zeros(2 << BITS, np.uint32)
         for batch in by_bytes(batches, "text"):
             words = [word_hashes(v) for v in text_views(batch.column(2))]
@@ -109,10 +112,13 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
             columns = [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         task = TaskContext.get().partitionId()
-        rows = [i for i, r in enumerate(sketch.reshape(-1, 1 << ROW)) if r.any()]
-        none = pa.nulls(len(rows), pa.int64())
-        packed = [zlib.compress(sketch[i << ROW : (i + 1) << ROW].tobytes(), 1) for i in rows]
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(rows), pa.int32()), none, none, pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array(packed, pa.binary())], names)
+        filled = [i for i, r in enumerate(sketch.reshape(-1, 1 << ROW)) if r.any()]
+        for at in range(0, len(filled), SENT):
+            rows = filled[at : at + SENT]
+            none = pa.nulls(len(rows), pa.int64())
+            packed = [zlib.compress(sketch[i << ROW : (i + 1) << ROW].tobytes(), 1) for i in rows]
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(rows), pa.int32()), none, none, pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array(packed, pa.binary())], names)
+        del sketch
 
     return docs.mapInArrow(summarise, "doc_id long, u int, cls long, n long, parities binary, row int, task int, counts binary")
 
@@ -152,6 +158,7 @@ def _postings(docs: DataFrame, k: int, percent: int, tiers) -> DataFrame:
     """(token, cls, n, at): the shingles of each class's prefix by place; a task lays out a class once, as far as it remembers."""
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         done: set[int] = set()
         for batch in by_bytes(batches, "text"):
             tokens, cls, size, at = [], [], [], []
@@ -178,6 +185,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> Dat
     """(cls, shingles) of the wanted classes, from one document each."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in by_bytes(batches, "text"):
             sets = [shingle_set(v, k) for v in text_views(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise
+from .common import by_bytes, give_back, materialise
 from .subword import byte_ids, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -46,6 +46,7 @@ def pieces(docs: DataFrame, most: int = 2048, end_id: int = 1, vocabulary: str |
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         end = np.array([end_id], "<u4")
         for batch in by_bytes(batches, "text"):
             key, row, start, length, crc, total = batch.column(0), [], [], [], [], []
@@ -61,6 +62,8 @@ def pieces(docs: DataFrame, most: int = 2048, end_id: int = 1, vocabulary: str |
                     at += n
             columns = [key.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(columns, names)
+        byte_ids.cache_clear()  # some 100 MB that a later stage of the same worker would do without
+        give_back()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(cut, PIECES)
 

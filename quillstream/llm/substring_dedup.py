@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _LOWER, _powers, _Tables, SPACE, by_bytes, discard, materialise, mix, named_rows, prefix_hash, text_views
+from .common import SPACE, _BASE, _BASE_INV, _LOWER, _Tables, _powers, by_bytes, discard, give_back, materialise, mix, named_rows, prefix_hash, text_views
 
 _OTHER = 0xD6E8FEB86659FD93 | 1
 _OTHER_INV = pow(_OTHER, -1, 2**64)
@@ -166,6 +166,7 @@ def _passage_rows(docs: DataFrame, least_words: int, least_line: int) -> DataFra
     names = [x.split()[0] for x in ROWS.split(", ")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in by_bytes(batches, "text"):
             parts = [passages(view, least_words, least_line) for view in text_views(batch.column(2))]
             own = pa.array(np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts]))
@@ -179,6 +180,7 @@ def _hash_rows(docs: DataFrame, least_words: int, least_line: int) -> DataFrame:
     """The passages' first hashes alone."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in by_bytes(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([passages(view, least_words, least_line)[0] for view in text_views(batch.column(0))]))], ["h"])
 
@@ -218,6 +220,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def cut_text(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Texts and their removed passages, sorted by start -> REMOVAL."""
+    give_back()
     for texts, marks in columns:
         out: list[list] = [[], [], [], [], [], []]
         for view, known, own in zip(text_views(texts), texts.is_valid().to_pylist(), marks, strict=True):
