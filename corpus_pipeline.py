@@ -21,19 +21,31 @@ from quillstream.llm.substring_dedup import cut_rows
 #: margin. Of 1,501 rows kept from the fit 7 lie below, and all random texts of 20 words or more in four scripts.
 LEAST_SCORE = 0.53
 
+#: Bytes of texts that a task hands to its Python worker at once: an executor's workers and its JVM hold two of these
+#: batches a task, beside the memory that shuffles take.
+BATCH = "8m"
+
+
+def _bounded(spark: SparkSession) -> None:
+    """The pipeline is a job of its own, and settles this for its session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that no learned language claims."""
+    _bounded(spark)
     return claimed(docs, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    _bounded(spark)
     return one_of_each(docs, k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated units from the texts, and documents of which nothing is left."""
+    _bounded(spark)
     left = cut_rows(docs).filter("removal.n_removed = 0 or removal.n_removed < removal.n_bytes")
     new = {"text": F.col("removal.text"), "n_chars": F.length("removal.text").cast(docs.schema["n_chars"].dataType)}
     return left.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
@@ -41,11 +53,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
+    _bounded(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of power-of-two lengths up to 2,048."""
+    _bounded(spark)
     return pack(docs, most=2048, end_id=1)
 
 
