@@ -198,8 +198,8 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose ``column`` holds at most ``most`` bytes, or one row."""
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, tidy: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose ``column`` holds at most ``most`` bytes, or one row; tidy: after each, memory is given back."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         size = np.fromiter((len(v) for v in text_views(col)), np.int64, len(col))
@@ -207,10 +207,14 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20
         for i, n in enumerate(size):
             if total + n > most and i > at:
                 yield batch.slice(at, i - at)
+                if tidy:
+                    give_back()
                 at, total = i, 0
             total += n
         if at < len(col):
             yield batch.slice(at)
+            if tidy:
+                give_back()
 
 
 class SharedFiles:

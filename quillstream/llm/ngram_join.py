@@ -102,7 +102,7 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         sketch = np.zeros(2 << BITS, np.uint32)
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", tidy=True):
             words = [word_hashes(v) for v in text_views(batch.column(2))]
             sets = [np.unique(shingle_hashes(w, k)) for w in words]
             for base, found in ((0, sets), (1 << BITS, words)):
@@ -160,7 +160,7 @@ def _postings(docs: DataFrame, k: int, percent: int, tiers) -> DataFrame:
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         done: set[int] = set()
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", tidy=True):
             tokens, cls, size, at = [], [], [], []
             for view in text_views(batch.column(0)):
                 words = word_hashes(view)
@@ -186,7 +186,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> Dat
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", tidy=True):
             sets = [shingle_set(v, k) for v in text_views(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 

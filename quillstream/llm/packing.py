@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, most: int = 2048, end_id: int = 1, vocabulary: str |
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         end = np.array([end_id], "<u4")
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", tidy=True):
             key, row, start, length, crc, total = batch.column(0), [], [], [], [], []
             for i, ids in enumerate(byte_ids(path).batch(batch.column(1))):
                 raw = memoryview(np.concatenate([ids.astype("<u4"), end]).tobytes())

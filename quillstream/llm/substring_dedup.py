@@ -167,7 +167,7 @@ def _passage_rows(docs: DataFrame, least_words: int, least_line: int) -> DataFra
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", tidy=True):
             parts = [passages(view, least_words, least_line) for view in text_views(batch.column(2))]
             own = pa.array(np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts]))
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -181,7 +181,7 @@ def _hash_rows(docs: DataFrame, least_words: int, least_line: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", tidy=True):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([passages(view, least_words, least_line)[0] for view in text_views(batch.column(0))]))], ["h"])
 
     return docs.filter("doc_id is not null").select("text").mapInArrow(make, "h long")
