@@ -62,8 +62,6 @@ def pieces(docs: DataFrame, most: int = 2048, end_id: int = 1, vocabulary: str |
                     at += n
             columns = [key.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(columns, names)
-        byte_ids.cache_clear()  # some 100 MB that a later stage of the same worker would do without
-        give_back()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(cut, PIECES)
 
