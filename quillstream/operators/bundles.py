@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import evidence_tokens, geography_words, story_id, theme_words, tokens
 from .clusters import components
-from .stories import similar_sets
+from .stories import similar_links
 
 AXES = ("topics", "keywords", "geographies")
 
@@ -44,7 +44,7 @@ def merged_record(members: Column) -> dict[str, Column]:
 
     The story of most sources (ties: the least story_id) gives title, subtitle and
     summary. Sources, tags and entities are united in order; claims follow each
-    other with new numbers and keep the evidence that is among the sources.
+    other with new numbers, those without evidence go.
     """
     first = F.array_min(F.transform(members, lambda m, i: F.struct((-F.size(m["source_ids"])).alias("n"), F.coalesce(m["story_id"], F.lit("")).alias("id"), i.alias("i"))))
     primary = F.get(members, first["i"])
@@ -53,7 +53,7 @@ def merged_record(members: Column) -> dict[str, Column]:
     def own_claims(m: Column) -> Column:
         def claim(text: Column, i: Column) -> Column:
             given = F.coalesce(F.try_element_at(m["evidence"], i.cast("string")), F.array().cast("array<string>"))
-            return F.struct(text.alias("text"), F.filter(given, lambda x: x.isNotNull() & (x != "") & F.array_contains(ids, x)).alias("evidence"))
+            return F.struct(text.alias("text"), F.filter(given, lambda x: x.isNotNull() & (x != "")).alias("evidence"))
 
         return F.filter(F.transform(F.coalesce(m["claims"], F.array().cast("array<string>")), claim), lambda c: F.size(c["evidence"]) > 0)
 
@@ -70,6 +70,19 @@ def merged_record(members: Column) -> dict[str, Column]:
     return out | {name: ordered_union(F.transform(members, lambda m: m[name])) for name in (*AXES, "entities")}  # noqa: B023
 
 
+def backed_evidence(members: DataFrame, by: str) -> DataFrame:
+    """Members (by, root, place, source_ids, evidence, ...) with the evidence that is among the sources of their root.
+
+    A join does it: looked up in a list, each source of a large event would be
+    compared with all others.
+    """
+    given = members.select(by, "root", "place", F.explode("evidence").alias("_claim", "_ids")).select(by, "root", "place", "_claim", F.posexplode("_ids").alias("_i", "_id")).filter("_id != ''")
+    known = members.select(by, "root", F.explode("source_ids").alias("_id")).distinct()
+    lists = given.join(known, [by, "root", "_id"], "left_semi").groupBy(by, "place", "_claim").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_id"))), lambda x: x["_id"]).alias("_ids"))
+    maps = lists.groupBy(by, "place").agg(F.map_from_entries(F.collect_list(F.struct("_claim", "_ids"))).alias("evidence"))
+    return members.drop("evidence").join(maps, [by, "place"], "left").select(*members.columns)
+
+
 def merge_bundles(
     stories: DataFrame, items: DataFrame, by: str, geographies: Sequence[str], theme: Sequence[str] = theme_words(), least: float = fixed.BUNDLE_JACCARD, shared: int = fixed.BUNDLE_SHARED
 ) -> DataFrame:
@@ -81,14 +94,13 @@ def merge_bundles(
     more and overlap by ``least``; components become one. Stories that are deferred,
     off the theme or without a configured geography stay as they are.
     """
-    words = event_signals(stories, items, by, geographies, theme).checkpoint()
-    rows = words.select(F.struct(by, "place").alias("id"), by, "token")
-    linked = similar_sets(rows, rows, [by], least, shared).filter("a < b").select(F.col(f"a.{by}").alias(by), F.col("a.place").alias("a"), F.col("b.place").alias("b"))
+    words = event_signals(stories, items, by, geographies, theme).groupBy(by, F.col("place").alias("id")).agg(F.collect_set("token").alias("s")).checkpoint()
+    linked = similar_links(words, by, least, shared)
     roots = components(linked, by).withColumnRenamed("id", "place")
     kept = stories.join(roots, [by, "place"], "left")
     alone = kept.filter("root is null").drop("root").withColumn("n_merged", F.lit(1).cast("long"))
     fields = [c for c in stories.columns if c != by]
-    groups = kept.filter("root is not null").groupBy(by, "root").agg(F.collect_list(F.struct(*fields)).alias("m"))
+    groups = backed_evidence(kept.filter("root is not null"), by).groupBy(by, "root").agg(F.collect_list(F.struct(*fields)).alias("m"))
     in_order = F.array_sort("m", lambda x, y: F.when(x["place"] < y["place"], -1).when(x["place"] > y["place"], 1).otherwise(0))  # maps have no order of their own
     groups = groups.withColumn("m", in_order)
     merged = groups.select(by, F.col("root").alias("place"), F.size("m").cast("long").alias("n_merged"), *(c.alias(k) for k, c in merged_record(F.col("m")).items()), F.lit(False).alias("deferred"))

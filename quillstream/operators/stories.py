@@ -40,30 +40,97 @@ def grounding(claims: DataFrame, known: DataFrame) -> DataFrame:
     return per_story.select("story", F.col("n").alias("n_evidence"), F.col("ok").alias("n_known"), verdict.alias("verdict"))
 
 
-def similar_sets(left: DataFrame, right: DataFrame, within: list[str], least: float, shared: int = 1) -> DataFrame:
-    """Pairs (a, b, jaccard) of sets of one ``within`` whose Jaccard is ``least`` or more, with ``shared`` tokens in common or more; both sides hold (id, *within, token).
+#: Groups of so few pairs of sets are paired outright.
+FEW_PAIRS = 2500
+_SKETCH = 4
+
+
+def _needed(n: Column, m: Column, least: float, shared: int) -> Column:
+    """How many tokens sets of these sizes have in common at least, if their Jaccard is ``least``."""
+    return F.greatest((n + m) * (least / (1 + least)) - 1e-9, F.lit(float(shared)))
+
+
+def _scored(pairs: DataFrame, kept: list[str], least: float, shared: int) -> DataFrame:
+    """Pairs of sets (s, t) whose Jaccard is ``least`` or more, with it."""
+    n, m = F.size("s"), F.size("t")
+    rows = pairs.filter(F.least(n, m) >= least * F.greatest(n, m) - 1e-9).select(*kept, F.size(F.array_intersect("s", "t")).alias("_c"), (n + m).alias("_n"))
+    return rows.filter(F.col("_c") >= shared).withColumn("jaccard", F.col("_c") / (F.col("_n") - F.col("_c"))).filter(F.col("jaccard") >= least).drop("_c", "_n")
+
+
+def _prefixes(sets: DataFrame, often: DataFrame, within: list[str], least: float, shared: int) -> DataFrame:
+    """(id, *within, token, n, k, reach, b0..b3) of the first tokens of each set, rarest first; reach: is the token among those that a larger set has to meet?"""
+    at = F.xxhash64("token")
+    bits = [F.coalesce(F.bit_or(F.when(F.pmod(at, F.lit(_SKETCH)) == j, F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(token), 8), 64) as int))"))), F.lit(0).cast("long")).alias(f"b{j}") for j in range(_SKETCH)]
+    rows = sets.select("id", *within, F.explode("s").alias("token")).join(often, [*within, "token"])
+    rows = rows.groupBy("id", *within).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"]).alias("s"), *bits)
+    n = F.size("s")
+    first, half = (n - F.greatest(F.ceil(n * c - 1e-9), F.lit(shared)).cast("int") + 1 for c in (least, 2 * least / (1 + least)))
+    sketch = [f"b{j}" for j in range(_SKETCH)]
+    rows = rows.select("id", *within, n.alias("n"), half.alias("_half"), *sketch, F.posexplode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)))).alias("k", "token"))
+    return rows.select("id", *within, "token", "n", "k", (F.col("k") < F.col("_half")).alias("reach"), *sketch)
+
+
+def _met(left: DataFrame, right: DataFrame | None, within: list[str], least: float, shared: int) -> DataFrame:
+    """Pairs of sets by their rarest tokens; without ``right`` of one table, each pair once (a < b).
 
     Tokens are ordered by how many sets hold them, rarest first; two sets that
     reach the threshold share one of their first n - ceil(least * n) + 1 tokens,
-    so only these are joined, and only between sets of sizes that allow it. A pair
-    is counted at the first token that the two prefixes share.
+    and of sets of one table the smaller one's first n - ceil(2 * least / (1 + least) * n) + 1
+    do. Only these are joined, by id, with the token's place and a sketch of 256 bits:
+    what follows the place bounds the overlap, and so does the number of bits in which
+    sketches differ. Whole sets are joined for the pairs that are left.
     """
-    key = [*within, "token"]
-    left, right = left.select("id", *key).distinct(), right.select("id", *key).distinct()
-    often = left.select(*key).unionAll(right.select(*key)).groupBy(*key).agg(F.count("*").alias("_n"))
+    both = left if right is None else left.unionByName(right)
+    often = both.select(*within, F.explode("s").alias("token")).groupBy(*within, "token").agg(F.count("*").alias("_n"))
+    x = _prefixes(left, often, within, least, shared).alias("x")
+    y = (x if right is None else _prefixes(right, often, within, least, shared)).alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    differ = sum((F.bit_count(F.col(f"x.b{j}").bitwiseXOR(F.col(f"y.b{j}"))) for j in range(_SKETCH)), F.lit(0))
+    needed = _needed(n, m, least, shared)
+    fits = (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("x.k"), m - F.col("y.k")) >= needed) & (n + m - differ >= 2 * needed - 1e-9)
+    if right is None:
+        fits = fits & F.col("x.reach") & ((n < m) | ((n == m) & (F.col("x.id") < F.col("y.id"))))
+    pairs = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*within, "token")] + [fits]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *(F.col(f"x.{c}").alias(c) for c in within)).distinct()
+    own = lambda sets, name, s: sets.select(F.col("id").alias(name), *within, F.col("s").alias(s))
+    full = pairs.join(own(left, "a", "s"), ["a", *within]).join(own(left if right is None else right, "b", "t"), ["b", *within])
+    if right is None:
+        full = full.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+    return _scored(full, [*within, "a", "b"], least, shared)
+
+
+def _as_sets(rows: DataFrame, within: list[str]) -> DataFrame:
+    return rows.groupBy("id", *within).agg(F.array_sort(F.collect_set("token")).alias("s"))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, within: list[str], least: float, shared: int = 1) -> DataFrame:
+    """Pairs (a, b, jaccard) of sets of one ``within`` whose Jaccard is ``least`` or more, with ``shared`` tokens in common or more; both sides hold (id, *within, token)."""
+    return _met(_as_sets(left, within), _as_sets(right, within), within, least, shared).select("a", "b", "jaccard")
 
-    def sets(rows: DataFrame) -> DataFrame:
-        tokens = F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"])
-        own = rows.join(often, key).groupBy("id", *within).agg(tokens.alias("s"))
-        first = F.size("s") - F.ceil(F.size("s") * least - 1e-9).cast("int") + 1
-        return own.withColumn("p", F.slice("s", F.lit(1), first)).withColumn("token", F.explode("p"))
 
-    a, b = sets(left).alias("x"), sets(right).alias("y")
-    met = a.join(b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in key] + [F.least(F.size("x.s"), F.size("y.s")) >= least * F.greatest(F.size("x.s"), F.size("y.s")) - 1e-9])
-    met = met.filter(F.element_at(F.array_intersect("x.p", "y.p"), 1) == F.col("x.token"))
-    common = F.size(F.array_intersect("x.s", "y.s"))
-    scored = met.filter(common >= shared).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (common / (F.size("x.s") + F.size("y.s") - common)).alias("jaccard"))
-    return scored.filter(F.col("jaccard") >= least)
+def similar_pairs(rows: DataFrame, within: list[str], least: float, shared: int = 1) -> DataFrame:
+    """``similar_sets`` of one table, each pair once: a < b."""
+    return _met(_as_sets(rows, within), None, within, least, shared).select("a", "b", "jaccard")
+
+
+def similar_links(sets: DataFrame, within: str, least: float, shared: int = 1) -> DataFrame:
+    """Links (within, a, b), a < b, that hold together what the similar pairs of sets (id, within, s: distinct tokens) do.
+
+    In small groups all pairs are looked at. In others sets that are equal are linked
+    with the first of them, and only that one with sets that differ.
+    """
+    sets = sets.groupBy(within, "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s")).filter(F.size("s") >= shared)
+    counts = sets.groupBy(within).agg(F.count("*").alias("_sets"))
+    sets = sets.join(counts, within)
+    few = F.col("_sets") * F.col("_sets") <= FEW_PAIRS
+    small, large = sets.filter(few).drop("_sets"), sets.filter(~few).drop("_sets")
+    x, y = (small.select(within, F.col("id").alias(i), F.col("s").alias(v)) for i, v in (("a", "s"), ("b", "t")))
+    out = _scored(x.join(y, within).filter("a < b"), [within, "a", "b"], least, shared)
+    if large.isEmpty():
+        return out.select(within, "a", "b")
+    large = large.checkpoint()
+    first = large.groupBy(within, "s").agg(F.min("id").alias("id"))
+    copies = large.join(first.withColumnRenamed("id", "a"), [within, "s"]).filter("id != a").select(within, "a", F.col("id").alias("b"))
+    return out.select(within, "a", "b").unionByName(_met(first, None, [within], least, shared).select(within, "a", "b")).unionByName(copies)
 
 
 def lineage_candidates(new: DataFrame, prior: DataFrame, least: float = LINEAGE_JACCARD) -> DataFrame:
@@ -128,7 +195,7 @@ def structural_diff(current: DataFrame, prior: DataFrame, key: list[str], value:
 def token_pairs(items: DataFrame, tokens: str, least: float) -> DataFrame:
     """Pairs (a, b, jaccard), a < b, of items (id) whose token sets overlap by ``least`` or more."""
     rows = items.select("id", F.explode(tokens).alias("token"))
-    return similar_sets(rows, rows, [], least).filter("a < b")
+    return similar_pairs(rows, [], least)
 
 
 def signals(sources: DataFrame) -> DataFrame:

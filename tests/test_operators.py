@@ -71,6 +71,28 @@ def test_similar_sets_against_all_pairs(spark):
         assert got == sorted((a, b) for a in sets for b in sets if a < b and a % 2 == b % 2 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least)
 
 
+def test_links_hold_together_what_similar_pairs_do(spark):
+    """One star for all copies, every link between sets that differ, in large groups and in small ones."""
+    rng = random.Random(5)
+    sets = {i: {f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(1, 9))} for i in range(150)} | {i: {"x", "y", "z"} for i in range(150, 420)} | {420: {"x"}, 421: {"x"}, 422: set()}
+    kind = {i: i % 4 if i < 20 else 9 for i in sets}
+    rows = spark.createDataFrame([(kind[i], i, sorted(s)) for i, s in sets.items()], "kind long, id long, s array<string>")
+    for least, shared in ((0.15, 1), (0.34, 2), (1.0, 1)):
+        links = [tuple(r) for r in stories.similar_links(rows, "kind", least, shared).select("a", "b", "kind").collect()]
+        pairs = {(a, b) for a in sets for b in sets if a < b and kind[a] == kind[b] and len(sets[a] & sets[b]) >= shared and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        assert len(set(links)) == len(links) < 12000 and {(a, b) for a, b, _ in links} <= pairs and all(kind[a] == k for a, _, k in links)
+        root = {i: i for i in sets}
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b, _ in links:
+            root[max(top(a), top(b))] = min(top(a), top(b))  # noqa: B023
+        assert all(top(a) == top(b) for a, b in pairs)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(20)] + [(2, 5, 3)], "story long, a long, b long")
     got = {(r["story"], r["id"]): r["root"] for r in clusters.components(edges, "story").collect()}
