@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import theme_words
-from .stories import similar_sets
+from .stories import similar_links
 
 
 def components(edges: DataFrame, within: str, most_rounds: int = 50) -> DataFrame:
@@ -53,7 +53,7 @@ def split_clusters(items: DataFrame, claims: DataFrame, threshold: float = fixed
     """
     facts = items.groupBy("story").agg(F.count("*").alias("n"), F.bool_and("english").alias("english"), F.array_sort(F.collect_list("id")).alias("all_ids"))
     rows = items.select("story", "id", F.explode("tokens").alias("token"))
-    alike = similar_sets(rows, rows, ["story"], threshold).filter("a < b").join(items.selectExpr("id a", "story"), "a").select("story", "a", "b").checkpoint()
+    alike = similar_links(items.select("story", "id", F.col("tokens").alias("s")), "story", threshold).checkpoint()
     facts = facts.join(alike.select("story").distinct().withColumn("linked", F.lit(True)), "story", "left").join(claim_support(claims), "story", "left")
     free = ~F.coalesce("corroborated", F.lit(False)) & F.col("linked").isNull() & (F.col("n") >= 2)
     reason = F.when(free & F.col("english"), "low_token_overlap").when((F.col("n") >= 2) & F.coalesce("disjoint", F.lit(False)), "disjoint_claim_evidence").when(free, "ambiguous_unnormalized_overlap")
