@@ -198,6 +198,18 @@ def all_forms(term: str) -> list[str]:
     return list(dict.fromkeys([term.strip(), *([*own[0], *own[1]] if own else [])]))
 
 
+#: Lower-case letters whose capital is one letter only where each letter is mapped by itself: sharp s, and Greek ones with iota subscript.
+_ONE_CAPITAL = {"ß": "ẞ"} | {chr(i): chr(i).title() for i in (*range(0x1F80, 0x1FB0), 0x1FB3, 0x1FC3, 0x1FF3) if len(chr(i).title()) == 1}
+
+
+def upper_letters(c: Column) -> Column:
+    """In capitals, letter by letter: as many characters as before, so ß is ẞ and not SS; what has no capital of one letter stays."""
+    whole = F.upper(c)
+    small, large = "".join(_ONE_CAPITAL), "".join(_ONE_CAPITAL.values())
+    one = F.transform(F.split(c, ""), lambda x: F.when(F.length(F.upper(x)) == F.length(x), F.upper(x)).otherwise(F.translate(x, small, large)))
+    return F.when(F.length(whole) == F.length(c), whole).otherwise(F.array_join(one, ""))
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
