@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.text import upper_letters
 from ..operators import changes, records, semantic, translation
 from ..sources.store import VersionedTables
 from ..streaming.feeds import shared_folder
@@ -138,7 +139,7 @@ def translated_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in other languages, translated by a stand-in that cannot do German; those of even ids were done by an earlier run."""
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id div 4 story", "string(doc_id) source_id", "lang", "trim(split(coalesce(text, ''), '\n')[0]) headline", "filter(transform(slice(split(coalesce(text, ''), '\n'), 2, 100000), x -> trim(x)), x -> x != '') body")
     cache = VersionedTables(spark, shared_folder(spark, "translations"), {translation.TRANSLATIONS: ["key"]})
-    shout = lambda segments, lang: F.when(lang != "de", F.transform(segments, F.upper))
+    shout = lambda segments, lang: F.when(lang != "de", F.transform(segments, upper_letters))
     translation.translated_items(cache, rows.filter("doc_id % 2 = 0"), shout)
     out = translation.translated_items(cache, rows, shout)
     said = F.concat(translation.english_headline(F.col("normalized_headline"), F.col("headline")), F.lit("/"), F.array_join(translation.english_body(F.col("normalized_body"), F.col("body")), "/"))
