@@ -150,7 +150,8 @@ def theme_words() -> tuple[str, ...]:
 
 def words_of(c: Column) -> Column:
     """Runs of ASCII letters, digits and _ of the lower-cased text."""
-    return F.split(F.lower(c), "[^a-z0-9_]+")
+    # what is no word character, spelt out: Java matches a negated class of several ranges some ten times more slowly
+    return F.split(F.lower(c), r"[\x00-\x2F\x3A-\x5E\x60\x7B-\x{10FFFF}]+")
 
 
 def token_pattern(terms: Iterable[str]) -> str | None:

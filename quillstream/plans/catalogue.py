@@ -337,8 +337,8 @@ def topic_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ITEMS} SELECT source_id, array_to_string(list_sort(list_filter(['thes', 'elle', 'heit', 'para'], lambda x: regexp_matches(text, '(?i)\\b' || x || '\\b'))), ',') AS tags FROM items""")
 def tag_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_compact(F.array(*(F.when(text.mentions(F.col("text"), [k]), F.lit(k)) for k in SETTINGS.keywords)))
-    return doc_items(spark, sf_dir).select("source_id", F.array_join(F.array_sort(found), ",").alias("tags"))
+    found = F.array_compact(F.array(*(F.when(text.mentions(F.col("text"), [k], F.col("words")), F.lit(k)) for k in SETTINGS.keywords)))
+    return doc_items(spark, sf_dir).select("source_id", "text", text.words_of(F.col("text")).alias("words")).select("source_id", F.array_join(F.array_sort(found), ",").alias("tags"))
 
 
 @query("""WITH c AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn FROM (SELECT toxic = 1 AS p, quality = 0 AS a FROM labels)),
