@@ -20,3 +20,7 @@ def test_words_are_split_at_every_other_character(spark):
 def test_a_text_is_split_once_for_all_keywords(spark, small):
     plan = QUERIES["tag_assign"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(lower(") == 1
+
+
+def test_tags_are_not_matched_by_a_negated_class(spark, small):
+    assert "[^a-z0-9_]" not in QUERIES["tag_fits"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
