@@ -8,6 +8,7 @@ it; where it begins (ends) with another character, one of these has to.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
@@ -48,6 +49,41 @@ def named_in(automaton: ahocorasick.Automaton, text: str) -> list[int]:
     return sorted(found)
 
 
+_PLAIN = re.compile("[a-z0-9_]+(?: [a-z0-9_]+)*")
+_MARKS = re.compile("[^a-z0-9_ ]+")
+
+
+def phrase_finder(phrases: Sequence[str]) -> Callable[[str], set[str]]:
+    """A function that gives those of the phrases (lower-cased, trimmed) that a lower-cased text names.
+
+    Phrases of words parted by single blanks are looked up among the text's own runs of
+    so many words, which costs the same however many they are; only others need an automaton.
+    """
+    runs: dict[int, set] = {}
+    marked = []
+    for p in phrases:
+        if _PLAIN.fullmatch(p):
+            words = tuple(p.split(" "))
+            runs.setdefault(len(words), set()).add(words if len(words) > 1 else p)
+        else:
+            marked.append(p)
+    automaton = _automaton(marked)
+
+    def find(text: str) -> set[str]:
+        found = {marked[i] for i in named_in(automaton, text)}
+        if runs:
+            # a mark stands between words as a word that no phrase has, a second blank as an empty one
+            words = _MARKS.sub(" | ", text).split(" ")
+            for n, known in runs.items():
+                if n == 1:
+                    found |= known.intersection(words)
+                else:
+                    found.update(map(" ".join, known.intersection(zip(*(words[i:] for i in range(n)), strict=False))))
+        return found
+
+    return find
+
+
 def _finder(spark: SparkSession, phrases: list[str]) -> Callable[[Column], Column]:
     shared = spark.sparkContext.broadcast(phrases)
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import fixed
-from ..functions.phrases import named_phrases, phrase_hits
+from ..functions import fixed, phrases
+from ..functions.phrases import named_phrases
 from .reports import finalized, hygiene
 from .selection import label
 
@@ -32,7 +34,7 @@ def setting_terms(settings: DataFrame) -> DataFrame:
     kind: ``text`` for the label itself and, of geographies, places in it by name or
     another spelling; ``value`` for what an item's own topic or geography may say.
     """
-    rows = settings.select("reader", "axis", F.trim("label").alias("label")).filter("label != ''")
+    rows = settings.select("reader", "axis", F.trim("label").alias("label")).filter("label != ''").distinct()
     low = F.lower("label")
     # country -> the spellings under which readers may have configured it
     spelt: dict[str, set[str]] = {}
@@ -47,30 +49,72 @@ def setting_terms(settings: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     text = F.concat(F.array(low), F.when(F.col("axis") == "geographies", F.coalesce(F.try_element_at(places, low), none)).otherwise(none))
     value = F.when(F.col("axis") == "topics", F.array_distinct(F.array(low, _named("topics", F.col("label"))))).when(F.col("axis") == "geographies", F.array(low)).otherwise(none)
-    kinds = [rows.select("reader", "axis", "label", F.explode(c).alias("phrase"), F.lit(k).alias("kind")) for k, c in (("text", text), ("value", value))]
-    return kinds[0].unionByName(kinds[1]).distinct()
+    named = [F.transform(F.array_distinct(c), lambda p: F.struct(p.alias("phrase"), F.lit(k).alias("kind"))) for k, c in (("text", text), ("value", value))]  # noqa: B023
+    return rows.select("reader", "axis", "label", F.inline(F.concat(*named)))
+
+
+#: Bytes of one reader's evidence that are looked through at a time.
+CHUNK_BYTES = 8 << 20
 
 
 def story_tags(stories: DataFrame, settings: DataFrame) -> DataFrame:
-    """(reader, story, topics, keywords, geographies): labels of the reader's settings that each of their stories bears out.
+    """(reader, story, topics, keywords, geographies): labels of the reader's settings that each of their stories bears out, one row a story.
 
     stories: reader, story, evidence (text), item_topics, item_geographies (arrays);
     settings: reader, axis, label. A label counts if the evidence names it as whole
     words, a geography also if it names a place in it, a topic or geography also if
-    an item has it. All readers' phrases go into one automaton, so that a text is
-    read once however many they are; tags are sorted, whatever their case.
+    an item has it. Stories of a reader meet that reader's phrases only, in chunks of
+    CHUNK_BYTES of evidence, so a text is read once however many readers there are;
+    only of a reader with more than BLOCK_CHARS of phrases once for each such part.
+    Tags are sorted, whatever their case.
     """
-    terms = setting_terms(settings)
-    said = phrase_hits(stories, "evidence", terms.filter("kind = 'text'").select("phrase"), ["reader", "story"]).withColumn("kind", F.lit("text"))
+    terms = setting_terms(settings).filter("reader is not null")
+    texts = stories.groupBy("reader").agg(F.sum(F.octet_length(F.coalesce("evidence", F.lit("")))).alias("_bytes"))
+    sizes = terms.groupBy("reader").agg(F.sum(F.length("phrase")).alias("_chars")).join(texts, "reader", "right").select(
+        "reader", F.greatest(F.ceil(F.col("_bytes") / CHUNK_BYTES), F.lit(1)).cast("int").alias("_chunks"), F.greatest(F.ceil(1.5 * F.coalesce("_chars", F.lit(0)) / phrases.BLOCK_CHARS), F.lit(1)).cast("int").alias("_parts")
+    )
     given = {"topics": "item_topics", "geographies": "item_geographies"}
-    has = [stories.select("reader", "story", F.lit(a).alias("axis"), F.explode(F.transform(c, lambda x: F.array(F.lower(F.trim(x)), _named(a, x)))).alias("both")) for a, c in given.items()]  # noqa: B023
-    values = has[0].unionByName(has[1]).select("reader", "story", "axis", F.explode("both").alias("phrase"))
-    by_text = said.join(terms.filter("kind = 'text'").drop("kind"), ["reader", "phrase"]).select("reader", "story", "axis", "label")
-    by_value = values.join(terms.filter("kind = 'value'").drop("kind"), ["reader", "axis", "phrase"]).select("reader", "story", "axis", "label")
-    found = by_text.unionByName(by_value).distinct().groupBy("reader", "story").agg(*(F.collect_list(F.when(F.col("axis") == a, F.struct(F.lower("label").alias("k"), F.col("label").alias("v")))).alias(a) for a in AXES))
-    none = F.array().cast("array<string>")
-    sorted_ = [F.coalesce(F.transform(F.array_sort(F.col(a)), lambda x: x["v"]), none).alias(a) for a in AXES]
-    return stories.select("reader", "story").join(found, ["reader", "story"], "left").select("reader", "story", *sorted_)
+    has = [F.coalesce(F.flatten(F.transform(c, lambda x: F.array(F.lower(F.trim(x)), _named(a, x)))), F.array().cast("array<string>")).alias(c) for a, c in given.items()]  # noqa: B023
+    # rows without a reader or story have no tags
+    left = stories.select("reader", "story", F.when(F.col("reader").isNotNull() & F.col("story").isNotNull(), F.col("evidence")).alias("evidence"), *has).join(sizes, "reader", "left")
+    left = left.select("reader", "story", "evidence", *given.values(), F.pmod(F.xxhash64("story"), F.coalesce("_chunks", F.lit(64))).cast("int").alias("_chunk"), F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+    right = terms.join(sizes, "reader").select("reader", "axis", "label", "phrase", "kind", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), F.pmod(F.xxhash64("phrase"), F.col("_parts")).cast("int").alias("_part"))
+    out = T.StructType([stories.schema["reader"], stories.schema["story"], *(T.StructField(a, T.ArrayType(T.StringType())) for a in AXES)])
+    by = ["reader", "_chunk", "_part"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_borne_out, out)
+    sets = [F.array_distinct(F.flatten(F.collect_list(a))).alias(a) for a in AXES]
+    return found.groupBy("reader", "story").agg(*sets).select("reader", "story", *(_sorted(F.col(a)).alias(a) for a in AXES))
+
+
+def _sorted(labels: Column) -> Column:
+    """Labels by their lower-cased form, then as they are."""
+    return F.transform(F.array_sort(F.transform(labels, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))), lambda x: x["v"])
+
+
+def _borne_out(stories: pa.Table, terms: pa.Table) -> pa.Table:
+    """Labels of the terms (of one reader) that the stories name or whose items have them, an array an axis."""
+    said: dict[str, list] = {}
+    valued: dict[tuple, list] = {}
+    for axis, label_, phrase, kind in zip(*(terms[c].to_pylist() for c in ("axis", "label", "phrase", "kind")), strict=True):
+        if kind == "text":
+            said.setdefault(phrase, []).append((axis, label_))
+        else:
+            valued.setdefault((axis, phrase), []).append((axis, label_))
+    find = phrases.phrase_finder(said)
+    lists: dict[str, list] = {a: [] for a in AXES}
+    for batch in stories.select(["story", "evidence", "item_topics", "item_geographies"]).to_batches(max_chunksize=1024):
+        for story, text, topics, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own: dict[str, set] = {a: set() for a in AXES}
+            hits = [h for p in (find(text.lower()) if text else ()) for h in said[p]]
+            if story is not None:
+                hits += [h for a, values in (("topics", topics), ("geographies", places)) for v in values for h in valued.get((a, v), ())]
+            for axis, label_ in hits:
+                if axis in own:
+                    own[axis].add(label_)
+            for a in AXES:
+                lists[a].append(list(own[a]))
+    kind = pa.list_(pa.string())
+    return pa.table({"reader": stories["reader"], "story": stories["story"], **{a: pa.array(lists[a], kind) for a in AXES}})
 
 
 def with_semantic_tags(tags: DataFrame, scores: DataFrame, threshold: float = fixed.SEMANTIC_TAG) -> DataFrame:
@@ -80,7 +124,7 @@ def with_semantic_tags(tags: DataFrame, scores: DataFrame, threshold: float = fi
     none = F.array().cast("array<string>")
     for a in AXES[:2]:
         both = F.array_union(a, F.coalesce(f"_{a}", none))
-        rows = rows.withColumn(a, F.transform(F.array_sort(F.transform(both, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))), lambda x: x["v"]))
+        rows = rows.withColumn(a, _sorted(both))
     return rows.select(*tags.columns)
 
 

@@ -24,11 +24,8 @@ def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id % 40 reader", "coalesce(text, '') t", "source", "lang")
     one, two = (f"regexp_extract(t, '{p}', 0)" for p in ("[A-Za-z0-9_]+", "[A-Za-z0-9_]+ [A-Za-z0-9_]+"))
     parts = (("topics", one, "doc_id % 3 = 0"), ("keywords", two, "doc_id % 3 = 1"), ("geographies", one, "doc_id % 3 = 2"), ("topics", "source", "doc_id % 9 = 0"), ("geographies", "lang", "doc_id % 33 = 2"))
-    own = [rows.filter(where).selectExpr("reader", f"'{axis}' axis", f"{what} label") for axis, what, where in parts]
-    out = own[0]
-    for x in own[1:]:
-        out = out.unionByName(x)
-    return out
+    own = (f"if({where}, named_struct('axis', '{axis}', 'label', {what}), null)" for axis, what, where in parts)
+    return rows.selectExpr("reader", f"inline(array_compact(array({', '.join(own)})))")
 
 
 _TAGS = rf"""{_STORIES}, n AS (SELECT story, reader, source, lang, ' ' || regexp_replace(lower(t), '[^a-z0-9_ ]', ' | ', 'g') || ' ' AS t FROM d),
