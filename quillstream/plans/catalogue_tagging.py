@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tagging
+from ..streaming.feeds import written
 from .catalogue import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -57,7 +58,7 @@ SELECT reader, story, coalesce(max(tags) FILTER (axis = 'topics'), '') AS topics
 def semantic_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags with what scores add: a language where the text's length says so, and topics as keywords in four of five stories."""
     stories = _stories(spark, sf_dir)
-    tags = tagging.story_tags(stories, _settings(spark, sf_dir))
+    tags = written(tagging.story_tags(stories, _settings(spark, sf_dir)), "tags")  # read twice
     scores = stories.selectExpr("reader", "story", "'topics' axis", "concat('lang ', lower(item_geographies[0])) label", "(length(evidence) % 100) / 100 score")
     scores = scores.unionByName(tags.select("reader", "story", F.lit("keywords").alias("axis"), F.explode("topics").alias("label"), F.expr("if(story % 5 > 0, 0.9D, 0.7D)").alias("score")))
     out = tagging.with_semantic_tags(tags, scores)

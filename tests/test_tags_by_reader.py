@@ -9,6 +9,7 @@ from test_tagging import plain
 
 from quillstream.functions import phrases
 from quillstream.operators import tagging
+from quillstream.plans.registered import QUERIES
 
 
 def test_tags_of_many_chunks_and_parts(spark, monkeypatch):
@@ -32,3 +33,8 @@ def test_tags_of_many_chunks_and_parts(spark, monkeypatch):
         assert all(k == sorted(k, key=lambda x: (x.lower(), x)) for _, _, k in got)
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "EvalPython" not in plan and plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_semantic_tags_work_out_tags_once(spark, small):
+    plan = QUERIES["semantic_tags"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "FlatMapCoGroups" not in plan
