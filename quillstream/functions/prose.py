@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import sentence_count, short_hash, source_identity, trimmed
+from .text import bound, sentence_count, short_hash, source_identity, trimmed
 
 
 def repeats(a: Column, b: Column) -> Column:
@@ -21,20 +21,25 @@ def repeats(a: Column, b: Column) -> Column:
 
 def length_fits(c: Column) -> Column:
     """One or two sentences of at most 300 characters."""
-    text = trimmed(F.coalesce(c, F.lit("")))
-    return (text != "") & (F.length(text) <= fixed.PROSE_CHARS) & sentence_count(text).between(1, fixed.PROSE_SENTENCES)
+    fits = lambda text: F.when((text == "") | (F.length(text) > fixed.PROSE_CHARS), False).otherwise(bound(sentence_count(text), lambda n: n.between(1, fixed.PROSE_SENTENCES)))
+    return bound(trimmed(F.coalesce(c, F.lit(""))), fits)
 
 
 def changed_prose(c: Column) -> Column:
     """struct(ok, prose, reason): without a leading "update:" or "latest:", cut to two sentences; what is too long then is refused."""
-    raw = trimmed(F.coalesce(c, F.lit("")))
-    text = trimmed(F.regexp_replace(raw, r"(?i)^(?:update|latest)\s*:\s*", ""))
-    # a sentence begins where a run does, or where the last one ended: no run is tried from each of its characters
-    sentences = F.regexp_extract_all(text, F.lit(r"(?:(?<![^.!?])|\G)[^.!?]++[.!?]++(?:\s+|$)"), F.lit(0))
-    kept = trimmed(F.array_join(F.slice(sentences, 1, fixed.PROSE_SENTENCES), ""))
-    prose = F.when(kept != "", kept).otherwise(text)
-    reason = F.when(raw == "", "empty_prose").when(text == "", "empty_after_prefix_strip").when(F.length(prose) > fixed.PROSE_CHARS, "length_overflow")
-    return F.struct(reason.isNull().alias("ok"), F.when(reason.isNull(), prose).otherwise("").alias("prose"), reason.alias("reason"))
+
+    def checked(raw: Column, text: Column, prose: Column) -> Column:
+        reason = F.when(raw == "", "empty_prose").when(text == "", "empty_after_prefix_strip").when(F.length(prose) > fixed.PROSE_CHARS, "length_overflow")
+        return F.struct(reason.isNull().alias("ok"), F.when(reason.isNull(), prose).otherwise("").alias("prose"), reason.alias("reason"))
+
+    def cut(text: Column) -> Column:
+        # a sentence begins where a run does, or where the last one ended: no run is tried from each of its characters
+        sentences = F.regexp_extract_all(text, F.lit(r"(?:(?<![^.!?])|\G)[^.!?]++[.!?]++(?:\s+|$)"), F.lit(0))
+        return bound(trimmed(F.array_join(F.slice(sentences, 1, fixed.PROSE_SENTENCES), "")), lambda kept: F.when(kept != "", kept).otherwise(text))
+
+    stripped = lambda raw: trimmed(F.regexp_replace(raw, r"(?i)^(?:update|latest)\s*:\s*", ""))
+    # each step is bound, so that no text is read once for each of its uses
+    return bound(trimmed(F.coalesce(c, F.lit(""))), lambda raw: bound(stripped(raw), lambda text: bound(cut(text), lambda prose: checked(raw, text, prose))))
 
 
 def keyword_label(c: Column) -> Column:

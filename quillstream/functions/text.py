@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,8 +15,18 @@ from . import fixed
 #: White space as scripts define it, spelt out: Java's \s is ASCII only.
 BLANK = r"[\x09-\x0D\x20   -     　﻿]"
 
+#: The characters of BLANK.
+_BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    # not by a pattern, which is tried at each blank of the whole text
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def collapsed(c: Column) -> Column:

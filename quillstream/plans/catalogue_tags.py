@@ -87,7 +87,7 @@ SELECT doc_id, line, reason, CASE WHEN reason IS NULL THEN prose ELSE '' END AS
 def prose_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "a")).select("doc_id", F.col("line").cast("long").alias("line"), F.trim("a").alias("a"))
     out = prose.changed_prose(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("UPDATE : "), "a")).otherwise(F.col("a")))
-    return rows.select("doc_id", "line", out["reason"].alias("reason"), out["prose"].alias("prose"), prose.length_fits(F.col("a")).alias("fits"))
+    return rows.withColumn("out", out).select("doc_id", "line", "out.reason", "out.prose", prose.length_fits(F.col("a")).alias("fits"))
 
 
 @query(r"""WITH l AS (SELECT p_partkey, list_transform(string_split(CASE WHEN p_partkey % 3 = 0 THEN p_type || ' OFAC us 7' ELSE lower(p_type) || '  ' || p_name END, ' '), lambda x: x) AS w FROM part)
