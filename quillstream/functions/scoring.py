@@ -131,5 +131,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def mock_embedding(text: Column, dims: int = 32) -> Column:
     """A deterministic vector from the text's SHA-256: (byte - 128) / 128."""
-    digest = F.sha2(text, 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128)
+    # the digest's bytes first: within a transform it would be worked out again for each of them
+    return F.transform(F.slice(F.regexp_extract_all(F.sha2(text, 256), F.lit("(..)"), F.lit(1)), 1, dims), lambda h: (F.conv(h, 16, 10).cast("double") - 128) / 128)

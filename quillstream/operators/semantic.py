@@ -35,14 +35,21 @@ def intent_text(topics: Column, keywords: Column, geographies: Column, narrative
 
 def item_text(headline: Column, subtitle: Column, body: Column, most: int = fixed.ITEM_CHARS) -> Column:
     """Headline, subtitle and body (lines) as one text of at most ``most`` characters."""
-    lines = F.array_join(F.coalesce(body, F.array().cast("array<string>")), " ")
-    return F.substring(F.concat_ws(". ", *(F.when(trimmed(c) != "", trimmed(c)) for c in (headline, subtitle, lines))), 1, most)
+    return F.substring(_parted(". ", headline, subtitle, _lines(body)), 1, most)
 
 
 def recall_text(outlet: Column, headline: Column, body: Column) -> Column:
     """Outlet, headline and body (lines), parted by dashes."""
-    lines = F.array_join(F.coalesce(body, F.array().cast("array<string>")), " ")
-    return F.concat_ws(" — ", *(F.when(trimmed(c) != "", trimmed(c)) for c in (outlet, headline, lines)))
+    return _parted(" — ", outlet, headline, _lines(body))
+
+
+def _lines(body: Column) -> Column:
+    return F.array_join(F.coalesce(body, F.array().cast("array<string>")), " ")
+
+
+def _parted(mark: str, *texts: Column) -> Column:
+    """Those of the texts, trimmed, that are not null or empty."""
+    return F.array_join(F.filter(F.array(*map(trimmed, texts)), lambda x: x != ""), mark)
 
 
 def profile_key(topics: Column, keywords: Column, geographies: Column, narrative: Column, model: str) -> Column:

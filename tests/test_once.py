@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
 
+from quillstream.functions.scoring import mock_embedding
 from quillstream.functions.text import BLANK, bound, trimmed
+from quillstream.operators.semantic import item_text, recall_text
 from quillstream.plans.registered import QUERIES
 
 
@@ -29,3 +32,16 @@ def test_bound_values(spark):
 def test_sentences_are_cut_once(spark, small):
     # once for what is kept, once for their number, as regexp_count is worked out by it
     assert _plan(QUERIES["prose_checks"](spark, small)).count("regexp_extract_all(") == 2
+
+
+def test_a_vector_hashes_its_text_once(spark):
+    got = spark.createDataFrame([("",), ("é",), (None,)], "t string").select("t", mock_embedding(F.col("t")).alias("v"))
+    assert [r["v"] for r in got.collect()] == [t if t is None else [(b - 128) / 128 for b in hashlib.sha256(t.encode()).digest()] for t in ("", "é", None)]
+    assert "sha2(" not in _plan(got).partition("lambdafunction(")[2]
+
+
+def test_a_text_of_an_item_is_joined_once(spark):
+    rows = spark.createDataFrame([(" h ", None, [" a", "", "b\n"]), ("", "s", None), (None, " ", [" "])], "h string, s string, b array<string>")
+    got = rows.select(item_text(*map(F.col, "hsb")), recall_text(*map(F.col, "hsb")))
+    assert [tuple(r) for r in got.collect()] == [("h. a  b", "h — a  b"), ("s", "s"), ("", "")]
+    assert all(_plan(rows.select(made(*map(F.col, "hsb")))).count("coalesce(b#") == 1 for made in (item_text, recall_text))
