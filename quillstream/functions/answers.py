@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .scoring import clamped
-from .text import trimmed
+from .text import bound, trimmed
 
 STORY = (
     "struct<title: string, subtitle: string, source_item_ids: array<string>, summary: string, tags: struct<topics: array<string>, keywords: array<string>, geographies: array<string>>, "
@@ -27,8 +27,8 @@ STORY = (
 def trimmed_region(raw: Column) -> Column:
     """The text without code fences, from its first { or [ to the last closing bracket of that kind; null without such a region."""
     text = trimmed(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?i)```(?:json)?", ""))
-    region = F.when(F.regexp_extract(text, r"[{\[]", 0) == "{", F.regexp_extract(text, r"(?s)(\{.*\})", 1)).otherwise(F.regexp_extract(text, r"(?s)(\[.*\])", 1))
-    return F.nullif(trimmed(region), F.lit(""))
+    region = lambda t: F.when(F.regexp_extract(t, r"[{\[]", 0) == "{", F.regexp_extract(t, r"(?s)(\{.*\})", 1)).otherwise(F.regexp_extract(t, r"(?s)(\[.*\])", 1))
+    return bound(bound(text, lambda t: trimmed(region(t))), lambda r: F.when(r != "", r))
 
 
 def unfenced(raw: Column) -> Column:
@@ -47,8 +47,12 @@ def _at(v: Column, path: str, kind: str = "variant") -> Column:
 
 def _wanted(v: Column, kind: str, more: Callable[[Column], Column] | None = None) -> Column:
     """The first fault of a required value: absent, of another kind, or what ``more`` finds."""
-    out = F.when(v.isNull(), "missing_required_field").when(_kind(v) != kind, "invalid_type")
-    return out if more is None else out.otherwise(more(v))
+
+    def fault(x: Column) -> Column:
+        out = F.when(x.isNull(), "missing_required_field").when(_kind(x) != kind, "invalid_type")
+        return out if more is None else out.otherwise(more(x))
+
+    return bound(v, fault)
 
 
 def _first(values: Column) -> Column:
@@ -65,9 +69,9 @@ def _text(v: Column) -> Column:
 
 
 def _ids(v: Column) -> Column:
-    own = v.cast("array<variant>")
-    each = F.transform(own, lambda x: F.when(_kind(x) != "STRING", "invalid_type").when(x.cast("string") == "", "empty_source_item_ids"))
-    return F.when(F.size(own) == 0, "empty_source_item_ids").when(F.size(own) > fixed.STORY_SOURCES, "too_many_source_item_ids").otherwise(_first(each))
+    each = lambda own: F.transform(own, lambda x: F.when(_kind(x) != "STRING", "invalid_type").when(x.cast("string") == "", "empty_source_item_ids"))
+    fault = lambda own: F.when(F.size(own) == 0, "empty_source_item_ids").when(F.size(own) > fixed.STORY_SOURCES, "too_many_source_item_ids").otherwise(_first(each(own)))
+    return bound(v.cast("array<variant>"), fault)
 
 
 def _claims(v: Column) -> Column:
@@ -85,10 +89,10 @@ def _tags(v: Column) -> Column:
 
 def story_fault(s: Column) -> Column:
     """The first fault of a story (a variant), in the order of its fields; null for a sound one."""
-    entities = _at(s, "$.associated_entities")
+    entities = bound(_at(s, "$.associated_entities"), lambda x: F.when(x.isNotNull(), _wanted(x, "ARRAY", _strings)))
     fields = [
         *(_wanted(_at(s, f"$.{f}"), "STRING", _text) for f in ("title", "subtitle")), _wanted(_at(s, "$.source_item_ids"), "ARRAY", _ids), _wanted(_at(s, "$.summary"), "STRING", _text),
-        _wanted(_at(s, "$.tags"), "OBJECT", _tags), F.when(entities.isNotNull(), _wanted(entities, "ARRAY", _strings)),
+        _wanted(_at(s, "$.tags"), "OBJECT", _tags), entities,
         _wanted(_at(s, "$.factual_claims"), "ARRAY", _claims), _wanted(_at(s, "$.claim_evidence_map"), "OBJECT", _evidence),
     ]
     return F.when(_kind(s) != "OBJECT", "invalid_type").otherwise(_first(F.array(*fields)))
@@ -96,8 +100,9 @@ def story_fault(s: Column) -> Column:
 
 def _listed(stories: Column) -> Column:
     """The first fault of the list of stories."""
-    own = stories.cast("array<variant>")
-    return F.when(stories.isNull() | (_kind(stories) != "ARRAY"), "missing_meta_stories").when(F.size(own) > fixed.STORY_CAP, "too_many_meta_stories").otherwise(_first(F.transform(own, story_fault)))
+    fault = lambda own: F.when(F.size(own) > fixed.STORY_CAP, "too_many_meta_stories").otherwise(_first(F.transform(own, story_fault)))
+    each = lambda x: F.when(x.isNull() | (_kind(x) != "ARRAY"), "missing_meta_stories").otherwise(bound(x.cast("array<variant>"), fault))
+    return bound(stories, each)
 
 
 def parsed_answers(rows: DataFrame, raw: str = "raw") -> DataFrame:

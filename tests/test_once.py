@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillstream.functions.answers import trimmed_region
 from quillstream.functions.scoring import mock_embedding
 from quillstream.functions.text import BLANK, bound, trimmed
 from quillstream.operators.semantic import item_text, recall_text
@@ -45,3 +46,8 @@ def test_a_text_of_an_item_is_joined_once(spark):
     got = rows.select(item_text(*map(F.col, "hsb")), recall_text(*map(F.col, "hsb")))
     assert [tuple(r) for r in got.collect()] == [("h. a  b", "h — a  b"), ("s", "s"), ("", "")]
     assert all(_plan(rows.select(made(*map(F.col, "hsb")))).count("coalesce(b#") == 1 for made in (item_text, recall_text))
+
+
+def test_a_region_is_looked_for_in_a_text_mended_once(spark):
+    got = spark.createDataFrame([('x ```json\n{"a": [1]} ``` y',), ("[1] {", ), ("none",), (None,)], "t string").select(trimmed_region(F.col("t")))
+    assert [r[0] for r in got.collect()] == ['{"a": [1]}', "[1]", None, None] and _plan(got).count("regexp_replace(") == 1
