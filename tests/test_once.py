@@ -49,5 +49,5 @@ def test_a_text_of_an_item_is_joined_once(spark):
 
 
 def test_a_region_is_looked_for_in_a_text_mended_once(spark):
-    got = spark.createDataFrame([('x ```json\n{"a": [1]} ``` y',), ("[1] {", ), ("none",), (None,)], "t string").select(trimmed_region(F.col("t")))
+    got = spark.createDataFrame([('x ```json\n{"a": [1]} ``` y',), ("[1] {", ), ("none",), (None,)], "t string").select(trimmed_region(F.col("t")).alias("r"))
     assert [r[0] for r in got.collect()] == ['{"a": [1]}', "[1]", None, None] and _plan(got).count("regexp_replace(") == 1
