@@ -31,9 +31,22 @@ def topic_clusters(items: DataFrame, topic: str, per_cluster: int = 5, clusters:
     return ranked.groupBy(topic, "first_seq", "n_items").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source_id"))), lambda s: s["source_id"]), ",").alias("source_ids"))
 
 
-def grounding(claims: DataFrame, known: DataFrame) -> DataFrame:
-    """Verdict of each story from its (story, claim, source_id) rows: no_valid_source_ids, ungrounded_claims, partial_source_ids, or grounded."""
-    seen = claims.join(known.select("source_id").distinct().withColumn("_ok", F.lit(1)), "source_id", "left")
+#: Rows that one task of a table of claims holds, about.
+TASK_ROWS = 500_000
+
+
+def grounding(claims: DataFrame, known: DataFrame, parts: int | None = None) -> DataFrame:
+    """Verdict of each story from its (story, claim, source_id) rows: no_valid_source_ids, ungrounded_claims, partial_source_ids, or grounded.
+
+    parts: into how many tasks the rows are dealt, so that a task's share does not
+    grow with the table; a story's rows stay in one.
+    """
+    known = known.select("source_id").distinct().withColumn("_ok", F.lit(1))
+    if parts:
+        claims, known = claims.repartition(parts, "source_id"), known.repartition(parts, "source_id")
+    seen = claims.join(known, "source_id", "left")
+    if parts:
+        seen = seen.repartition(parts, "story")
     per_claim = seen.groupBy("story", "claim").agg(F.count("_ok").alias("ok"), F.count("*").alias("n"))
     per_story = per_claim.groupBy("story").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n"), F.min("ok").alias("least"))
     verdict = F.when(F.col("ok") == 0, "no_valid_source_ids").when(F.col("least") == 0, "ungrounded_claims").when(F.col("ok") < F.col("n"), "partial_source_ids").otherwise("grounded")

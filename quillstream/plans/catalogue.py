@@ -325,8 +325,10 @@ def theta_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT story, claim, count(*) AS n, sum(CAST(ok AS INT)) AS ok FROM s GROUP BY 1, 2), t AS (SELECT story, CAST(sum(n) AS BIGINT) AS n, CAST(sum(ok) AS BIGINT) AS ok, min(ok) AS least FROM k GROUP BY 1)
 SELECT story, n AS n_evidence, ok AS n_known, CASE WHEN ok = 0 THEN 'no_valid_source_ids' WHEN least = 0 THEN 'ungrounded_claims' WHEN ok < n THEN 'partial_source_ids' ELSE 'grounded' END AS verdict FROM t""")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey story", "l_linenumber claim", "l_partkey source_id").distinct()
-    return stories.grounding(claims, table(spark, sf_dir, "part").filter("p_partkey % 4 != 0").selectExpr("p_partkey source_id"))
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey story", "l_linenumber claim", "l_partkey source_id")
+    parts = rows.count() // stories.TASK_ROWS + 1
+    claims = rows.repartition(parts, "story").distinct()
+    return stories.grounding(claims, table(spark, sf_dir, "part").filter("p_partkey % 4 != 0").selectExpr("p_partkey source_id"), parts)
 
 
 @query(f"""WITH {ITEMS}, f AS (SELECT lang, min(seq) AS first_seq, count(*) AS n_items FROM items GROUP BY lang ORDER BY first_seq, lang LIMIT 5), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY seq) AS k FROM items)
