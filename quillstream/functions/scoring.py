@@ -42,12 +42,17 @@ def fraction_mentioned(text: Column, terms: Sequence[str], words: Column | None
     return sum((mentions(text, all_forms(t), words).cast("double") for t in own), F.lit(0.0)) / len(own)
 
 
+def geo_names(geo: str) -> list[str]:
+    """A configured geography and the places in it."""
+    wide = {geo.lower(), *(s.lower() for s in fixed.GEO_SYNONYMS.get(geo, ()))}
+    return [geo, *(place for place, country in fixed.GEO_ALIASES.items() if country.lower() in wide)]
+
+
 def mentioned_geo(text: Column, geos: Sequence[str], words: Column | None = None) -> Column:
     """The first configured geography that the text names, by itself, a synonym or a place in it; else null."""
     found = []
     for geo in geos:
-        wide = {geo.lower(), *(s.lower() for s in fixed.GEO_SYNONYMS.get(geo, ()))}
-        hit = mentions(text, [geo, *(place for place, country in fixed.GEO_ALIASES.items() if country.lower() in wide)], words)
+        hit = mentions(text, geo_names(geo), words)
         for synonym in fixed.GEO_SYNONYMS.get(geo, ()):
             hit = hit | F.lower(text).rlike("(?<![a-z0-9_])" + synonym.lower().replace(".", r"\."))  # no closing boundary: some end in a mark
         found.append(F.when(hit, F.lit(geo)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import fixed, phrases
+from ..functions import fixed, phrases, tags
 from ..functions.phrases import named_phrases
 from .reports import finalized, hygiene
 from .selection import label
@@ -117,6 +117,27 @@ def _borne_out(stories: pa.Table, terms: pa.Table) -> pa.Table:
     return pa.table({"reader": stories["reader"], "story": stories["story"], **{a: pa.array(lists[a], kind) for a in AXES}})
 
 
+def tag_fits(stories: DataFrame, settings) -> DataFrame:
+    """The stories' other columns, and how well their tags and entities (arrays topics, keywords, geographies, entities) fit the settings: topic_fit, keyword_fit, geo_fit, on_beat, strength, entity_fit.
+
+    Every axis is looked through once, for the words among its tags that the settings name; all fits go by these.
+    """
+    t, k, g, e = own = tuple(map(F.col, (*AXES, "entities")))
+    others = [c for c in stories.columns if c not in {*AXES, "entities"}]
+    bare = F.coalesce(F.size(e), F.lit(0)) <= 0
+    terms = F.array(*map(F.lit, tags.terms_of(settings))).cast("array<string>")
+    # columns of their own: items of an array would be worked out again wherever they are used
+    tw, kw, gw, ew = map(F.col, names := [f"_{x}" for x in (*AXES, "entities")])
+    # topics are looked through as words only where they stand in for entities
+    named = [F.array_intersect(tags.words(F.when(bare, x) if x is t else x), terms) for x in own]
+    rows = stories.select(*others, *own, *(x.alias(n) for n, x in zip(names, named, strict=True)))
+    rows = rows.select(
+        *others, tags.topic_fit(t, e, settings.topics, ew).alias("topic_fit"), tags.keyword_fit(k, e, settings.keywords, F.concat(kw, ew)).alias("keyword_fit"), tags.geo_fit(g, e, settings.geographies, F.concat(gw, ew)).alias("geo_fit"),
+        tags.strength(t, k).alias("strength"), tags.entity_fit(t, k, g, e, settings, F.when(bare, F.concat(tw, kw, gw)).otherwise(ew)).alias("entity_fit"),
+    )
+    return rows.withColumn("on_beat", tags.beat_of(F.col("topic_fit"), F.col("keyword_fit"), settings))
+
+
 def with_semantic_tags(tags: DataFrame, scores: DataFrame, threshold: float = fixed.SEMANTIC_TAG) -> DataFrame:
     """Tags with the topics and keywords that a scorer adds: scores (reader, story, axis, label, score) of ``threshold`` or more, of labels that are not there yet."""
     good = scores.filter((F.col("score") >= threshold) & F.col("axis").isin("topics", "keywords")).groupBy("reader", "story").agg(*(F.collect_set(F.when(F.col("axis") == a, F.col("label"))).alias(f"_{a}") for a in AXES[:2]))

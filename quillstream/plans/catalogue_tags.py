@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, prose, tags, text
-from ..operators import ranking, registry
+from ..operators import ranking, registry, tagging
 from .catalogue import QUERIES, SETTINGS, SQL, events, query, rounded, table
 from .catalogue_stories import QUERIES as _stories  # registers them
 
@@ -23,8 +23,9 @@ _T, _K, _G = (", ".join(f"'{x}'" for x in axis) for axis in (SETTINGS.topics, SE
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as stories, tagged with their words, one in four on each axis."""
     rows = table(spark, sf_dir, "documents").select("doc_id", text.words_of(F.coalesce("text", F.lit(""))).alias("w"))
-    every = [f"filter(w, (x, i) -> i % 4 = {k})" for k in range(4)]
-    return rows.selectExpr("doc_id", f"{every[0]} topics", f"{every[1]} keywords", f"{every[2]} geographies", f"if(doc_id % 3 > 0, {every[3]}, array()) entities")
+    # each word is looked at once, and not once for each axis
+    topics, keywords, geographies, entities = (f"if(size(w) > {k}, transform(sequence({k}, size(w) - 1, 4), i -> w[i]), array())" for k in range(4))
+    return rows.selectExpr("doc_id", f"{topics} topics", f"{keywords} keywords", f"{geographies} geographies", f"if(doc_id % 3 > 0, {entities}, array()) entities")
 
 
 @query(f"""WITH {_TAGS}, f AS (SELECT doc_id, topics, keywords, geographies, entities, CASE WHEN len(entities) > 0 THEN entities ELSE list_concat(topics, keywords, geographies) END AS ev,
@@ -32,11 +33,8 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(t AS DOUBLE) AS topic_fit, CAST(k AS DOUBLE) AS keyword_fit, CAST(g AS DOUBLE) AS geo_fit, t OR k AS on_beat, CAST(len(topics) > 0 AS INT) + CAST(len(keywords) > 0 AS INT) AS strength,
  round((CAST(list_has_any(ev, [{_T}]) AS INT) + CAST(list_has_any(ev, [{_K}]) AS INT) + CAST(list_has_any(ev, [{_G}]) AS INT)) / 3, 6) AS entity_fit FROM f""")
 def tag_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, k, g, e = map(F.col, ("topics", "keywords", "geographies", "entities"))
-    return _tagged(spark, sf_dir).select(
-        "doc_id", tags.topic_fit(t, e, SETTINGS.topics).alias("topic_fit"), tags.keyword_fit(k, e, SETTINGS.keywords).alias("keyword_fit"), tags.geo_fit(g, e, SETTINGS.geographies).alias("geo_fit"),
-        tags.on_beat(t, k, e, SETTINGS).alias("on_beat"), tags.strength(t, k).alias("strength"), rounded(tags.entity_fit(t, k, g, e, SETTINGS)).alias("entity_fit"),
-    )
+    rows = tagging.tag_fits(_tagged(spark, sf_dir), SETTINGS).withColumn("entity_fit", rounded(F.col("entity_fit")))
+    return rows.select("doc_id", "topic_fit", "keyword_fit", "geo_fit", "on_beat", "strength", "entity_fit")
 
 
 @query(f"WITH {_TAGS} SELECT doc_id FROM s WHERE list_has_any(topics, ['que', 'de', 'der', 'para', 'les']) AND list_has_any(geographies, ['la', 'de', 'die', 'los', 'elle', 'thes', 'que'])")
