@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, prose, tags, text
@@ -20,12 +20,22 @@ s AS (SELECT doc_id, list_filter(w, lambda x, i: i % 4 = 1) AS topics, list_filt
 _T, _K, _G = (", ".join(f"'{x}'" for x in axis) for axis in (SETTINGS.topics, SETTINGS.keywords, SETTINGS.geographies))
 
 
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as stories, tagged with their words, one in four on each axis."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.words_of(F.coalesce("text", F.lit(""))).alias("w"))
+def _words() -> Column:
+    return text.words_of(F.coalesce("text", F.lit("")))
+
+
+def _axes(w: Column) -> dict[str, Column]:
+    """Words as the tags of a story, one in four on each axis."""
     # each word is looked at once, and not once for each axis
-    topics, keywords, geographies, entities = (f"if(size(w) > {k}, transform(sequence({k}, size(w) - 1, 4), i -> w[i]), array())" for k in range(4))
-    return rows.selectExpr("doc_id", f"{topics} topics", f"{keywords} keywords", f"{geographies} geographies", f"if(doc_id % 3 > 0, {entities}, array()) entities")
+    every = lambda k: F.when(F.size(w) > k, F.transform(F.sequence(F.lit(k), F.size(w) - 1, F.lit(4)), lambda i: w[i])).otherwise(F.array())
+    return {a: every(k) for k, a in enumerate(("topics", "keywords", "geographies", "entities"))}
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as stories, tagged with their words."""
+    own = _axes(F.col("w"))
+    own["entities"] = F.when(F.col("doc_id") % 3 > 0, own["entities"]).otherwise(F.array())
+    return table(spark, sf_dir, "documents").select("doc_id", _words().alias("w")).select("doc_id", *(c.alias(a) for a, c in own.items()))
 
 
 @query(f"""WITH {_TAGS}, f AS (SELECT doc_id, topics, keywords, geographies, entities, CASE WHEN len(entities) > 0 THEN entities ELSE list_concat(topics, keywords, geographies) END AS ev,
@@ -39,9 +49,9 @@ def tag_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TAGS} SELECT doc_id FROM s WHERE list_has_any(topics, ['que', 'de', 'der', 'para', 'les']) AND list_has_any(geographies, ['la', 'de', 'die', 'los', 'elle', 'thes', 'que'])")
 def tag_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axes = {a: F.col(a) for a in ("topics", "keywords", "geographies")}
     wanted = {"topics": ["que", "de", "der", "para", "les"], "keywords": [], "geographies": ["la", "de", "die", "los", "elle", "thes", "que"]}
-    return _tagged(spark, sf_dir).filter(tags.selected(axes, wanted)).select("doc_id")
+    # a filter on columns of tags would be moved below them, and there split the text again for each of its words
+    return table(spark, sf_dir, "documents").filter(text.bound(_words(), lambda w: tags.selected(_axes(w), wanted))).select("doc_id")
 
 
 @query(f"""WITH {_TAGS}, l AS (SELECT doc_id, list_sort(list_distinct(topics)) AS t, list_sort(list_distinct(keywords)) AS k FROM s) SELECT doc_id, array_to_string(CASE WHEN len(t) >= 2 THEN t[1:2] ELSE list_concat(t, k)[1:2] END, ',') AS labels FROM l""")
