@@ -18,7 +18,8 @@ def components(edges: DataFrame, within: str, most_rounds: int = 50) -> DataFram
     Every round takes the least label of the neighbours and of the neighbours'
     labels; it is written to the checkpoint folder.
     """
-    both = edges.select(within, "a", "b").union(edges.select(within, "b", "a")).distinct().toDF(within, "id", "to").checkpoint()
+    # the edges are worked out once, and not once for each direction
+    both = edges.select(within, F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e")).select(within, "e.id", "e.to").distinct().checkpoint()
     labels = both.groupBy(within, "id").agg(F.least(F.min("to"), F.min("id")).alias("root"))
     for _ in range(most_rounds):
         labels = labels.checkpoint()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LINEAGE_JACCARD, SIGNAL_MINUTES, STORY_CAP
+from .blocks import block_links, numbered, weight
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -129,21 +130,27 @@ def similar_links(sets: DataFrame, within: str, least: float, shared: int = 1) -
     """Links (within, a, b), a < b, that hold together what the similar pairs of sets (id, within, s: distinct tokens) do.
 
     In small groups all pairs are looked at. In others sets that are equal are linked
-    with the first of them, and only that one with sets that differ.
+    with the first of them, and only that one with sets that differ, block by block.
     """
+    given = sets
     sets = sets.groupBy(within, "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s")).filter(F.size("s") >= shared)
-    counts = sets.groupBy(within).agg(F.count("*").alias("_sets"))
-    sets = sets.join(counts, within)
+    counts = sets.groupBy(within).agg(F.count("*").alias("_sets"), F.sum(weight()).alias("_weight")).checkpoint()
     few = F.col("_sets") * F.col("_sets") <= FEW_PAIRS
-    small, large = sets.filter(few).drop("_sets"), sets.filter(~few).drop("_sets")
+    some = not counts.filter(~few).isEmpty()
+    if some:
+        sets = numbered(sets, given)
+    sets = sets.join(counts, within)
+    if some:
+        sets = sets.checkpoint()
+    small = sets.filter(few)
     x, y = (small.select(within, F.col("id").alias(i), F.col("s").alias(v)) for i, v in (("a", "s"), ("b", "t")))
-    out = _scored(x.join(y, within).filter("a < b"), [within, "a", "b"], least, shared)
-    if large.isEmpty():
-        return out.select(within, "a", "b")
-    large = large.checkpoint()
-    first = large.groupBy(within, "s").agg(F.min("id").alias("id"))
-    copies = large.join(first.withColumnRenamed("id", "a"), [within, "s"]).filter("id != a").select(within, "a", F.col("id").alias("b"))
-    return out.select(within, "a", "b").unionByName(_met(first, None, [within], least, shared).select(within, "a", "b")).unionByName(copies)
+    out = _scored(x.join(y, within).filter("a < b"), [within, "a", "b"], least, shared).select(within, "a", "b")
+    if not some:
+        return out
+    large = sets.filter(~few)
+    first = large.groupBy(within, "s").agg(F.min("id").alias("id"), F.first("_weight").alias("_weight")).checkpoint()
+    copies = large.join(first.select(within, "s", F.col("id").alias("a")), [within, "s"]).filter("id != a").select(within, "a", F.col("id").alias("b"))
+    return out.unionByName(block_links(first, within, least, shared)).unionByName(copies)
 
 
 def lineage_candidates(new: DataFrame, prior: DataFrame, least: float = LINEAGE_JACCARD) -> DataFrame:
